@@ -67,10 +67,14 @@ def _lookup(table: dict, key: Column, value_type: str = "string") -> Column:
     return F.try_element_at(literal, key).cast(value_type)
 
 
+def swap_hex(digits: Column) -> Column:
+    """Byte order of a hex string reversed."""
+    return F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")
+
+
 def le_bytes(raw: Column, offset: int, size: int) -> Column:
     """Unsigned little-endian number at a zero-based offset; null past the end."""
-    digits = F.hex(F.substring(raw, offset + 1, size))
-    swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+    swapped = swap_hex(F.hex(F.substring(raw, offset + 1, size)))
     number = F.conv(swapped, 16, 10).try_cast("decimal(20,0)")
     return F.when(F.octet_length(raw) >= offset + size, number)
 
@@ -233,9 +237,7 @@ def mru_order(raw: Column) -> Column:
     kept = F.when(terminator > 0, F.slice(words, F.lit(1), (terminator - 1).cast("int"))).otherwise(words)
     return F.transform(
         kept,
-        lambda w: F.conv(
-            F.concat(F.substring(w, 7, 2), F.substring(w, 5, 2), F.substring(w, 3, 2), F.substring(w, 1, 2)), 16, 10
-        ).cast("bigint"),
+        lambda w: F.conv(swap_hex(w), 16, 10).cast("bigint"),
     )
 
 

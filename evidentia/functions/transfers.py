@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import le_bytes
+from .registry import le_bytes, swap_hex
 from .text import dedupe_ignore_case
 
 MIN_STRING = 4
@@ -65,6 +65,4 @@ def sid_string(blob: Column) -> Column:
 
 
 def _sub_authority(blob: Column, index: Column) -> Column:
-    digits = F.hex(F.substring(blob, index * 4 + 9, F.lit(4)))
-    swapped = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in (3, 2, 1, 0)])
-    return F.conv(swapped, 16, 10)
+    return F.conv(swap_hex(F.hex(F.substring(blob, index * 4 + 9, F.lit(4)))), 16, 10)

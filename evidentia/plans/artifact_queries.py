@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import artifacts, bags, paths, registry, text, times, transfers
 from ..functions.bags import field
 from ..functions.blobs import shell_items, shim_cache_entries
+from ..operators.enrich import with_dest_list
+from ..operators.filters import startup_entries
 from ..operators.processes import is_os_process
 from ..schema import string_map
 from ..sources import artifacts as shapes
@@ -98,9 +100,8 @@ def fn_userassist(spark, sf):
     old = joined_bytes(le_binary(F.col("k"), 4), le_binary(stamp, 8), le_binary(F.lit(0), 4))
     bare = le_binary(stamp, 8)
     raw = F.when(case == 0, new).when(case == 1, old).when(case == 2, bare).otherwise(le_binary(F.lit(0), 16))
-    rows = raw_events(spark, sf).select(
-        "event_id", registry.userassist(text.rot13(F.col("event_type")), raw).alias("u")
-    )
+    blobs = raw_events(spark, sf).select("event_id", "event_type", raw.alias("raw"))
+    rows = blobs.select("event_id", registry.userassist(text.rot13(F.col("event_type")), F.col("raw")).alias("u"))
     return rows.where(F.col("u").isNotNull()).select(
         "event_id", "u.decoded_name", "u.focus_count", "u.run_count", us(F.col("u.last_execution")).alias("us")
     )
@@ -118,11 +119,12 @@ def fn_bam(spark, sf):
     key = F.concat(F.lit("ControlSet001\\Services\\"), service, F.lit("\\State\\UserSettings\\"), leaf)
     name = F.when(i % 3 == 0, F.lit("Version")).otherwise(F.lit("\\Device\\HarddiskVolume3\\a.exe"))
     raw = joined_bytes(le_binary(ticks(F.col("ts")), 8), le_binary(F.lit(0), 16))
-    rows = raw_events(spark, sf).select(
+    values = raw_events(spark, sf).select("event_id", key.alias("key"), name.alias("name"), raw.alias("raw"))
+    rows = values.select(
         "event_id",
-        registry.bam_component(key).alias("component"),
-        paths.leaf_segment(key).alias("sid"),
-        us(registry.bam_last_execution(name, raw)).alias("us"),
+        registry.bam_component(F.col("key")).alias("component"),
+        paths.leaf_segment(F.col("key")).alias("sid"),
+        us(registry.bam_last_execution(F.col("name"), F.col("raw"))).alias("us"),
     )
     return rows.where(F.col("component").isNotNull())
 
@@ -143,8 +145,9 @@ def fn_taskcache(spark, sf):
     short = joined_bytes(le_binary(F.lit(3), 4), le_binary(base, 8), le_binary(last_run, 8))
     long = joined_bytes(short, le_binary(F.lit(0), 8), le_binary(base + 90_000_000, 8))
     raw = F.when(i % 2 == 0, long).otherwise(short)
-    t = registry.task_cache_times(raw)
-    rows = raw_events(spark, sf).select("event_id", registry.task_cache_guid(key).alias("guid"), t.alias("t"))
+    values = raw_events(spark, sf).select("event_id", key.alias("key"), raw.alias("raw"))
+    t = registry.task_cache_times(F.col("raw"))
+    rows = values.select("event_id", registry.task_cache_guid(F.col("key")).alias("guid"), t.alias("t"))
     return rows.select(
         "event_id",
         "guid",
@@ -252,8 +255,9 @@ def fn_enrich_services(spark, sf):
 )
 def fn_enrich_startup_approved(spark, sf):
     raw = joined_bytes(le_binary(F.col("event_id") % 4, 4), le_binary(ticks(F.col("ts")), 8))
-    pairs = registry.enrich_startup_approved(F.col("event_type"), raw)
-    return raw_events(spark, sf).select(
+    values = raw_events(spark, sf).select("event_id", "event_type", raw.alias("raw"))
+    pairs = registry.enrich_startup_approved(F.col("event_type"), F.col("raw"))
+    return values.select(
         "event_id",
         pairs["StartupApproved_State"].alias("state"),
         pairs["StartupApproved_FirstByte"].alias("first_byte"),
@@ -852,8 +856,6 @@ def _dest_list(spark, sf):
     """SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) END AS mru_order FROM events""",
 )
 def jn_destlist(spark, sf):
-    from ..operators.enrich import with_dest_list
-
     joined = with_dest_list(_links(spark, sf), _dest_list(spark, sf))
     return joined.select(F.col("ingest_seq").alias("seq"), "mru_order")
 
@@ -864,8 +866,6 @@ def jn_destlist(spark, sf):
        CASE WHEN event_id % 2 = 0 THEN 'hint' END AS hint, epoch_us(ts) AS us FROM events""",
 )
 def fn_jumplist_event(spark, sf):
-    from ..operators.enrich import with_dest_list
-
     joined = with_dest_list(_links(spark, sf), _dest_list(spark, sf))
     events = shapes.jump_list_events(joined)
     return events.select(
@@ -905,8 +905,6 @@ def fn_startup_event(spark, sf):
 
 @query("flt_startup_entries", "SELECT s_suppkey AS seq FROM supplier WHERE s_suppkey % 5 <> 0")
 def flt_startup_entries(spark, sf):
-    from ..operators.filters import startup_entries
-
     return startup_entries(_startup_rows(spark, sf)).select(F.col("ingest_seq").alias("seq"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, times
 from ..functions.actions import normalize_action
+from ..functions.registry import swap_hex
 from ..schema import EVIDENCE, to_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,8 +266,7 @@ PT = """pt AS (
 
 def le_binary(number: Column, size: int) -> Column:
     """Little-endian bytes of a non-negative number, for building artifact blobs."""
-    digits = F.lpad(F.conv(number.cast("string"), 10, 16), 2 * size, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
+    return F.unhex(swap_hex(F.lpad(F.conv(number.cast("string"), 10, 16), 2 * size, "0")))
 
 
 def joined_bytes(*parts: Column) -> Column:
