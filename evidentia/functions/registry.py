@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bags import field, merge_fields
+from ..schema import string_map
+from .bags import field
 from .paths import last_segment, leaf_segment
 from .text import clip, icontains, is_blank, rot13, strip
 from .times import (
@@ -328,17 +329,28 @@ def enrich_family(query_name: Column, key_path: Column, value_name: Column, valu
     }
 
 
-def enrich_run_artifacts(
-    query_name: Column, key_path: Column, value_name: Column, value_data: Column, raw: Column
+def run_artifact_columns(
+    query_name: Column, key_path: Column, value_name: Column, raw: Column
 ) -> dict[str, Column]:
-    """BAM/DAM, TaskCache and UserAssist fields of one value."""
-    last_run = bam_last_execution(value_name, raw)
-    component = F.when(last_run.isNotNull(), bam_component(key_path))
+    """Decoded run artifacts of a value, to be projected before :func:`enrich_run_artifacts`."""
+    counted = _is_query(query_name, "UserAssist") & F.lower(key_path).endswith("\\count")
     guid = task_cache_guid(key_path)
+    return {
+        "_bam_time": F.when(bam_component(key_path).isNotNull(), bam_last_execution(value_name, raw)),
+        "_task_guid": guid,
+        "_task_times": F.when(
+            guid.isNotNull() & (F.lower(value_name) == "dynamicinfo"), task_cache_times(raw)
+        ),
+        "_assist": F.when(counted, userassist(value_name, raw)),
+    }
+
+
+def enrich_run_artifacts(key_path: Column, value_name: Column, value_data: Column, raw: Column) -> dict[str, Column]:
+    """BAM/DAM, TaskCache and UserAssist fields from the columns of :func:`run_artifact_columns`."""
+    times, assist, guid = F.col("_task_times"), F.col("_assist"), F.col("_task_guid")
+    is_bam = F.col("_bam_time").isNotNull()
     is_path = guid.isNotNull() & (F.lower(value_name) == "path")
-    times = F.when(guid.isNotNull() & (F.lower(value_name) == "dynamicinfo"), task_cache_times(raw))
-    counted = _is_query(query_name, "UserAssist") & F.lower(key_path).endswith("\\count")
-    assist = F.when(counted, userassist(value_name, raw))
+    component = F.when(is_bam, bam_component(key_path))
     return {
         "OfflineHiveDecoded": F.coalesce(
             F.when(assist.isNotNull(), F.lit("UserAssist")),
@@ -346,9 +358,9 @@ def enrich_run_artifacts(
             component,
         ),
         "BamComponent": component,
-        "BamUserSid": F.when(component.isNotNull(), leaf_segment(key_path)),
-        "BamExecutablePath": F.when(component.isNotNull(), value_name),
-        "BamLastExecutionUtc": F.when(component.isNotNull(), format_iso(last_run)),
+        "BamUserSid": F.when(is_bam, leaf_segment(key_path)),
+        "BamExecutablePath": F.when(is_bam, value_name),
+        "BamLastExecutionUtc": format_iso(F.col("_bam_time")),
         "TaskCache_Guid": guid,
         "TaskCache_Path": F.when(is_path, decode_reg_sz(raw, value_data)),
         "TaskCache_CreatedUtc": format_iso(times["created"]),
@@ -362,28 +374,26 @@ def enrich_run_artifacts(
     }
 
 
-def enrich_fields(
-    fields: Column, query_name: Column, key_path: Column, value_name: Column, value_data: Column, raw: Column
+def enrichment(
+    query_name: Column, key_path: Column, value_name: Column, value_data: Column, raw: Column
 ) -> Column:
-    """All registry enrichments of one value, each guarded by its own query name."""
+    """Fields that the registry enrichments add to one value, each guarded by its own query name."""
 
     def guarded(name: str, pairs: dict[str, Column]) -> dict[str, Column]:
         return {key: F.when(_is_query(query_name, name), value) for key, value in pairs.items()}
 
     packs = [
+        enrich_run_artifacts(key_path, value_name, value_data, raw),
         guarded("Services", enrich_services(key_path, value_name, value_data)),
         guarded("StartupApprovedRun", enrich_startup_approved(value_name, raw)),
         guarded("IFEO", enrich_ifeo(key_path, value_name, value_data)),
         guarded("Winlogon", enrich_winlogon(value_name, value_data)),
         enrich_family(query_name, key_path, value_name, value_data),
     ]
-    decoded = [pack.pop("OfflineHiveDecoded") for pack in packs]
-    run_pack = enrich_run_artifacts(query_name, key_path, value_name, value_data, raw)
-    decoded.insert(0, run_pack.pop("OfflineHiveDecoded"))
-    pairs: dict[str, Column] = {"OfflineHiveDecoded": F.coalesce(*decoded)}
-    for pack in [*packs, run_pack]:
+    pairs: dict[str, Column] = {"OfflineHiveDecoded": F.coalesce(*[p.pop("OfflineHiveDecoded") for p in packs])}
+    for pack in packs:
         pairs.update(pack)
-    return merge_fields(fields, pairs)
+    return string_map(pairs)
 
 
 def primary_time(fields: Column, last_write: Column) -> Column:

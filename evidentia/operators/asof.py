@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut_lineage
 from .ranking import lag_by_chunk, null_safe_join
 
 # Default lifetimes in minutes per source.
@@ -46,29 +47,42 @@ def resolve_process_keys(
     ttl_minutes: tuple[int, int, int] = EVENT_LOG_TTL,
     keys: tuple[str, ...] = ("host", "pid"),
     chunk_width: int = CHUNK,
+    has_long_lived: bool = True,
+    row_id: tuple[str, ...] = ("host", "ingest_seq"),
 ) -> DataFrame:
-    """Add ``process_create_time`` and ``resolution`` (explicit, provisional or cached).
+    """Add ``process_create_time``, ``resolution`` (explicit, provisional or cached) and ``life_seq``.
 
     Needs ``keys``, ``ingest_seq``, ``ts``, ``create_hint`` (a stated create
-    time or null), ``is_stop`` and ``is_long_lived``.
+    time or null), ``is_stop`` and ``is_long_lived``. The walk runs over these
+    few columns only. Each stage reads its input twice (rows and chunk maxima),
+    so the narrow rows are checkpointed between stages; the full events are
+    joined once at the end by ``row_id``.
     """
     provisional, authoritative, long_lived = (m * 60_000_000 for m in ttl_minutes)
     if not provisional <= authoritative <= long_lived:
         raise ValueError("lifetimes must not decrease: provisional, authoritative, long-lived")
     key_list, seq = list(keys), "ingest_seq"
     chunk = F.call_function("div", F.col(seq), F.lit(chunk_width).cast("bigint"))
-    rows = events.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    rows = lag_by_chunk(rows, key_list, [seq], chunk, ["_us", "is_stop"], prefix="_prev")
-    rows = rows.withColumns(
-        {
-            "_chunk": chunk,
-            "_gap": F.when(~F.col("_previs_stop"), F.col("_us") - F.col("_prev_us")),
-        }
+    names = list(dict.fromkeys([*keys, *row_id, seq]))
+    rows = cut_lineage(
+        events.select(
+            *names,
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
+            F.unix_micros(F.col("create_hint").cast("timestamp")).alias("_hint"),
+            F.coalesce("is_stop", F.lit(False)).alias("_stop"),
+            F.coalesce("is_long_lived", F.lit(False)).alias("_long"),
+        )
     )
-    explicit, gap = F.col("create_hint").isNotNull(), F.col("_gap")
-    certain = explicit | gap.isNull() | (gap > long_lived)
+    rows = lag_by_chunk(rows, key_list, [seq], chunk, ["_us", "_stop"], prefix="_prev")
+    explicit, gap = F.col("_hint").isNotNull(), F.col("_gap")
+    rows = rows.withColumns(
+        {"_chunk": chunk, "_gap": F.when(~F.col("_prev_stop"), F.col("_us") - F.col("_prev_us"))}
+    ).withColumn("_certain", explicit | gap.isNull() | (gap > long_lived))
+    rows = cut_lineage(rows.drop("_prev_us", "_prev_stop"))
+
+    certain = F.col("_certain")
     # Kind of a life at its start: 2 long-lived, 1 authoritative, 0 provisional.
-    kind = F.when(F.col("is_long_lived"), F.lit(2)).when(explicit, F.lit(1)).otherwise(F.lit(0))
+    kind = F.when(F.col("_long"), F.lit(2)).when(explicit, F.lit(1)).otherwise(F.lit(0))
     rows = _running_max(
         rows,
         key_list,
@@ -79,40 +93,35 @@ def resolve_process_keys(
             "_expired": F.when(~certain & (gap > authoritative), F.col(seq)),
         },
     )
-    anchor = F.col("_anchor.seq")
-    still_stated = (F.col("_anchor.kind") == 1) & ~F.coalesce(F.col("_expired") > anchor, F.lit(False))
+    still_stated = (F.col("_anchor.kind") == 1) & ~F.coalesce(F.col("_expired") > F.col("_anchor.seq"), F.lit(False))
     candidate = ~certain & (F.col("_anchor.kind") != 2) & ~still_stated & (gap > provisional)
-    rows = rows.withColumns({"_certain": certain, "_candidate": candidate})
-    rows = _running_max(
-        rows,
-        key_list,
-        seq,
-        "_chunk",
-        {"_absorbed": F.when(F.col("_candidate") & F.col("is_long_lived"), F.col(seq))},
-        inclusive=False,
-    )
-    absorbed = F.coalesce(F.col("_absorbed") > F.col("_anchor.seq"), F.lit(False))
-    starts = F.col("_certain") | (F.col("_candidate") & ~absorbed)
-    created = F.coalesce(F.unix_micros(F.col("create_hint").cast("timestamp")), F.col("_us"))
-    rows = rows.withColumn("_starts", starts)
-    rows = _running_max(
-        rows,
-        key_list,
-        seq,
-        "_chunk",
-        {"_life": F.when(F.col("_starts"), F.struct(F.col(seq).alias("seq"), created.alias("created")))},
-    )
+    starts = certain | F.col("_candidate")
+    rows = cut_lineage(rows.withColumn("_candidate", candidate))
+    if has_long_lived:
+        rows = _running_max(
+            rows,
+            key_list,
+            seq,
+            "_chunk",
+            {"_absorbed": F.when(F.col("_candidate") & F.col("_long"), F.col(seq))},
+            inclusive=False,
+        )
+        absorbed = F.coalesce(F.col("_absorbed") > F.col("_anchor.seq"), F.lit(False))
+        rows = cut_lineage(rows.withColumn("_starts", certain | (F.col("_candidate") & ~absorbed)))
+    else:
+        rows = rows.withColumn("_starts", starts)
+    life = F.struct(F.col(seq).alias("seq"), F.coalesce("_hint", "_us").alias("created"))
+    rows = _running_max(rows, key_list, seq, "_chunk", {"_life": F.when(F.col("_starts"), life)})
     resolution = (
-        F.when(F.col("create_hint").isNotNull(), F.lit("explicit"))
-        .when(F.col("_starts"), F.lit("provisional"))
-        .otherwise(F.lit("cached"))
+        F.when(explicit, F.lit("explicit")).when(F.col("_starts"), F.lit("provisional")).otherwise(F.lit("cached"))
     )
-    return rows.select(
-        *[F.col(c) for c in events.columns],
+    resolved = rows.select(
+        *row_id,
         F.timestamp_micros("_life.created").alias("process_create_time"),
         resolution.alias("resolution"),
         F.col("_life.seq").alias("life_seq"),
     )
+    return null_safe_join(events, resolved, list(row_id), "left")
 
 
 def cache_stats(resolved: DataFrame, keys: tuple[str, ...] = ("host", "pid"), by: tuple[str, ...] = ("host",)) -> DataFrame:

@@ -259,31 +259,44 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return parse_manifests(found.join(texts, ["host", "collection_id"], "left"))
 
 
+ENTITY_LISTS = {
+    "processes": "bootId decimal(20;0), processId bigint, createTime string",
+    "users": "sid string",
+    "files": "volumeSerial string, fileId decimal(20;0), path string, hash string",
+    "networkFlows": "protocol string, localEndpoint string, remoteEndpoint string, processId bigint, timeBucket string",
+}
+
+
 def read_entities(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
     """Entity lists of bundles, one frame per array of ``entities.json``."""
-    lists = {
-        "processes": "bootId decimal(20,0), processId bigint, createTime string",
-        "users": "sid string",
-        "files": "volumeSerial string, fileId decimal(20,0), path string, hash string",
-        "networkFlows": "protocol string, localEndpoint string, remoteEndpoint string, processId bigint, timeBucket string",
-    }
-    schema = ", ".join(f"{name} array<struct<{_struct(fields)}>>" for name, fields in lists.items())
-    documents = spark.read.schema(schema).option("multiLine", True).json(path)
+    return _entity_lists(spark.read.schema(_entity_schema()).option("multiLine", True).json(path))
+
+
+def read_entity_lines(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
+    """The same lists from line-delimited parts."""
+    return _entity_lists(spark.read.schema(_entity_schema()).json(path))
+
+
+def _entity_schema() -> str:
+    return ", ".join(f"{name} array<struct<{_struct(fields)}>>" for name, fields in ENTITY_LISTS.items())
+
+
+def _entity_lists(documents: DataFrame) -> dict[str, DataFrame]:
     tagged = documents.select(
         path_part(F.col("_metadata.file_path"), 2).alias("host"),
         path_part(F.col("_metadata.file_path"), 1).alias("collection_id"),
-        *lists,
+        *ENTITY_LISTS,
     )
     return {
         name: tagged.select("host", "collection_id", F.explode(name).alias("e")).select(
             "host", "collection_id", "e.*"
         )
-        for name in lists
+        for name in ENTITY_LISTS
     }
 
 
 def _struct(fields: str) -> str:
-    pairs = [f.strip().split(" ", 1) for f in fields.replace("decimal(20,0)", "decimal(20;0)").split(",")]
+    pairs = [f.strip().split(" ", 1) for f in fields.split(",")]
     return ", ".join(f"{n}: {t.replace(';', ',')}" for n, t in pairs)
 
 

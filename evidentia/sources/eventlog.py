@@ -25,27 +25,35 @@ def parse_record(xml: Column) -> Column:
     return F.from_xml(xml, RECORD_XML)
 
 
-def data_fields(data: Column) -> Column:
-    """Named data as a map (last value of a repeated name); unnamed ones become ``EventData_n``."""
+_DATA = "array<struct<_Name:string,_VALUE:string>>"
+
+
+def _with_fields(rows: DataFrame, data: Column, base: dict[str, Column]) -> DataFrame:
+    """Add ``_fields``: the base members overlaid by the record's data.
+
+    Unnamed data become ``EventData_n``; of a repeated name the last value
+    counts. The steps are separate projections so that none is copied into
+    the next.
+    """
     named = F.transform(
-        F.coalesce(data, F.array().cast("array<struct<_Name:string,_VALUE:string>>")),
+        F.coalesce(data, F.array().cast(_DATA)),
         lambda d, i: F.struct(
-            F.when(F.length(F.trim(d["_Name"])) > 0, d["_Name"])
-            .otherwise(F.concat(F.lit("EventData_"), i.cast("string")))
-            .alias("key"),
+            F.coalesce(F.nullif(F.trim(d["_Name"]), F.lit("")), F.concat(F.lit("EventData_"), i.cast("string"))).alias("key"),
             F.coalesce(d["_VALUE"], F.lit("")).alias("value"),
         ),
     )
-    names = F.transform(named, lambda e: e["key"])
     last = F.filter(
-        named, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), e["key"])
+        "_named",
+        lambda e, i: ~F.exists(F.slice("_named", i + 2, F.size("_named")), lambda later: later["key"] == e["key"]),
     )
-    return F.map_from_entries(last)
-
-
-def _merged(base: dict[str, Column], data: Column) -> Column:
-    return F.map_concat(
-        F.map_filter(string_map(base), lambda k, _: ~F.map_contains_key(data, k)), data
+    return (
+        rows.withColumn("_named", named)
+        .withColumns({"_data": F.map_from_entries(last), "_base": string_map(base)})
+        .withColumn(
+            "_fields",
+            F.map_concat(F.map_filter("_base", lambda k, _: ~F.map_contains_key("_data", k)), F.col("_data")),
+        )
+        .drop("_named", "_data", "_base")
     )
 
 
@@ -67,40 +75,37 @@ def read_event_log(
     log name, the evidence and the offline marks. Process keys are resolved
     over the whole table by :func:`resolve_process_keys`.
     """
-    parsed = records.withColumn("_r", parse_record(F.col("xml"))).where(F.col("_r.System").isNotNull())
+    parsed = records.withColumn("_r", parse_record(F.col("xml")))
     system, data = F.col("_r.System"), F.col("_r.EventData.Data")
     log = log_name_from_path(F.col(offline_path)) if offline_path else F.coalesce(system["Channel"], F.lit(""))
-    source = F.coalesce(system["Provider"]["_Name"], F.lit("Unknown"))
-    level = F.coalesce(system["Level"], F.lit("Unknown"))
-    properties = first_properties(
-        F.transform(
-            F.coalesce(data, F.array().cast("array<struct<_Name:string,_VALUE:string>>")),
-            lambda d: F.coalesce(d["_VALUE"], F.lit("")),
-        )
-    )
-    base = {
-        "EventId": system["EventID"],
-        "Level": level,
-        "Source": source,
-        "LogName": log,
-        "RecordId": F.coalesce(system["EventRecordID"], F.lit("0")),
-        "MachineName": F.coalesce(system["Computer"], F.col("host")),
-        "ExecutionProcessId": bags.parse_pid(system["Execution"]["_ProcessID"]),
-    }
-    base.update({f"Property_{i}": F.get(properties, F.lit(i)) for i in range(PROPERTIES_PER_EVENT)})
-    if offline_path:
-        base.update({"Mode": F.lit("Offline"), "OfflineSource": F.col(offline_path)})
-    rows = parsed.select(
-        "*",
+    values = F.transform(F.coalesce(data, F.array().cast(_DATA)), lambda d: F.coalesce(d["_VALUE"], F.lit("")))
+    header = parsed.select(
+        *records.columns,
+        data.alias("_items"),
         log.alias("_log"),
-        level.alias("_level"),
-        source.alias("_source"),
-        properties.alias("_properties"),
+        F.coalesce(system["Level"], F.lit("Unknown")).alias("_level"),
+        F.coalesce(system["Provider"]["_Name"], F.lit("Unknown")).alias("_source"),
+        F.coalesce(system["EventRecordID"], F.lit("0")).alias("_record"),
+        F.coalesce(system["Computer"], F.col("host")).alias("_computer"),
+        system["Execution"]["_ProcessID"].alias("_execution"),
+        first_properties(values).alias("_properties"),
         times.parse_iso(system["TimeCreated"]["_SystemTime"]).alias("ts"),
         times.iso_ticks(system["TimeCreated"]["_SystemTime"]).alias("_ticks"),
         system["EventID"].try_cast("bigint").alias("_id"),
-        _merged(base, data_fields(data)).alias("_fields"),
     ).where(F.col("ts").isNotNull())
+    base = {
+        "EventId": F.col("_id"),
+        "Level": F.col("_level"),
+        "Source": F.col("_source"),
+        "LogName": F.col("_log"),
+        "RecordId": F.col("_record"),
+        "MachineName": F.col("_computer"),
+        "ExecutionProcessId": bags.parse_pid(F.col("_execution")),
+    }
+    base.update({f"Property_{i}": F.get("_properties", F.lit(i)) for i in range(PROPERTIES_PER_EVENT)})
+    if offline_path:
+        base.update({"Mode": F.lit("Offline"), "OfflineSource": F.col(offline_path)})
+    rows = _with_fields(header, F.col("_items"), base)
     mapped = eventmap.map_event_id(F.col("_log"), F.col("_id"))
     fields = F.col("_fields")
     prepared = rows.select(
@@ -111,7 +116,7 @@ def read_event_log(
         times.create_time_field(fields, times.EVENT_LOG_CREATE_FIELDS).alias("create_hint"),
         _is_long_lived(fields, ("ProcessName", "ImageName"), long_lived).alias("is_long_lived"),
     ).withColumn("is_stop", (F.col("_category") == "Process") & (F.col("_action") == "Stop"))
-    resolved = _resolve(prepared, ttl_minutes)
+    resolved = _resolve(prepared, ttl_minutes, bool(long_lived))
     reference = F.col(offline_path) if offline_path else F.concat(
         F.col("_log"), F.lit(":"), bags.field(fields, "RecordId")
     )
@@ -145,11 +150,15 @@ def _is_long_lived(fields: Column, names: tuple[str, ...], long_lived: tuple[str
     return F.coalesce(F.lower(leaf).isin([p.lower() for p in long_lived]), F.lit(False))
 
 
-def _resolve(rows: DataFrame, ttl_minutes: tuple[int, int, int]) -> DataFrame:
-    """Create times for rows with a pid; the others pass through."""
-    with_pid = resolve_process_keys(rows.where(F.col("pid").isNotNull()), ttl_minutes)
-    without = rows.where(F.col("pid").isNull())
-    return with_pid.drop("resolution", "life_seq").unionByName(without, allowMissingColumns=True)
+def _resolve(rows: DataFrame, ttl_minutes: tuple[int, int, int], has_long_lived: bool) -> DataFrame:
+    """Create times per pid; a record without a pid is a key of its own and stays unresolved.
+
+    Rows are not filtered on the pid: the optimizer would push the filter below
+    the parsed fields and copy their whole expression into it.
+    """
+    spread = rows.withColumn("_solo", F.when(F.col("pid").isNull(), F.col("ingest_seq")))
+    resolved = resolve_process_keys(spread, ttl_minutes, ("host", "pid", "_solo"), has_long_lived=has_long_lived)
+    return resolved.drop("resolution", "life_seq", "_solo")
 
 
 def read_kernel_trace(
@@ -169,7 +178,7 @@ def read_kernel_trace(
         times.create_time_field(F.col("_fields"), times.TRACE_CREATE_FIELDS).alias("create_hint"),
         _is_long_lived(F.col("_fields"), ("ImageName", "ProcessName"), long_lived).alias("is_long_lived"),
     ).withColumn("is_stop", (F.col("_category") == "Process") & (F.col("_action") == "Stop"))
-    resolved = _resolve(prepared, ttl_minutes)
+    resolved = _resolve(prepared, ttl_minutes, bool(long_lived))
     return trace_events(
         resolved,
         keys.process_key(F.lit(0) if boot_id is None else boot_id, F.col("pid"), F.col("process_create_time")),
@@ -178,8 +187,11 @@ def read_kernel_trace(
 
 def trace_fields(records: DataFrame) -> DataFrame:
     """Parse and normalise trace fields; stateless, so it also serves streams."""
-    parsed = records.withColumn("_r", parse_record(F.col("xml")))
-    execution = F.col("_r.System.Execution._ProcessID")
+    parsed = records.withColumn("_r", parse_record(F.col("xml"))).select(
+        *records.columns,
+        F.col("_r.EventData.Data").alias("_items"),
+        F.col("_r.System.Execution._ProcessID").alias("_execution"),
+    )
     base = {
         "EventId": F.col("event_id"),
         "Provider": F.col("provider"),
@@ -187,9 +199,9 @@ def trace_fields(records: DataFrame) -> DataFrame:
         "Opcode": F.col("opcode"),
         "Level": F.col("level"),
         "Task": F.col("task"),
-        "ExecutionProcessId": bags.parse_pid(execution),
+        "ExecutionProcessId": bags.parse_pid(F.col("_execution")),
     }
-    rows = parsed.withColumn("_raw", _merged(base, data_fields(F.col("_r.EventData.Data"))))
+    rows = _with_fields(parsed, F.col("_items"), base).withColumnRenamed("_fields", "_raw")
     raw = F.col("_raw")
     file_path = bags.first_field(raw, "FileName", "FilePath", "TargetFilename", "Path")
     key_path = bags.first_field(raw, "KeyName", "ObjectName", "RegistryPath", "KeyPath")

@@ -112,20 +112,14 @@ def registry_events(values: DataFrame) -> DataFrame:
         "Parser": F.lit("Registry"),
         **{k: f(F.col(c)) for k, (c, f) in optional.items() if c in values.columns},
     }
-    rows = values.withColumns({"_data": data, "_base": string_map(base)})
-    rows = rows.withColumn(
-        "_fields",
-        registry.enrich_fields(
-            merge_fields(
-                F.col("_base"), {"ValueName": name, "ValueData": F.col("_data"), "ValueType": F.col("value_type")}
-            ),
-            F.col("query_name"),
-            path,
-            name,
-            F.col("_data"),
-            raw,
-        ),
+    query = F.col("query_name")
+    own = {"ValueName": name, "ValueData": F.col("_data"), "ValueType": F.col("value_type")}
+    # Separate projections, so that no decoded column is copied into the next one.
+    rows = values.withColumns(
+        {"_data": data, "_base": string_map(base), **registry.run_artifact_columns(query, path, name, raw)}
     )
+    rows = rows.withColumn("_found", registry.enrichment(query, path, name, F.col("_data"), raw))
+    rows = rows.withColumn("_fields", F.map_concat("_base", string_map(own), "_found"))
     full_key = F.concat(F.col("hive"), F.lit("\\"), path)
     evidence = F.array(evidence_ref("RegistryHive", F.col("hive_path"), default_now=True))
     common = dict(
