@@ -104,10 +104,23 @@ def _unhex(raw: Column) -> Column:
     return F.unhex(F.when(is_hex_text(raw), F.regexp_replace(_hex_text(raw), " ", "")))
 
 
+def decode_utf16(raw: Column) -> Column:
+    """UTF-16LE bytes as text; an odd last byte is ignored, lone surrogates become U+FFFD."""
+    digits = F.hex(F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2))
+    units = F.regexp_extract_all(digits, F.lit("...."), F.lit(0))
+
+    def mended(unit: Column, i: Column) -> Column:
+        lone_high = unit.rlike("^..D[89AB]") & ~F.coalesce(F.get(units, i + 1).rlike("^..D[C-F]"), F.lit(False))
+        lone_low = unit.rlike("^..D[C-F]") & ~F.coalesce(F.get(units, i - 1).rlike("^..D[89AB]"), F.lit(False))
+        return F.when(lone_high | lone_low, F.lit("FDFF")).otherwise(unit)
+
+    safe = F.when(digits.rlike("D[89A-F]"), F.array_join(F.transform(units, mended), "")).otherwise(digits)
+    return F.decode(F.unhex(safe), "UTF-16LE")
+
+
 def utf16(raw: Column) -> Column:
-    """UTF-16LE bytes as text (an odd last byte ignored), NULs at the end removed."""
-    even = F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2)
-    return F.rtrim(F.decode(even, "UTF-16LE"), F.lit("\0"))
+    """UTF-16LE bytes as text without the NULs at its end."""
+    return F.rtrim(decode_utf16(raw), F.lit("\0"))
 
 
 def decode_utf16_hex(raw: Column) -> Column:

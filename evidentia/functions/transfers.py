@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import le_bytes, swap_hex
+from .registry import decode_utf16, le_bytes, swap_hex
 from .text import dedupe_ignore_case
 
 MIN_STRING = 4
@@ -16,10 +16,8 @@ _SID = r"^S-1-[0-9]+(-[0-9]+)+$"
 
 def utf16_strings(blob: Column) -> Column:
     """Printable runs of four or more UTF-16LE units, in blob order."""
-    even = F.substring(blob, F.lit(1), F.octet_length(blob) - F.octet_length(blob) % 2)
-    text = F.decode(even, "UTF-16LE")
-    # Units outside the basic plane and replacement marks of lone surrogates end a run.
-    runs = F.regexp_extract_all(text, F.lit("([\\x20-\\x7E\\x80-\\uD7FF\\uE000-\\uFFFC]{%d,})" % MIN_STRING), F.lit(1))
+    # Characters outside the basic plane and replacement marks end a run.
+    runs = F.regexp_extract_all(decode_utf16(blob), F.lit("([\\x20-\\x7E\\x80-\\uD7FF\\uE000-\\uFFFC]{%d,})" % MIN_STRING), F.lit(1))
     return F.coalesce(runs, F.array().cast("array<string>"))
 
 
@@ -44,8 +42,7 @@ def classify_strings(strings: Column) -> Column:
 
 def app_string(blob: Column) -> Column:
     """UTF-16LE application id up to the first NUL."""
-    text = F.decode(F.coalesce(blob, F.unhex(F.lit(""))), "UTF-16LE")
-    return F.substring_index(text, "\0", 1)
+    return F.coalesce(F.substring_index(decode_utf16(blob), "\0", 1), F.lit(""))
 
 
 def sid_string(blob: Column) -> Column:

@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _prepend(parent: Column, path: Column) -> Column:
-    return F.when(F.coalesce(F.length(parent), F.lit(0)) == 0, path).otherwise(F.concat(parent, F.lit("\\"), path))
+def _prepend(above: Column, path: Column) -> Column:
+    """``above\\path``; nameless ancestors leave no mark."""
+    return F.when(F.coalesce(F.length(above), F.lit(0)) == 0, path).otherwise(F.concat(above, F.lit("\\"), path))
+
+
+def _prefix(above: Column, own: Column) -> Column:
+    """What a folder contributes to the paths below it."""
+    return F.when(F.coalesce(F.length(own), F.lit(0)) == 0, F.coalesce(above, F.lit(""))).otherwise(_prepend(above, own))
 
 
 def full_paths(
@@ -51,7 +57,7 @@ def full_paths(
                 *keys,
                 "_id",
                 F.when(F.col("_above").isNull(), F.col("_path"))
-                .otherwise(_prepend(F.col("_above"), F.col("_path")))
+                .otherwise(_prefix(F.col("_above"), F.col("_path")))
                 .alias("_path"),
                 F.col("_far").alias("_next"),
             )
@@ -67,7 +73,8 @@ def full_paths(
     if remaining:
         cyclic = folders.join(todo.select(*keys, "_id"), [*keys, "_id"], "left_semi")
         walked = _walk_cycles(cyclic, keys)
-        below = _attach(entries, done.unionByName(walked), keys, index, parent, name, path)
+        reached = walked.select(*keys, "_id", F.col("_prefix").alias("_path"), F.lit(None).cast("bigint").alias("_next"))
+        below = _attach(entries, done.unionByName(reached), keys, index, parent, name, path)
         own = walked.select(*keys, F.col("_id").alias(index), F.col("_path").alias("_own"))
         rows = below.join(own, [*keys, index], "left").withColumn(path, F.coalesce("_own", path)).drop("_own")
     return rows.select(*entries.columns if path in entries.columns else [*entries.columns, path])
@@ -87,13 +94,19 @@ def _walk_cycles(cyclic: DataFrame, keys: list[str]) -> DataFrame:
     step = cyclic.select(
         *keys, F.col("_id").alias("_next"), F.col("_name").alias("_above"), F.col("_up").alias("_far")
     )
+    own = F.col("_name")
     walkers = cyclic.select(
-        *keys, "_id", F.col("_name").alias("_path"), F.col("_up").alias("_next"), F.array("_id").alias("_seen")
+        *keys,
+        "_id",
+        own.alias("_path"),
+        F.coalesce(own, F.lit("")).alias("_prefix"),
+        F.col("_up").alias("_next"),
+        F.array("_id").alias("_seen"),
     )
     ended = None
     while True:
         stop = F.col("_next").isNull() | F.array_contains("_seen", F.col("_next"))
-        finished = walkers.where(stop).select(*keys, "_id", "_path", F.lit(None).cast("bigint").alias("_next"))
+        finished = walkers.where(stop).select(*keys, "_id", "_path", "_prefix")
         ended = finished if ended is None else ended.unionByName(finished)
         active = walkers.where(~stop)
         walkers = cut_lineage(
@@ -101,6 +114,7 @@ def _walk_cycles(cyclic: DataFrame, keys: list[str]) -> DataFrame:
                 *keys,
                 "_id",
                 _prepend(F.col("_above"), F.col("_path")).alias("_path"),
+                _prefix(F.col("_above"), F.col("_prefix")).alias("_prefix"),
                 F.col("_far").alias("_after"),
                 F.array_append("_seen", F.col("_next")).alias("_seen"),
             )
