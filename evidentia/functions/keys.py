@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import FILE_KEY, FLOW_KEY, PROCESS_KEY, REGISTRY_KEY, USER_KEY
 from .bags import MAX_UINT32
 from .times import format_iso, hour_bucket, parse_iso
 
@@ -37,7 +36,7 @@ def process_key(boot_id: Column, pid: Column, create_time: Column) -> Column:
         create_time.cast("timestamp").alias("create_time"),
         process_key_text(boot_id, pid, format_iso(create_time)).alias("key"),
     )
-    return F.when(pid.isNotNull() & create_time.isNotNull(), built).cast(PROCESS_KEY)
+    return F.when(pid.isNotNull() & create_time.isNotNull(), built)
 
 
 def parse_process_key(text: Column) -> Column:
@@ -47,11 +46,11 @@ def parse_process_key(text: Column) -> Column:
     created = parse_iso(F.regexp_extract(text, pattern, 3))
     valid = text.rlike(pattern) & pid.between(0, MAX_UINT32) & created.isNotNull()
     built = F.struct(boot.alias("boot_id"), pid.alias("pid"), created.alias("create_time"), text.alias("key"))
-    return F.when(valid, built).cast(PROCESS_KEY)
+    return F.when(valid, built)
 
 
 def user_key(sid: Column) -> Column:
-    return F.when(sid.isNotNull(), F.struct(sid.alias("sid"))).cast(USER_KEY)
+    return F.when(sid.isNotNull(), F.struct(sid.alias("sid")))
 
 
 def user_key_text(key: Column) -> Column:
@@ -63,7 +62,7 @@ def parse_user_key(text: Column) -> Column:
 
 
 def registry_key(path: Column) -> Column:
-    return F.when(path.isNotNull(), F.struct(path.alias("path"))).cast(REGISTRY_KEY)
+    return F.when(path.isNotNull(), F.struct(path.alias("path")))
 
 
 def registry_key_text(key: Column) -> Column:
@@ -90,7 +89,7 @@ def file_key(
         (nothing if file_id is None else file_id).cast("decimal(20,0)").alias("file_id"),
         (nothing if path is None else path).cast("string").alias("path"),
         (nothing if hash_ is None else hash_).cast("string").alias("hash"),
-    ).cast(FILE_KEY)
+    )
 
 
 def file_key_text(key: Column) -> Column:
@@ -144,7 +143,7 @@ def flow_key(
         pid.cast("bigint").alias("pid"),
         bucket.cast("timestamp").alias("time_bucket"),
         flow_key_text(proto, local, remote, pid, bucket).alias("key"),
-    ).cast(FLOW_KEY)
+    )
 
 
 def flow_key_text(protocol: Column, local_ep: Column, remote_ep: Column, pid: Column, bucket: Column) -> Column:
@@ -181,4 +180,4 @@ def parse_flow_key(text: Column) -> Column:
         bucket.alias("time_bucket"),
         text.alias("key"),
     )
-    return F.when(valid, built).cast(FLOW_KEY)
+    return F.when(valid, built)

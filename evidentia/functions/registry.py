@@ -101,21 +101,26 @@ def is_hex_text(raw: Column) -> Column:
 
 
 def _unhex(raw: Column) -> Column:
-    return F.unhex(F.when(is_hex_text(raw), F.regexp_replace(_hex_text(raw), " ", "")))
+    """Bytes of spaced hex text; null where it is not hex."""
+    return F.unhex(F.replace(_hex_text(raw), F.lit(" "), F.lit("")))
 
 
 def decode_utf16(raw: Column) -> Column:
     """UTF-16LE bytes as text; an odd last byte is ignored, lone surrogates become U+FFFD."""
-    digits = F.hex(F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2))
-    units = F.regexp_extract_all(digits, F.lit("...."), F.lit(0))
+    irregular = F.hex(raw).rlike("D[89A-F]") | (F.octet_length(raw) % 2 == 1)
+    return F.when(irregular, _mended_utf16(raw)).otherwise(F.decode(raw, "UTF-16LE"))
+
+
+def _mended_utf16(raw: Column) -> Column:
+    """Unit by unit, for the few values that have surrogates or an odd length."""
+    units = F.regexp_extract_all(F.hex(raw), F.lit("...."), F.lit(0))
 
     def mended(unit: Column, i: Column) -> Column:
         lone_high = unit.rlike("^..D[89AB]") & ~F.coalesce(F.get(units, i + 1).rlike("^..D[C-F]"), F.lit(False))
         lone_low = unit.rlike("^..D[C-F]") & ~F.coalesce(F.get(units, i - 1).rlike("^..D[89AB]"), F.lit(False))
         return F.when(lone_high | lone_low, F.lit("FDFF")).otherwise(unit)
 
-    safe = F.when(digits.rlike("D[89A-F]"), F.array_join(F.transform(units, mended), "")).otherwise(digits)
-    return F.decode(F.unhex(safe), "UTF-16LE")
+    return F.decode(F.unhex(F.array_join(F.transform(units, mended), "")), "UTF-16LE")
 
 
 def utf16(raw: Column) -> Column:
@@ -134,7 +139,7 @@ def decode_dword(raw: Column) -> Column:
     decimal = F.when(text.rlike(r"^[+-]?\d{1,10}$"), text.try_cast("bigint"))
     decimal = F.when(decimal.between(-(2**31), 2**31 - 1), decimal)
     number = le_bytes(_unhex(raw), 0, 4).cast("bigint")
-    signed = F.when(number >= 2**31, number - 2**32).otherwise(number)
+    signed = F.when(is_hex_text(raw), F.pmod(number + 2**31, F.lit(2**32)) - 2**31)
     return F.coalesce(decimal, signed)
 
 

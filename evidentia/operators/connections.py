@@ -10,7 +10,7 @@ from ..functions.endpoints import address_family, connection_state, endpoint_add
 from ..functions.text import strip
 from .filters import matches_text
 from .processes import latest_per_key, module_name
-from .ranking import first_by, last_by, null_safe_join
+from .ranking import last_by, null_safe_join
 
 FLOW = ("protocol", "local_ep", "remote_ep", "pid", "time_bucket")
 
@@ -25,23 +25,26 @@ def network_events(events: DataFrame) -> DataFrame:
 
 def connection_summary(events: DataFrame) -> DataFrame:
     """Per flow: first and last time, state of the last event, event count."""
-    last = F.struct(
-        F.col("action").alias("action"), field(F.col("fields"), "State").alias("state")
+    rows = network_events(events).select(
+        "host",
+        *_flow_columns(),
+        connection_state(field(F.col("fields"), "State"), F.col("action")).alias("_state"),
+        "ts",
+        "ingest_seq",
     )
     grouped = (
-        network_events(events)
-        .groupBy("host", *_flow_columns())
+        rows.groupBy("host", *FLOW)
         .agg(
             F.min("ts").alias("create_time"),
             F.max("ts").alias("last_seen"),
             F.count("*").alias("event_count"),
-            last_by(last, F.col("ts"), -F.col("ingest_seq")).alias("_last"),
+            last_by(F.col("_state"), F.col("ts"), -F.col("ingest_seq")).alias("state"),
         )
     )
     return grouped.select(
         "host",
         *FLOW,
-        connection_state(F.col("_last.state"), F.col("_last.action")).alias("state"),
+        "state",
         endpoint_address(F.col("local_ep")).alias("local_address"),
         endpoint_port(F.col("local_ep")).alias("local_port"),
         endpoint_address(F.col("remote_ep")).alias("remote_address"),
@@ -55,17 +58,24 @@ def connection_summary(events: DataFrame) -> DataFrame:
 def network_view(events: DataFrame) -> DataFrame:
     """Per flow: state of the first-arrived Connect, pid from the key or the latest event that has one."""
     bag = F.col("fields")
-    pid = parse_pid(field(bag, "ProcessId"))
-    state = field(bag, "State")
-    listed = F.lower("category") == "network"
-    connect = F.col("action") == "Connect"
+    # Values first, so that the aggregation parses each of them once.
+    rows = events.where(F.col("object_flow").isNotNull()).select(
+        "host",
+        *_flow_columns(),
+        (F.lower("category") == "network").alias("_listed"),
+        F.when(F.col("action") == "Connect", F.col("ingest_seq")).alias("_connect_seq"),
+        field(bag, "State").alias("_state"),
+        parse_pid(field(bag, "ProcessId")).alias("_own_pid"),
+        "ts",
+        "ingest_seq",
+    )
+    has_pid = F.col("_own_pid").isNotNull()
     grouped = (
-        events.where(F.col("object_flow").isNotNull())
-        .groupBy("host", *_flow_columns())
+        rows.groupBy("host", *FLOW)
         .agg(
-            F.bool_or(listed).alias("_listed"),
-            first_by(state, F.col("ingest_seq"), where=connect).alias("state"),
-            last_by(pid, F.col("ts"), -F.col("ingest_seq"), where=pid.isNotNull()).alias("_pid"),
+            F.bool_or("_listed").alias("_listed"),
+            F.min_by("_state", "_connect_seq").alias("state"),
+            last_by(F.col("_own_pid"), F.col("ts"), -F.col("ingest_seq"), where=has_pid).alias("_pid"),
             F.count("*").alias("event_count"),
             F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"),

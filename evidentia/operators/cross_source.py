@@ -1,8 +1,8 @@
 """Two views of the same thing: what one lists and the other does not.
 
-Items are ``host, key, display, value, seq``. Keys compare ignoring case and
-each side is folded to one row per key by a partial aggregate before the full
-outer join, so the join never meets a repeated key.
+Items are ``host, key, display, value, seq``. Keys compare ignoring case. The
+two sides meet in one partial aggregation of their union instead of a full
+outer join: one shuffle, and a repeated key is folded before it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..functions.registry import (
 )
 from ..functions.text import is_blank, not_blank, strip
 from ..schema import evidence_ref, string_map, to_events
+from ..session import cut_lineage
 from .filters import by_category
 from .ranking import first_by, last_by
 
@@ -37,19 +38,27 @@ def last_wins(items: DataFrame, keys: list[str], columns: list[str], seq: str =
     )
 
 
-def _indexed(items: DataFrame, side: str) -> DataFrame:
-    kept = items.where(~is_blank(F.col("key"))).withColumn("folded", F.lower("key"))
-    packed = F.struct("display", "value")
-    rows = (
-        kept.groupBy("host", "folded")
-        .agg(first_by(F.col("key"), F.col("seq")).alias("key"), last_by(packed, F.col("seq")).alias("_row"))
-        .select("host", "folded", "key", "_row.*")
+def _met(live: DataFrame, offline: DataFrame) -> DataFrame:
+    """Both sides per host and folded key, in one aggregation of their union."""
+    columns = ["host", "key", "display", "value", "seq"]
+    tagged = live.select(*columns, F.lit(True).alias("is_live")).unionByName(
+        offline.select(*columns, F.lit(False).alias("is_live"))
     )
-    return rows.select(
+    kept = tagged.where(~is_blank(F.col("key")))
+    shown = F.struct("display", "value")
+
+    def side(is_live: bool, name: str) -> list[Column]:
+        here = F.col("is_live") == is_live
+        return [
+            first_by(F.col("key"), F.col("seq"), where=here).alias(f"{name}_key"),
+            last_by(shown, F.col("seq"), where=here).alias(name),
+        ]
+
+    grouped = kept.groupBy("host", F.lower("key").alias("folded")).agg(*side(True, "live"), *side(False, "offline"))
+    return grouped.select(
         "host",
-        "folded",
-        F.lit(True).alias(f"{side}_present"),
-        *[F.col(c).alias(f"{side}_{c}") for c in ("key", "display", "value")],
+        *[F.col(f"{n}_key") for n in ("live", "offline")],
+        *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("live", "offline") for c in ("display", "value")],
     )
 
 
@@ -67,22 +76,22 @@ def compare(
     With ``require_both`` a host that has no item at all on one side reports
     nothing, so an uncollected source does not flood the result.
     """
-    left, right = _indexed(live, "live"), _indexed(offline, "offline")
-    joined = left.join(right, ["host", "folded"], "full_outer")
     differs = (
         (F.length("live_value") > 0)
         & (F.length("offline_value") > 0)
         & (F.lower("live_value") != F.lower("offline_value"))
     )
-    kind = F.when(F.col("live_present").isNull(), F.lit("MissingFromLive")).when(
-        F.col("offline_present").isNull(), F.lit("MissingFromOffline")
+    kind = F.when(F.col("live_key").isNull(), F.lit("MissingFromLive")).when(
+        F.col("offline_key").isNull(), F.lit("MissingFromOffline")
     )
     if compare_values:
         kind = kind.when(differs, F.lit("ValueMismatch"))
-    rows = joined.withColumn("kind", kind)
+    rows = _met(live, offline).withColumn("kind", kind)
     if require_both:
+        # One row per item by now: cheap to keep, and read by both the guard and the result.
+        rows = cut_lineage(rows)
         sides = rows.groupBy("host").agg(
-            F.count("live_present").alias("n_live"), F.count("offline_present").alias("n_offline")
+            F.count("live_key").alias("n_live"), F.count("offline_key").alias("n_offline")
         )
         guarded = sides.where((F.col("n_live") > 0) & (F.col("n_offline") > 0)).select("host")
         rows = rows.where(F.col("kind").isNotNull()).join(guarded, "host", "left_semi")
@@ -155,12 +164,18 @@ def fold_services(values: DataFrame) -> DataFrame:
 
     Needs ``host, service_name, image_path, type_label, service_type, seq``.
     """
-    image = not_blank(decode_utf16_hex(F.col("image_path")))
-    number = decode_dword(F.col("service_type"))
     driver, process = service_labels(F.col("type_label"))
-    name = strip(F.col("service_name"))
+    decoded = values.select(
+        "host",
+        "seq",
+        strip(F.col("service_name")).alias("name"),
+        not_blank(decode_utf16_hex(F.col("image_path"))).alias("image"),
+        decode_dword(F.col("service_type")).alias("number"),
+        "type_label",
+    )
+    name, image, number = F.col("name"), F.col("image"), F.col("number")
     return (
-        values.where(name != "")
+        decoded.where(name != "")
         .groupBy("host", F.lower(name).alias("key"))
         .agg(
             F.min_by(name, F.col("seq")).alias("display"),

@@ -44,6 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer splits than that.
+
+    Only inputs of a few splits are moved; a large table has more splits than
+    the cluster has cores and passes through as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def big(column: Column) -> Column:
     return column.cast("bigint")
 
@@ -72,7 +82,7 @@ def _case(table_: dict[str, str]) -> str:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with exact integers: cents for the value and ``k`` from the properties."""
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
@@ -198,7 +208,7 @@ def with_ev(sql: str) -> str:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as network events: endpoints from supplier and part, size from quantity."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     ts = F.col("l_shipdate").cast("timestamp")
     local = F.concat(F.lit("10.1.0."), F.col("l_suppkey").cast("string"), F.lit(":445"))
     remote = F.concat(F.lit("172.16.0."), (F.col("l_partkey") % 50).cast("string"), F.lit(":80"))

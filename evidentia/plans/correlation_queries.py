@@ -10,7 +10,7 @@ from ..operators.mft_paths import full_paths
 from ..operators.ranking import keep_first, keep_newest
 from ..schema import string_map, to_events
 from ..sources import artifacts as shapes
-from .base import EV, activity, big, flows, joined_bytes, le_binary, query, raw_events, table, us, with_ev, with_fl
+from .base import EV, activity, big, joined_bytes, le_binary, query, raw_events, spread, table, us, with_ev
 
 
 def _seq():
@@ -102,7 +102,7 @@ def _service_values(spark, sf):
         }
     )
     return to_events(
-        table(spark, sf, "orders"),
+        spread(table(spark, sf, "orders")),
         host=F.concat(F.lit("H"), (F.col("o_custkey") % 4).cast("string")),
         ingest_seq=F.col("o_orderkey"),
         ts=F.col("o_orderdate").cast("timestamp"),
@@ -572,7 +572,7 @@ def _manifests(spark, sf):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     pick = lambda n, yes, no: F.when(key % n == 0, yes).when(key % n == 1, no)
     yes, no = F.lit(True), F.lit(False)
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         F.concat(F.lit("H"), (cust % 4).cast("string")).alias("host"),
         key.cast("string").alias("collection_id"),
         (key % 31 != 7).alias("manifest_present"),

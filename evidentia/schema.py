@@ -124,7 +124,9 @@ def evidence_ref(
 def to_events(df: DataFrame, **columns: Column) -> DataFrame:
     """Select ``columns`` into the event schema; absent ones become typed nulls.
 
-    ``ts_ticks`` defaults to the exact 100 ns count of ``ts``.
+    ``ts_ticks`` defaults to the exact 100 ns count of ``ts``. Key structs come
+    from :mod:`evidentia.functions.keys` and are taken as they are: a cast
+    would keep the optimizer from reading one field without building them all.
     """
     if "ts" in columns and "ts_ticks" not in columns:
         columns["ts_ticks"] = F.unix_micros(columns["ts"].cast("timestamp")) * 10
@@ -139,7 +141,9 @@ def to_events(df: DataFrame, **columns: Column) -> DataFrame:
         raise ValueError(f"not event columns: {sorted(unknown)}")
     return df.select(
         *[
-            columns.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name)
+            columns[field.name].alias(field.name)
+            if field.name in columns and isinstance(field.dataType, T.StructType)
+            else columns.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name)
             for field in EVENT_SCHEMA
         ]
     )
