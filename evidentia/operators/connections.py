@@ -171,26 +171,6 @@ def with_process(connections: DataFrame, names: DataFrame) -> DataFrame:
     return named.withColumn("module_name", module_name(F.col("image_path"), F.col("process_name")))
 
 
-def with_process_asof(connections: DataFrame, processes: DataFrame) -> DataFrame:
-    """Time-aware variant: the process created last before the connection was first seen.
-
-    ``processes`` needs ``host, pid, start_time, process_name, image_path``.
-    """
-    candidates = connections.join(
-        processes.select("host", "pid", "start_time", "process_name", "image_path"), ["host", "pid"], "left"
-    )
-    packed = F.struct("process_name", "image_path")
-    in_time = F.col("start_time") <= F.col("create_time")
-    picked = candidates.groupBy(*connections.columns).agg(
-        last_by(packed, F.col("start_time"), where=in_time).alias("_p")
-    )
-    return picked.select(
-        *connections.columns,
-        F.coalesce(F.col("_p.process_name"), F.lit("")).alias("process_name"),
-        F.coalesce(F.col("_p.image_path"), F.lit("")).alias("image_path"),
-    )
-
-
 def family_filter(
     connections: DataFrame, tcp_v4: bool = True, tcp_v6: bool = True, udp_v4: bool = True, udp_v6: bool = True
 ) -> DataFrame:
