@@ -9,6 +9,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from evidentia.plans import catalog
 from bench import HEADLINE
 from tools.compare import compare, connect
 
@@ -17,7 +18,7 @@ from .conftest import SMALL
 
 
 def chosen():
-    names = sorted(entry.queries())
+    names = sorted(catalog.queries())
     if os.environ.get("ALL_QUERIES"):
         return names
     families = {}
@@ -35,7 +36,7 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
 def test_flagship_runs(spark):
