@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["quality_rules", "substring_dedup"]
+MODULES = ["quality_rules", "substring_dedup", "jaccard_join"]
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
 

@@ -32,7 +32,7 @@ from .columns import Words, ids, mix, slices, texts
 N_BUCKETS = 65_521  # prime
 FACTORS = (1, 1_009, 1_000_003)  # of the three code points
 MAX_TRUSTED = 20_000
-MIN_SCORE = -150_000  # millionths of a nat per trigram
+MIN_SCORE = -500_000  # millionths of a nat per trigram
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 UNIT = 1_000_000
