@@ -22,6 +22,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SEQUENCE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII character that is neither letter nor digit: separates terms.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -55,7 +57,7 @@ class Words:
     first word, ``offset`` the byte positions of the texts.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -65,7 +67,7 @@ class Words:
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         size = len(data)
-        solid = ~_SPACE[data]
+        solid = ~separators[data]
         opens = np.ones(size + 1, bool)
         opens[1:] = ~np.append(solid[:-1], False) if size else True
         opens[self.offset] = True  # a text's first byte follows nothing
