@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["quality_rules", "substring_dedup", "jaccard_join"]
+MODULES = ["quality_rules", "sentencepiece_codec", "decontamination", "jaccard_join", "substring_dedup", "token_counts"]
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
 
