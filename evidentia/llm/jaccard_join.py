@@ -8,13 +8,16 @@ kept for those first tokens, in an order that puts frequent tokens last.
 
 1. Equal sets are one set from here on (``sig``). 2. Every set posts its first
 tokens; tokens of one set only are dropped. 3. A set joins the group of the set
-(pivot) with which it shares most posted tokens; a large group is split into
-parts, each with the pivot. 4. Each part is opened: all its pairs are compared,
-linked sets become classes. 5. Tokens whose postings lie in one class are done.
-For the others, sets of the smaller class query the groups of the larger: the
-bound on the union decides whether a group's members are compared. Links join
-classes. Every link of two sets lies in one class after step 4 or shares a first
-token across classes in step 5, so the components are exact.
+(pivot) with which it shares most posted tokens, if sizes and shared tokens
+allow a link; a large group is split into parts, each with the pivot. 4. Each
+part is opened: all its pairs are compared, linked sets become classes. 5. Tokens
+whose postings lie in one class are done. For the others, sets query the groups
+that hold larger sets of other classes. Sizes and the number of posted tokens
+that the matrix has for a group rule most of them out; for the rest the bound on
+the group's whole token union decides whether members are compared. Links join
+classes. Every link of two sets lies in one class after step 4, or the smaller
+set shares a first token with the larger one's group in step 5, so the
+components are exact.
 
 The order of tokens (at most ``MAX_FREQUENT`` frequent ones are told to the
 tasks) changes the work, never the result.
@@ -136,36 +139,49 @@ def first_tokens(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, pe
     return tokens[:size]
 
 
+def _can_link(shared, n, other, percent: int = PERCENT):
+    """Whether sets of ``n`` and ``other`` tokens (columns) with so many posted tokens in common may link.
+
+    Common tokens that are not posted by both come after the prefix of one of
+    the two, so they are fewer than that set's tokens behind its prefix.
+    """
+    wanted = F.ceil(F.lit(percent) * (n + other) / (100 + percent))
+    behind = F.ceil(percent * F.greatest(n, other) / 100) - 1
+    return (100 * n >= percent * other) & (100 * other >= percent * n) & (shared + behind >= wanted)
+
+
 def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
-    """``token, sig, pivot`` of all tokens posted by two sets or more; the pivot is a token's smallest sig."""
+    """``token, sig, n, pivot, pivot_n`` of all tokens posted by two sets or more; the pivot is a token's smallest sig."""
     known = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, text_column):
-            tokens, sigs = [], []
+            tokens, sigs, sizes = [], [], []
             for one in shingle_sets(Words(texts(batch, text_column), lower=True)):
                 if len(one) and (sig := signature(one)) not in seen:
                     seen.add(sig)
                     tokens.append(first_tokens(one, *known.value))
                     sigs.append(sig)
+                    sizes.append(len(one))
             if len(seen) > 1_000_000:
                 seen.clear()
             if tokens:
-                sig = np.repeat(np.array(sigs, np.int64), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(sig)], ["token", "sig"])
+                times = [len(t) for t in tokens]
+                sig, n = np.repeat(np.array(sigs, np.int64), times), np.repeat(np.array(sizes, np.int32), times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(sig), pa.array(n)], ["token", "sig", "n"])
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "sig", "pivot"]
-        last_token = last_sig = pivot = None
+        names = ["token", "sig", "n", "pivot", "pivot_n"]
+        last_token = last_sig = pivot = pivot_n = None
         pending = False  # the pivot's own row waits for a second set
         for batch in batches:
-            token, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            token, sig, n = (batch.column(i).to_numpy() for i in range(3))
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
             if len(token) and token[0] == last_token and sig[0] == last_sig:
                 fresh[0] = False
-            token, sig = token[fresh], sig[fresh]
+            token, sig, n = token[fresh], sig[fresh], n[fresh]
             if not len(token):
                 continue
             new = np.ones(len(token), bool)
@@ -173,38 +189,38 @@ def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
             goes_on = token[0] == last_token
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(token)))
-            first = sig[begin]
+            first, first_n = sig[begin], n[begin]
             keep = size > 1
             if goes_on:
-                first[0], keep[0] = pivot, True
-            out = [pa.array(x[np.repeat(keep, size)]) for x in (token, sig, np.repeat(first, size))]
+                first[0], first_n[0], keep[0] = pivot, pivot_n, True
             if goes_on and pending:
-                yield pa.RecordBatch.from_arrays([pa.array([last_token]), pa.array([pivot]), pa.array([pivot])], names)
-            yield pa.RecordBatch.from_arrays(out, names)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (last_token, pivot, pivot_n, pivot, pivot_n)], names)
+            kept = np.repeat(keep, size)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (token, sig, n, np.repeat(first, size), np.repeat(first_n, size))], names)
             pending = not keep[-1]
-            last_token, last_sig, pivot = token[-1], sig[-1], first[-1]
+            last_token, last_sig, pivot, pivot_n = token[-1], sig[-1], first[-1], first_n[-1]
 
-    posted = arrow_map(documents.select(text_column), post, "token long, sig long")
+    posted = arrow_map(documents.select(text_column), post, "token long, sig long, n int")
     posted = posted.repartition("token").sortWithinPartitions("token", "sig")
-    return staged(arrow_map(posted, share, "token long, sig long, pivot long"), "postings")
+    return staged(arrow_map(posted, share, "token long, sig long, n int, pivot long, pivot_n int"), "postings")
 
 
 def _groups(postings: DataFrame, part: int) -> DataFrame:
-    """``sig, pivot, part``: the group of each set; the pivot is in every part of its group."""
+    """``sig, pivot, part``: the group of each set that may link with a pivot."""
     best = (
-        postings.groupBy("sig", "pivot").agg(F.count("*").alias("n"))
-        .groupBy("sig").agg(F.max(F.struct("n", F.col("pivot"))).alias("best"))
+        postings.where("sig <> pivot").groupBy("sig", "pivot", "n", "pivot_n").agg(F.count("*").alias("shared"))
+        .where(_can_link(F.col("shared"), F.col("n"), F.col("pivot_n")))
+        .groupBy("sig").agg(F.max(F.struct("shared", "pivot")).alias("best"))
         .select("sig", F.col("best.pivot").alias("pivot"))
     )
     best = staged(best, "groups")
     sizes = best.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    own = best.where("sig <> pivot").join(sizes, "pivot").select("sig", "pivot", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"))
-    pivots = sizes.select(F.col("pivot").alias("sig"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return staged(own.unionByName(pivots), "parts")
+    return staged(best.join(sizes, "pivot").select("sig", "pivot", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part")), "parts")
 
 
 def _tokens(documents: DataFrame, text_column: str, active: DataFrame) -> DataFrame:
     """``sig, tokens`` of the active sets, once each."""
+    active = staged(active, "active")
     known = documents.sparkSession.sparkContext.broadcast(bloom(active, "sig", active.count()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,30 +305,35 @@ def _open(parts: DataFrame, tokens: DataFrame) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = parts.join(tokens, "sig").select("pivot", "part", "sig", "tokens")
+    pivots = parts.select(F.col("pivot").alias("sig"), "pivot", "part").distinct()
+    rows = parts.unionByName(pivots).join(tokens, "sig").select("pivot", "part", "sig", "tokens")
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
     return arrow_map(rows, compare, "a long, b long")
 
 
-def _across(postings: DataFrame, parts: DataFrame, tokens: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between sets of different classes, as edges ``a, b`` of class roots."""
-    sizes = classes.groupBy("cls").agg(F.count("*").alias("size"))
-    placed = classes.join(sizes, "cls")
-    posted = postings.select("token", "sig").join(placed, "sig")
+def _across(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame) -> DataFrame:
+    """Links between sets of different classes, as edges ``a, b`` of class roots; ``homes`` has ``sig, cls, pivot, part``."""
+    posted = postings.select("token", "sig", "n").join(homes, "sig")
     mixed = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
     posted = staged(posted.join(mixed, "token"), "mixed")
-    homes = posted.join(parts, "sig").select("token", "pivot", "part", F.col("cls").alias("home"), F.col("size").alias("home_size")).distinct()
-    asked = (
-        posted.join(homes, "token")
-        .where("size < home_size or size = home_size and cls < home")
-        .select("pivot", "part", "sig", "cls").distinct()
+    held = (
+        posted.groupBy("token", "pivot", "part", F.col("cls").alias("home"))
+        .agg(F.min("n").alias("least"), F.max("n").alias("most"))
     )
-    asked = staged(asked, "asked")
-    members = parts.join(asked.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").join(classes, "sig")
-    rows = (
-        asked.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False)))
-        .join(tokens, "sig").select("pivot", "part", "asks", "sig", "cls", "tokens")
+    asks = posted.select("token", "sig", "n", "cls")
+    fits = F.expr(f"cls <> home and n <= most and {PERCENT} * least <= 100 * n")
+    # The matrix: how many of a set's first tokens a group holds; a member of the right size is assumed.
+    asked = (
+        asks.join(held, "token").where(fits)
+        .groupBy("pivot", "part", "sig", "cls", "n").agg(F.count_distinct("token").alias("shared"), F.max("most").alias("most"))
     )
+    largest = F.least("most", F.floor(F.lit(100) * F.col("n") / PERCENT))
+    # The larger the member, the less it must share (but for one token of rounding), so the largest that fits decides.
+    asked = staged(asked.where(_can_link(F.col("shared") + 1, F.col("n"), largest)).select("pivot", "part", "sig", "cls"), "asked")
+    members = homes.join(asked.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").select("pivot", "part", "sig", "cls")
+    rows = staged(asked.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False))), "opened")
+    tokens = _tokens(documents, text_column, rows.select("sig").distinct())
+    rows = rows.join(tokens, "sig").select("pivot", "part", "asks", "sig", "cls", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 2):
@@ -335,23 +356,21 @@ def _across(postings: DataFrame, parts: DataFrame, tokens: DataFrame, classes: D
     return arrow_map(rows, compare, "a long, b long")
 
 
-def _classes(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """``sig, cls`` of all nodes."""
-    roots = components(edges, name)
-    return nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("cls"))
-
-
 def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", part: int = PART) -> DataFrame:
     """One row per document: the size of its shingle set and the smallest id reachable by links."""
     described = _describe(documents, id_column, text_column)
     sets = described.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "sig")
     postings = _postings(documents, text_column, _frequent(described))
     parts = _groups(postings, part)
-    active = staged(parts.select("sig").distinct(), "active")
-    tokens = _tokens(documents, text_column, active)
-    classes = staged(_classes(active, _open(parts, tokens), "inner"), "classes")
-    outer = components(_across(postings, parts, tokens, classes), "outer")
-    final = classes.join(outer.withColumnRenamed("node", "cls"), "cls", "left").select("sig", F.coalesce("root", "cls").alias("cls"))
+    near = parts.select("sig").unionByName(parts.select(F.col("pivot").alias("sig"))).distinct()
+    inner = components(_open(parts, _tokens(documents, text_column, near)), "inner")
+    homes = (
+        postings.select("sig").distinct().join(parts, "sig", "left").join(inner.withColumnRenamed("node", "sig"), "sig", "left")
+        .select("sig", F.coalesce("root", "sig").alias("cls"), F.coalesce("pivot", "sig").alias("pivot"), F.coalesce("part", F.lit(0)).alias("part"))
+    )
+    homes = staged(homes, "homes")
+    outer = components(_across(documents, text_column, postings, homes), "outer")
+    final = homes.join(outer.withColumnRenamed("node", "cls"), "cls", "left").select("sig", F.coalesce("root", "cls").alias("cls"))
 
     copies = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(final, "sig", "left")
     named = copies.withColumn("cls", F.coalesce("cls", "sig"))
