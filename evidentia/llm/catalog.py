@@ -6,7 +6,18 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["quality_rules", "sentencepiece_codec", "decontamination", "jaccard_join", "substring_dedup", "token_counts"]
+MODULES = [
+    "quality_rules",
+    "language_id",
+    "sentencepiece_codec",
+    "html_extraction",
+    "decontamination",
+    "quality_classifier",
+    "jaccard_join",
+    "substring_dedup",
+    "url_filters",
+    "token_counts",
+]
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
 
