@@ -2,7 +2,7 @@
 
 Character trigrams of every text are hashed into ``N_BUCKETS``. Two multinomials
 are estimated over the buckets: the trusted target from documents labelled good
-and the raw corpus from every document. A text's score is the mean over its
+and the raw corpus from every document; the target is smoothed towards the corpus. A text's score is the mean over its
 trigrams of log p_target - log p_raw; a text is kept if it passes the base rules
 and its score is at least ``MIN_SCORE``. Bucket weights are integers
 (millionths), so a verdict does not depend on the order of addition.
@@ -33,6 +33,7 @@ N_BUCKETS = 65_521  # prime
 FACTORS = (1, 1_009, 1_000_003)  # of the three code points
 MAX_TRUSTED = 20_000
 MIN_SCORE = -500_000  # millionths of a nat per trigram
+PRIOR = 1_000  # trigrams of the raw corpus mixed into the target, so that a small target says little
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 UNIT = 1_000_000
@@ -96,8 +97,9 @@ def bucket_weights(documents: DataFrame, labels: DataFrame, id_column: str = "do
         counts[:, bucket] = target, raw
     if not counts[0].any():
         return np.zeros(N_BUCKETS, np.int64)
-    share = (counts + 1) / (counts.sum(axis=1, keepdims=True) + N_BUCKETS)
-    return np.rint(UNIT * (np.log(share[0]) - np.log(share[1]))).astype(np.int64)
+    raw = (counts[1] + 1) / (counts[1].sum() + N_BUCKETS)
+    target = (counts[0] + PRIOR * raw) / (counts[0].sum() + PRIOR)
+    return np.rint(UNIT * (np.log(target) - np.log(raw))).astype(np.int64)
 
 
 def _repeated(words: Words) -> np.ndarray:
@@ -205,11 +207,12 @@ code AS (
   ORDER BY (doc_id * 2654435761) % 4294967296, doc_id LIMIT {MAX_TRUSTED}
 ), n AS (
   SELECT b, count(*) AS r, count(good.doc_id) AS t FROM grams LEFT JOIN good USING (doc_id) GROUP BY b
+), pr AS (
+  SELECT b, t, (r + 1.0::DOUBLE) / ((sum(r) OVER ()) + {N_BUCKETS}) AS raw, sum(t) OVER () AS all_t FROM n
 ), wt AS (
-  SELECT b, CASE WHEN (sum(t) OVER ()) = 0 THEN 0 ELSE
-    CAST(round({UNIT} * (ln((t + 1.0::DOUBLE) / ((sum(t) OVER ()) + {N_BUCKETS})) - ln((r + 1.0::DOUBLE) / ((sum(r) OVER ()) + {N_BUCKETS})))) AS BIGINT) END AS weight
-  FROM n
-), sc AS (SELECT doc_id, CAST(sum(weight) AS BIGINT) AS score_sum, count(*) AS n_grams FROM grams JOIN wt USING (b) GROUP BY doc_id),
+  SELECT b, CASE WHEN all_t = 0 THEN 0 ELSE CAST(round({UNIT} * (ln((t + {PRIOR} * raw) / (all_t + {PRIOR})) - ln(raw))) AS BIGINT) END AS weight FROM pr
+),
+sc AS (SELECT doc_id, CAST(sum(weight) AS BIGINT) AS score_sum, count(*) AS n_grams FROM grams JOIN wt USING (b) GROUP BY doc_id),
 base AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
