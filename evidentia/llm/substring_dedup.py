@@ -13,7 +13,8 @@ found is the union of the maximal repeats of at least ``LENGTH`` words.
 
 An anchor that occurs more than ``HOT`` times is dealt out by salt. Windows that
 meet a partner within their part are settled there; the others are counted once
-more by their hash, with partial sums, so no anchor is handled in one group.
+more by their hash, with partial sums and with the settled ones, so no anchor is
+handled in one group.
 
 Edge cases: a null or empty text has no words and keeps none; texts shorter than
 ``LENGTH`` words lose nothing; equal rows count as two documents, so a repeated
@@ -38,11 +39,11 @@ from .columns import Words, mix, slices, texts
 
 LENGTH = 35
 SEED = 8
-HOT = 20_000
+HOT = 2_000
 MAX_HOT = 1_000_000  # hot anchors told to the tasks; the threshold grows so that no more exist
 
 _STRETCH = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.binary())])
-_SPAN = pa.schema([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64())])
+_SPAN = pa.schema([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64()), ("times", pa.int32())])
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -139,10 +140,10 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, seed: int = SEED,
 
     met = arrow_map(documents.select("key", "text"), seeds, "anchor long, salt int, key long, start int, windows binary")
     met = met.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found = staged(arrow_map(met, extend, "key long, first int, last int, window long"), "spans")
+    found = staged(arrow_map(met, extend, "key long, first int, last int, window long, times int"), "spans")
     open_ = found.where("window is not null")
-    again = open_.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    late = open_.join(again, "window").select("key", "first", "last")
+    again = open_.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+    late = open_.where("first < last").join(again, "window").select("key", "first", "last")
     return found.where("window is null").select("key", "first", "last").unionByName(late)
 
 
@@ -167,15 +168,22 @@ def _settle(batches: list[pa.RecordBatch], length: int) -> Iterator[pa.RecordBat
     end = np.append(begin[1:], len(row)) - 1
     good = twice[begin]
     begin, end = begin[good], end[good]
-    lone = np.flatnonzero(~twice & (salt[row] >= 0))
-    spot = np.concatenate([begin, lone])
-    stop = np.concatenate([end, lone])
+    # Of salted groups: windows without partner here, and once each the settled ones, to be their partner.
+    salted = salt[row] >= 0
+    lone = np.flatnonzero(~twice & salted)
+    _, told = np.unique(back, return_index=True)
+    told = told[twice[told] & salted[told]]
+    spot, stop = np.concatenate([begin, lone, told]), np.concatenate([end, lone, told])
+    n_spans, n_told = len(begin), len(told)
+    last = place[stop] + length
+    last[len(spot) - n_told :] = place[told]  # an empty span
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(key[row[spot]]),
             pa.array(place[spot].astype(np.int32)),
-            pa.array((place[stop] + length).astype(np.int32)),
-            pa.array(_signed(window[spot]), mask=np.arange(len(spot)) < len(begin)),
+            pa.array(last.astype(np.int32)),
+            pa.array(_signed(window[spot]), mask=np.arange(len(spot)) < n_spans),
+            pa.array(np.where(np.arange(len(spot)) < len(spot) - n_told, 1, 2).astype(np.int32)),
         ],
         schema=_SPAN,
     )
