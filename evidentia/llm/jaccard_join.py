@@ -7,17 +7,19 @@ three quarters of the query, and any such union holds one of the query's
 kept for those first tokens, in an order that puts frequent tokens last.
 
 1. Equal sets are one set from here on (``sig``). 2. Every set posts its first
-tokens; tokens of one set only are dropped. 3. A set joins the group of the set
-(pivot) with which it shares most posted tokens, if sizes and shared tokens
-allow a link; a large group is split into parts, each with the pivot. 4. Each
-part is opened: all its pairs are compared, linked sets become classes. 5. Tokens
-whose postings lie in one class are done. For the others, sets query the groups
-that hold larger sets of other classes. Sizes and the number of posted tokens
+tokens; those that no other set of a fitting size posts are dropped. 3. A set
+joins the group of the set (pivot) with which it shares most posted tokens, if
+sizes and shared tokens allow a link; a large group is split into parts, each
+with the pivot. Each part is opened: all its pairs are compared, linked sets
+become classes. 4. Sets outside the largest class of their tokens are compared
+with one part of the class with which they share most, ``ROUNDS`` times at most.
+So a large family of similar sets becomes one class without all its pairs. 5.
+Tokens whose postings lie in one class are done. For the others, sets query all
+groups (parts of classes) of other classes. Sizes and the number of posted tokens
 that the matrix has for a group rule most of them out; for the rest the bound on
 the group's whole token union decides whether members are compared. Links join
-classes. Every link of two sets lies in one class after step 4, or the smaller
-set shares a first token with the larger one's group in step 5, so the
-components are exact.
+classes. Every link of two sets lies in one class after step 4, or one of the two
+sets queries the other's group in step 5, so the components are exact.
 
 The order of tokens (at most ``MAX_FREQUENT`` frequent ones are told to the
 tasks) changes the work, never the result.
@@ -46,7 +48,8 @@ SHINGLE = 5
 PERCENT = 75
 PART = 128  # sets opened together
 MAX_FREQUENT = 1 << 20
-BUFFER = 4_000_000  # shingles among which a task looks for frequent ones
+ROUNDS = 2
+BUFFER = 2_000_000  # shingles among which a task looks for frequent ones
 OFTEN = 4
 
 
@@ -151,7 +154,11 @@ def _can_link(shared, n, other, percent: int = PERCENT):
 
 
 def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
-    """``token, sig, n, pivot, pivot_n`` of all tokens posted by two sets or more; the pivot is a token's smallest sig."""
+    """``token, sig, n, pivot, pivot_n`` of all tokens posted by two sets of fitting sizes.
+
+    A token's sets are cut, by size, where neighbours differ by too much to
+    link; each stretch counts as a token of its own, with its largest set as pivot.
+    """
     known = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,35 +180,40 @@ def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "sig", "n", "pivot", "pivot_n"]
-        last_token = last_sig = pivot = pivot_n = None
+        last = pivot = None  # token, sig and size of the last row; sig and size of its stretch's first
         pending = False  # the pivot's own row waits for a second set
         for batch in batches:
             token, sig, n = (batch.column(i).to_numpy() for i in range(3))
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-            if len(token) and token[0] == last_token and sig[0] == last_sig:
-                fresh[0] = False
-            token, sig, n = token[fresh], sig[fresh], n[fresh]
             if not len(token):
                 continue
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            goes_on = token[0] == last_token
+            before = [np.append(x[:1] if last is None else np.array([v], x.dtype), x[:-1]) for x, v in zip((token, sig, n), last or (None,) * 3)]
+            fresh = (token != before[0]) | (sig != before[1])
+            new = (token != before[0]) | (100 * n.astype(np.int64) < PERCENT * before[2].astype(np.int64))
+            if last is None:
+                fresh[0] = new[0] = True
+            last = token[-1], sig[-1], n[-1]
+            token, sig, n, new = token[fresh], sig[fresh], n[fresh], new[fresh]
+            if not len(token):
+                continue
+            goes_on = not new[0]
+            new[0] = True
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(token)))
             first, first_n = sig[begin], n[begin]
             keep = size > 1
             if goes_on:
-                first[0], first_n[0], keep[0] = pivot, pivot_n, True
+                first[0], first_n[0], keep[0] = *pivot, True
+            # Tokens are hashes; with the pivot mixed in, stretches are told apart.
+            stretch = mix(token[begin].view(np.uint64) + mix(first.view(np.uint64))).view(np.int64)
             if goes_on and pending:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (last_token, pivot, pivot_n, pivot, pivot_n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (stretch[0], *pivot, *pivot)], names)
             kept = np.repeat(keep, size)
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (token, sig, n, np.repeat(first, size), np.repeat(first_n, size))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (np.repeat(stretch, size), sig, n, np.repeat(first, size), np.repeat(first_n, size))], names)
             pending = not keep[-1]
-            last_token, last_sig, pivot, pivot_n = token[-1], sig[-1], first[-1], first_n[-1]
+            pivot = first[-1], first_n[-1]
 
     posted = arrow_map(documents.select(text_column), post, "token long, sig long, n int")
-    posted = posted.repartition("token").sortWithinPartitions("token", "sig")
+    posted = posted.repartition("token").sortWithinPartitions("token", F.desc("n"), "sig")
     return staged(arrow_map(posted, share, "token long, sig long, n int, pivot long, pivot_n int"), "postings")
 
 
@@ -311,35 +323,84 @@ def _open(parts: DataFrame, tokens: DataFrame) -> DataFrame:
     return arrow_map(rows, compare, "a long, b long")
 
 
-def _across(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame) -> DataFrame:
-    """Links between sets of different classes, as edges ``a, b`` of class roots; ``homes`` has ``sig, cls, pivot, part``."""
-    posted = postings.select("token", "sig", "n").join(homes, "sig")
+def _homes(sets: DataFrame, links: DataFrame, part: int, name: str) -> DataFrame:
+    """``sig, n, cls`` with links applied, the class's figures and the part of it that holds the set."""
+    roots = components(links, name)
+    named = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "n", F.coalesce("root", "cls").alias("cls"))
+    figures = named.groupBy("cls").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    homes = named.join(figures, "cls").withColumn("part", F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / part)).cast("int"))
+    return staged(homes.withColumn("magnitude", F.floor(F.log(8.0, "size")).cast("int")), name)
+
+
+def _smallest(n):
+    return F.greatest("least", F.ceil(F.lit(PERCENT) * n / 100))
+
+
+def _largest(n):
+    return F.least("most", F.floor(F.lit(100) * n / PERCENT))
+
+
+def _mixed(postings: DataFrame, homes: DataFrame) -> DataFrame:
+    """Postings of tokens that lie in several classes."""
+    posted = postings.select("token", "sig").join(homes.select("sig", "n", "cls", "size", "part", "magnitude"), "sig")
     mixed = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
-    posted = staged(posted.join(mixed, "token"), "mixed")
+    return posted.join(mixed, "token")
+
+
+def _towards_largest(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame, part: int) -> DataFrame:
+    """Links of sets with a part of the class that holds most of their tokens, among the largest class of each."""
+    posted = staged(_mixed(postings, homes), "mixed")
+    large = posted.where("size > 1").groupBy("token").agg(F.max(F.struct("size", "cls")).alias("top")).select("token", F.col("top.cls").alias("home"))
+    shared = posted.join(large, "token").where("cls <> home").groupBy("sig", "n", "cls", "home").agg(F.count("*").alias("shared"))
+    figures = homes.select(F.col("cls").alias("home"), F.col("size").alias("home_size"), "least", "most").distinct()
+    n, more = F.col("n"), F.col("shared") + 1
+    near = (
+        shared.join(figures, "home").where(f"{PERCENT} * least <= 100 * n and {PERCENT} * n <= 100 * most")
+        .where(_can_link(more, n, _largest(n)) | _can_link(more, n, _smallest(n)))
+        .groupBy("sig", "cls").agg(F.max(F.struct("shared", "home", "home_size")).alias("best"))
+        .select("sig", "cls", F.col("best.home").alias("home"), F.pmod(F.xxhash64("sig"), F.ceil(F.col("best.home_size") / F.lit(part))).cast("int").alias("part"))
+    )
+    return _ask(documents, text_column, staged(near, "near"), homes)
+
+
+def _across(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame) -> DataFrame:
+    """All links between sets of different classes."""
+    posted = staged(_mixed(postings, homes), "mixed")
     held = (
-        posted.groupBy("token", "pivot", "part", F.col("cls").alias("home"))
+        posted.groupBy("token", F.col("cls").alias("home"), "part", F.col("magnitude").alias("home_magnitude"))
         .agg(F.min("n").alias("least"), F.max("n").alias("most"))
     )
-    asks = posted.select("token", "sig", "n", "cls")
-    fits = F.expr(f"cls <> home and n <= most and {PERCENT} * least <= 100 * n")
-    # The matrix: how many of a set's first tokens a group holds; a member of the right size is assumed.
+    # One of two sets asks: that of the much smaller class, or else the smaller set.
+    fits = F.expr(
+        f"cls <> home and {PERCENT} * least <= 100 * n and {PERCENT} * n <= 100 * most and (magnitude < home_magnitude or "
+        "magnitude = home_magnitude and (n < most or n = most and cls < home))"
+    )
+    # The matrix: how many of a set's first tokens a group holds; a member of the most favourable size is assumed
+    # (but for one token of rounding, the farther its size, the less it must share).
     asked = (
-        asks.join(held, "token").where(fits)
-        .groupBy("pivot", "part", "sig", "cls", "n").agg(F.count_distinct("token").alias("shared"), F.max("most").alias("most"))
+        posted.select("token", "sig", "n", "cls", "magnitude").join(held, "token").where(fits)
+        .groupBy("sig", "n", "cls", "home", "part", (F.col("magnitude") < F.col("home_magnitude")).alias("any_size"))
+        .agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
     )
-    largest = F.least("most", F.floor(F.lit(100) * F.col("n") / PERCENT))
-    # The larger the member, the less it must share (but for one token of rounding), so the largest that fits decides.
-    asked = staged(asked.where(_can_link(F.col("shared") + 1, F.col("n"), largest)).select("pivot", "part", "sig", "cls"), "asked")
-    members = homes.join(asked.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").select("pivot", "part", "sig", "cls")
+    n, more = F.col("n"), F.col("shared") + 1
+    asked = asked.where(_can_link(more, n, _largest(n)) | F.col("any_size") & _can_link(more, n, _smallest(n)))
+    return _ask(documents, text_column, staged(asked.select("sig", "cls", "home", "part"), "asked"), homes)
+
+
+def _ask(documents: DataFrame, text_column: str, asked: DataFrame, homes: DataFrame) -> DataFrame:
+    """Links of the asking sets (``sig, cls, home, part``) with members of the groups they ask, as edges ``a, b`` of classes."""
+    members = homes.select("sig", "cls", F.col("cls").alias("home"), "part").join(asked.select("home", "part").distinct(), ["home", "part"], "left_semi")
     rows = staged(asked.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False))), "opened")
     tokens = _tokens(documents, text_column, rows.select("sig").distinct())
-    rows = rows.join(tokens, "sig").select("pivot", "part", "asks", "sig", "cls", "tokens")
+    rows = rows.join(tokens, "sig").select("home", "part", "asks", "sig", "cls", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 2):
             asks = group.column("asks").to_numpy()
             cls, sets = group.column("cls").to_numpy(), _sets(group.column("tokens"))
             member = np.flatnonzero(~asks)
+            if not len(member):  # a part of a large class that holds none of it, in step 4
+                continue
             union = np.unique(np.concatenate([sets[i] for i in member]))
             opened = [i for i in np.flatnonzero(asks) if 100 * np.isin(sets[i], union, assume_unique=True).sum() >= PERCENT * len(sets[i])]
             found = set()
@@ -352,8 +413,8 @@ def _across(documents: DataFrame, text_column: str, postings: DataFrame, homes:
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
-    return arrow_map(rows, compare, "a long, b long")
+    rows = rows.repartition("home", "part").sortWithinPartitions("home", "part")
+    return staged(arrow_map(rows, compare, "a long, b long"), "links")
 
 
 def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", part: int = PART) -> DataFrame:
@@ -363,14 +424,14 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     postings = _postings(documents, text_column, _frequent(described))
     parts = _groups(postings, part)
     near = parts.select("sig").unionByName(parts.select(F.col("pivot").alias("sig"))).distinct()
-    inner = components(_open(parts, _tokens(documents, text_column, near)), "inner")
-    homes = (
-        postings.select("sig").distinct().join(parts, "sig", "left").join(inner.withColumnRenamed("node", "sig"), "sig", "left")
-        .select("sig", F.coalesce("root", "sig").alias("cls"), F.coalesce("pivot", "sig").alias("pivot"), F.coalesce("part", F.lit(0)).alias("part"))
-    )
-    homes = staged(homes, "homes")
-    outer = components(_across(documents, text_column, postings, homes), "outer")
-    final = homes.join(outer.withColumnRenamed("node", "cls"), "cls", "left").select("sig", F.coalesce("root", "cls").alias("cls"))
+    posted = postings.groupBy("sig").agg(F.max("n").alias("n")).withColumn("cls", F.col("sig"))
+    homes = _homes(posted, _open(parts, _tokens(documents, text_column, near)), part, "inner")
+    for _ in range(ROUNDS):
+        links = _towards_largest(documents, text_column, postings, homes, part)
+        if links.isEmpty():
+            break
+        homes = _homes(homes.select("sig", "n", "cls"), links, part, "rounds")
+    final = _homes(homes.select("sig", "n", "cls"), _across(documents, text_column, postings, homes), part, "outer").select("sig", "cls")
 
     copies = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(final, "sig", "left")
     named = copies.withColumn("cls", F.coalesce("cls", "sig"))
