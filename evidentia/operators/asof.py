@@ -45,19 +45,25 @@ def _running_max(
 def resolve_process_keys(
     events: DataFrame,
     ttl_minutes: tuple[int, int, int] = EVENT_LOG_TTL,
-    keys: tuple[str, ...] = ("host", "pid"),
+    keys: tuple[str, ...] | None = None,
     chunk_width: int = CHUNK,
     has_long_lived: bool = True,
-    row_id: tuple[str, ...] = ("host", "ingest_seq"),
+    row_id: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Add ``process_create_time``, ``resolution`` (explicit, provisional or cached) and ``life_seq``.
 
+    Arrival numbers order one collection, so each collection of a host has its
+    own lives: the keys are host, collection (if there is such a column) and pid,
+    and a row is known by host, collection and arrival number.
+
     Needs ``keys``, ``ingest_seq``, ``ts``, ``create_hint`` (a stated create
     time or null), ``is_stop`` and ``is_long_lived``. The walk runs over these
     few columns only. Each stage reads its input twice (rows and chunk maxima),
     so the narrow rows are checkpointed between stages; the full events are
     joined once at the end by ``row_id``.
     """
+    bundle = tuple(c for c in ("host", "collection_id") if c in events.columns)
+    keys, row_id = keys or (*bundle, "pid"), row_id or (*bundle, "ingest_seq")
     provisional, authoritative, long_lived = (m * 60_000_000 for m in ttl_minutes)
     if not provisional <= authoritative <= long_lived:
         raise ValueError("lifetimes must not decrease: provisional, authoritative, long-lived")
@@ -124,11 +130,12 @@ def resolve_process_keys(
     return null_safe_join(events, resolved, list(row_id), "left")
 
 
-def cache_stats(resolved: DataFrame, keys: tuple[str, ...] = ("host", "pid"), by: tuple[str, ...] = ("host",)) -> DataFrame:
+def cache_stats(resolved: DataFrame, keys: tuple[str, ...] | None = None, by: tuple[str, ...] = ("host",)) -> DataFrame:
     """Lives still cached at the end of the input: total, provisional and long-lived.
 
     A pid whose last event is a Stop has left the cache.
     """
+    keys = keys or tuple(c for c in ("host", "collection_id", "pid") if c in resolved.columns)
     last = F.struct("is_stop", "life_seq")
     per_pid = resolved.groupBy(*keys).agg(F.max_by(last, "ingest_seq").alias("last"))
     lives = resolved.where(F.col("ingest_seq") == F.col("life_seq")).select(

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import mru_order
 from ..functions.transfers import app_string, sid_string
-from .ranking import last_by
+from .ranking import last_by, null_safe_join
 
 SID_ID_TYPE = 3
 
 
-def srum_id_map(ids: DataFrame) -> DataFrame:
-    """``host, id_index, id_type, id_blob`` rows as one resolved value per id."""
+def srum_id_map(ids: DataFrame, order: str = "row_number") -> DataFrame:
+    """``host, id_index, id_type, id_blob`` rows as one resolved value per id: the last by ``order`` that has one.
+
+    Without such a column ids are taken to be unique.
+    """
     value = F.when(F.coalesce(F.col("id_type"), F.lit(0)) == SID_ID_TYPE, sid_string(F.col("id_blob"))).otherwise(
         app_string(F.col("id_blob"))
     )
     return (
         ids.where(F.col("id_index").isNotNull())
         .groupBy("host", "id_index")
-        .agg(F.max(value).alias("id_value"))
+        .agg((F.max_by(value, F.when(value.isNotNull(), F.col(order))) if order in ids.columns else F.max(value)).alias("id_value"))
     )
 
 
@@ -115,28 +118,28 @@ def coverage(matches: DataFrame, our_total: DataFrame) -> DataFrame:
 def rewrite_evidence(events: DataFrame, copied: DataFrame) -> DataFrame:
     """Replace evidence references by bundle-relative paths.
 
-    ``copied`` has ``reference, copied_path``. Only distinct references are
+    ``copied`` has ``host, collection_id, reference, copied_path``: what a
+    collection copied is nobody else's evidence. Only distinct references are
     joined; each event then maps its own list through the pairs it needs.
     """
-    numbered = events.where(F.size("evidence") > 0).select(
-        "host", "ingest_seq", F.posexplode("evidence").alias("_pos", "_ref")
-    )
-    folded = copied.groupBy(F.lower("reference").alias("_folded")).agg(F.max("copied_path").alias("_copied"))
-    joined = numbered.withColumn("_folded", F.lower("_ref.reference")).join(folded, "_folded", "left")
+    bundle, event = ["host", "collection_id"], ["host", "collection_id", "ingest_seq"]
+    numbered = events.where(F.size("evidence") > 0).select(*event, F.posexplode("evidence").alias("_pos", "_ref"))
+    folded = copied.groupBy(*bundle, F.lower("reference").alias("_folded")).agg(F.max("copied_path").alias("_copied"))
+    keyed = numbered.withColumn("_folded", F.lower("_ref.reference"))
+    joined = null_safe_join(keyed, folded, [*bundle, "_folded"], "left")
     rewritten = joined.select(
-        "host",
-        "ingest_seq",
+        *event,
         "_pos",
         F.col("_ref").withField(
             "reference",
             F.when(F.length(F.trim("_copied")) > 0, F.col("_copied")).otherwise(F.col("_ref.reference")),
         ).alias("_ref"),
     )
-    lists = rewritten.groupBy("host", "ingest_seq").agg(
+    lists = rewritten.groupBy(*event).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_ref"))).alias("_list")
     )
     return (
-        events.join(lists, ["host", "ingest_seq"], "left")
+        null_safe_join(events, lists, event, "left")
         .withColumn(
             "evidence",
             F.coalesce(F.transform("_list", lambda e: e["_ref"]), F.col("evidence")),

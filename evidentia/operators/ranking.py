@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 BUCKETS = 4096
 NATIVE_LIMIT = 1000
@@ -20,11 +21,17 @@ NATIVE_LIMIT = 1000
 
 def kth_value(df: DataFrame, column: str, k: int, descending: bool = False) -> tuple[int, int] | None:
     """Value at 1-based rank ``k`` and the rank left among rows equal to it; null ranks are skipped."""
+    found = kth_place(df, column, k, descending)
+    return None if found is None else found[:2]
+
+
+def kth_place(df: DataFrame, column: str, k: int, descending: bool = False) -> tuple[int, int, int] | None:
+    """As ``kth_value``, and how many rows are equal to the value."""
     values = df.select(F.col(column).cast("bigint").alias("v")).where(F.col("v").isNotNull())
     low, high, total = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
     if k < 1 or total < k:
         return None
-    remaining = k
+    remaining, equal = k, total
     while low < high:
         width = -(-(high - low + 1) // BUCKETS)
         bucket = F.call_function("div", F.col("v") - F.lit(low), F.lit(width).cast("bigint"))
@@ -34,13 +41,14 @@ def kth_value(df: DataFrame, column: str, k: int, descending: bool = False) -> t
         for b, n in sorted(((row["b"], row["n"]) for row in histogram), reverse=descending):
             if remaining <= n:
                 low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+                equal = n
                 break
             remaining -= n
-    return low, remaining
+    return low, remaining, equal
 
 
 def row_bound(df: DataFrame, order: list[tuple[str, bool]], k: int) -> list[int] | None:
-    """Values of the ``(column, descending)`` order columns in the row at rank ``k``."""
+    """Values of the ``(column, descending)`` order columns in the row at rank ``k``, and its rank among their equals."""
     bound: list[int] = []
     rows, remaining = df, k
     for column, descending in order:
@@ -50,7 +58,7 @@ def row_bound(df: DataFrame, order: list[tuple[str, bool]], k: int) -> list[int]
         value, remaining = found
         bound.append(value)
         rows = rows.where(F.col(column) == value)
-    return bound
+    return [*bound, remaining]
 
 
 def _reaches(order: list[tuple[str, bool]], bound: list[int], after: bool) -> Column:
@@ -66,20 +74,46 @@ def sort_columns(order: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]
 
 
+def tie_columns(df: DataFrame, order: list[tuple[str, bool]]) -> list[Column]:
+    """Every other column that can be sorted: rows that tie in all of them are alike."""
+    named = {c for c, _ in order}
+    simple = (ArrayType, MapType, StructType)
+    return [F.col(f.name).asc() for f in df.schema if f.name not in named and not isinstance(f.dataType, simple)]
+
+
 def page(df: DataFrame, order: list[tuple[str, bool]], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset+1 … offset+limit`` of the order; its columns are integers that identify a row."""
+    """Rows ``offset+1 … offset+limit`` of the order (integer columns), exactly, at any depth.
+
+    Nulls come first ascending and last descending; rows that tie in the order
+    follow by their other columns. Shallow pages are a plain top-k, deep ones a
+    filter between two bounds; both give the same rows.
+    """
     if limit <= 0:
         return df.where(F.lit(False))
+    sorting = [*sort_columns(order), *tie_columns(df, order)]
     if offset + limit <= NATIVE_LIMIT:
-        return df.orderBy(*sort_columns(order)).offset(offset).limit(limit)
-    first = row_bound(df, order, offset + 1)
+        return df.orderBy(*sorting).offset(offset).limit(limit)
+    helpers = [(f"_null_{i}", f"_value_{i}", column, down) for i, (column, down) in enumerate(order)]
+    rows = df.withColumns(
+        {name: value for n, v, c, _ in helpers for name, value in ((n, F.col(c).isNotNull().cast("int")), (v, F.coalesce(F.col(c), F.lit(0))))}
+    )
+    full = [pair for n, v, _, down in helpers for pair in ((n, down), (v, down))]
+    drop = [name for n, v, _, _ in helpers for name in (n, v)]
+    first = row_bound(rows, full, offset + 1)
     if first is None:
         return df.where(F.lit(False))
-    last = row_bound(df, order, offset + limit)
-    kept = df.where(_reaches(order, first, after=True))
+    last = row_bound(rows, full, offset + limit)
+    *first, skipped = first
+    equal = lambda bound: reduce(lambda a, b: a & b, [F.col(c) == x for (c, _), x in zip(full, bound)])
+    if last is not None and last[:-1] == first:
+        return rows.where(equal(first)).orderBy(*sorting).offset(skipped - 1).limit(limit).drop(*drop)
+    inside = rows.where(_reaches(full, first, after=True) & ~equal(first))
+    parts = [rows.where(equal(first)).orderBy(*sorting).offset(skipped - 1)]
     if last is not None:
-        kept = kept.where(_reaches(order, last, after=False))
-    return kept.orderBy(*sort_columns(order))
+        *last, taken = last
+        inside = inside.where(_reaches(full, last, after=False) & ~equal(last))
+        parts.append(rows.where(equal(last)).orderBy(*sorting).limit(taken))
+    return reduce(DataFrame.unionByName, [inside, *parts]).orderBy(*sorting).drop(*drop)
 
 
 def page_count(df: DataFrame, size: int) -> DataFrame:
@@ -88,20 +122,41 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").cast("bigint").alias("total_rows"), pages.cast("bigint").alias("total_pages"))
 
 
-def clamp_page(number: int, total_pages: int) -> int:
-    return max(1, min(number, total_pages))
-
-
-def keep_newest(df: DataFrame, cap: int, seq: str = "ingest_seq") -> DataFrame:
-    """Newest-arrived ``cap`` rows; 0 keeps everything."""
-    bound = kth_value(df, seq, cap, descending=True) if cap > 0 else None
-    return df if bound is None else df.where(F.col(seq) >= bound[0])
-
-
-def keep_first(df: DataFrame, cap: int, seq: str = "ingest_seq") -> DataFrame:
-    """First-arrived ``cap`` rows; 0 keeps everything."""
-    bound = kth_value(df, seq, cap) if cap > 0 else None
-    return df if bound is None else df.where(F.col(seq) <= bound[0])
+def keep_newest(df: DataFrame, cap: int, seq: str = "ingest_seq", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Newest-arrived ``cap`` rows, of each key if there are any; 0 keeps everything."""
+    return _keep(df, cap, seq, True, keys)
+
+
+def keep_first(df: DataFrame, cap: int, seq: str = "ingest_seq", keys: tuple[str, ...] = ()) -> DataFrame:
+    """First-arrived ``cap`` rows, of each key if there are any; 0 keeps everything."""
+    return _keep(df, cap, seq, False, keys)
+
+
+def _keep(df: DataFrame, cap: int, seq: str, descending: bool, keys: tuple[str, ...]) -> DataFrame:
+    """Never more than ``cap`` rows: of rows with equal numbers the first by their other columns; null numbers come last."""
+    if cap <= 0:
+        return df
+    if keys:
+        numbered = df.withColumn("_unnumbered", F.col(seq).isNull())
+        order = [("_unnumbered", False), (seq, descending)]
+        return top_n_per_key(numbered, list(keys), order, cap, rank="_rank").drop("_rank", "_unnumbered")
+    ties = tie_columns(df, [(seq, descending)])
+    found = kth_place(df, seq, cap, descending)
+    if found is None:
+        numbered, without = df.where(F.col(seq).isNotNull()), df.where(F.col(seq).isNull())
+        rest = cap - numbered.count()
+        return df if without.count() <= rest else numbered.unionByName(without.orderBy(*ties).limit(rest))
+    value, remaining, equal = found
+    if remaining == equal:
+        return df.where(F.col(seq) >= value if descending else F.col(seq) <= value)
+    beyond = df.where(F.col(seq) > value if descending else F.col(seq) < value)
+    return beyond.unionByName(df.where(F.col(seq) == value).orderBy(*ties).limit(remaining))
+
+
+def evicted(df: DataFrame, cap: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """How many rows an arrival cap removes, per key."""
+    over = F.greatest(F.count("*") - F.lit(cap), F.lit(0)) if cap > 0 else F.lit(0)
+    return df.groupBy(*keys).agg(over.cast("bigint").alias("evicted"))
 
 
 def top_n_per_key(

@@ -30,18 +30,19 @@ def new_items(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataF
 
 
 def new_processes(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Process keys of the current collection that are not in the baseline, by text form."""
+    """Process keys of each host's current collection that are not in its baseline, by text form."""
     pick = lambda df: df.where(F.col("subject_process").isNotNull()).select(
-        F.col("subject_process.key").alias("process_key")
+        "host", F.col("subject_process.key").alias("process_key")
     )
-    return new_items(pick(current), pick(baseline), ["process_key"])
+    return new_items(pick(current), pick(baseline), ["host", "process_key"])
 
 
 def new_connections(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Flow keys of each host's current collection that are not in its baseline."""
     pick = lambda df: df.where(F.col("object_flow").isNotNull()).select(
-        F.col("object_flow.key").alias("flow_key")
+        "host", F.col("object_flow.key").alias("flow_key")
     )
-    return new_items(pick(current), pick(baseline), ["flow_key"])
+    return new_items(pick(current), pick(baseline), ["host", "flow_key"])
 
 
 def gone_keys(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def stream_event_key(
 def newest_distinct(events: DataFrame, key: Column, cap: int = STREAM_WINDOW, seq: str = "ingest_seq") -> DataFrame:
     """Newest ``cap`` distinct events: each key counts at its first arrival."""
     first = events.groupBy(key.alias("event_key")).agg(F.min(seq).alias(seq))
-    return first.orderBy(F.col(seq).desc()).limit(cap) if cap <= STREAM_WINDOW else keep_newest(first, cap, seq)
+    return keep_newest(first, cap, seq)
 
 
 def cap_per_group(

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.bags import field
 from ..operators import artifact_copy, asof, cross_source, enrich, integrity, transitions, trust, windows, wmi
 from ..operators.mft_paths import full_paths
-from ..operators.ranking import keep_first, keep_newest
+from ..operators.ranking import evicted, keep_first, keep_newest
 from ..schema import string_map, to_events
 from ..sources import artifacts as shapes
-from .base import EV, activity, big, joined_bytes, le_binary, query, raw_events, spread, table, us, with_ev
+from .base import EV, activity, big, joined_bytes, le_binary, query, raw_events, table, us, with_ev
 
 
 def _seq():
@@ -102,7 +102,7 @@ def _service_values(spark, sf):
         }
     )
     return to_events(
-        spread(table(spark, sf, "orders")),
+        table(spark, sf, "orders"),
         host=F.concat(F.lit("H"), (F.col("o_custkey") % 4).cast("string")),
         ingest_seq=F.col("o_orderkey"),
         ts=F.col("o_orderdate").cast("timestamp"),
@@ -441,6 +441,7 @@ def jn_mft_paths(spark, sf):
 def jn_evidence_rewrite(spark, sf):
     ev = activity(spark, sf)
     copied = raw_events(spark, sf).where(F.col("user_id") % 2 == 0).select(
+        F.concat(F.lit("H"), (F.col("user_id") % 4).cast("string")).alias("host"), F.lit("C0").alias("collection_id"),
         F.concat(F.lit("c:\\LOGS\\u"), F.col("user_id").cast("string"), F.lit(".evtx")).alias("reference"),
         F.concat(F.lit("raw/evtx/"), F.col("user_id").cast("string")).alias("copied_path"),
     ).distinct()
@@ -572,7 +573,7 @@ def _manifests(spark, sf):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     pick = lambda n, yes, no: F.when(key % n == 0, yes).when(key % n == 1, no)
     yes, no = F.lit(True), F.lit(False)
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         F.concat(F.lit("H"), (cust % 4).cast("string")).alias("host"),
         key.cast("string").alias("collection_id"),
         (key % 31 != 7).alias("manifest_present"),
@@ -741,6 +742,16 @@ def win_evict(spark, sf):
     return keep_newest(activity(spark, sf), 3000).select(_seq())
 
 
+@query("win_evict_count", with_ev("SELECT host, greatest(count(*) - 700, 0)::BIGINT AS evicted FROM ev GROUP BY host"))
+def win_evict_count(spark, sf):
+    return evicted(activity(spark, sf), 700, ("host",))
+
+
+@query("win_evict_hosts", with_ev("SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY host ORDER BY seq DESC) AS rn FROM ev) WHERE rn <= 700"))
+def win_evict_hosts(spark, sf):
+    return keep_newest(activity(spark, sf), 700, keys=("host",)).select(_seq())
+
+
 @query("win_export_cap", with_ev("SELECT seq FROM ev ORDER BY seq LIMIT 2500"))
 def win_export_cap(spark, sf):
     return keep_first(activity(spark, sf), 2500).select(_seq())

@@ -635,13 +635,13 @@ def _halves(spark, sf):
 _OLD, _NEW = "ts < TIMESTAMP '2024-01-16'", "ts >= TIMESTAMP '2024-01-16'"
 
 
-@query("jn_diff_processes", with_ev(f"SELECT DISTINCT process_key FROM ev WHERE {_NEW} EXCEPT SELECT process_key FROM ev WHERE {_OLD}"))
+@query("jn_diff_processes", with_ev(f"SELECT DISTINCT host, process_key FROM ev WHERE {_NEW} EXCEPT SELECT host, process_key FROM ev WHERE {_OLD}"))
 def jn_diff_processes(spark, sf):
     baseline, current = _halves(spark, sf)
     return sets.new_processes(current, baseline)
 
 
-@query("jn_diff_connections", with_ev(f"SELECT DISTINCT flow_key FROM evk WHERE {_NEW} AND flow_key IS NOT NULL EXCEPT SELECT flow_key FROM evk WHERE {_OLD}"))
+@query("jn_diff_connections", with_ev(f"SELECT DISTINCT host, flow_key FROM evk WHERE {_NEW} AND flow_key IS NOT NULL EXCEPT SELECT host, flow_key FROM evk WHERE {_OLD}"))
 def jn_diff_connections(spark, sf):
     baseline, current = _halves(spark, sf)
     return sets.new_connections(current, baseline)
@@ -663,12 +663,12 @@ def set_new_items(spark, sf):
 
 @query(
     "set_closed_connections",
-    with_fl("SELECT DISTINCT local_ep, remote_ep FROM fl WHERE ts < TIMESTAMP '1999-01-01' EXCEPT SELECT local_ep, remote_ep FROM fl WHERE ts >= TIMESTAMP '1999-01-01' AND ts < TIMESTAMP '1999-03-01'"),
+    with_fl("SELECT DISTINCT local_ep, remote_ep FROM fl WHERE ts < TIMESTAMP '1999-01-01' EXCEPT SELECT local_ep, remote_ep FROM fl WHERE ts >= TIMESTAMP '1999-01-01'"),
 )
 def set_closed_connections(spark, sf):
     rows = flows(spark, sf).select(F.col("object_flow.local_ep").alias("local_ep"), F.col("object_flow.remote_ep").alias("remote_ep"), "ts")
     before = rows.where(F.col("ts") < "1999-01-01")
-    now = rows.where((F.col("ts") >= "1999-01-01") & (F.col("ts") < "1999-03-01"))
+    now = rows.where(F.col("ts") >= "1999-01-01")
     return sets.gone_keys(before, now, ["local_ep", "remote_ep"])
 
 

@@ -66,12 +66,13 @@ def write_timeline_lines(events: DataFrame, path: str, cap: int = 0) -> None:
     rows.select("host", "collection_id", "ingest_seq", "_e.*").write.mode("overwrite").json(path)
 
 
-def bundle_documents(events: DataFrame, cap: int = EXPORT_CAP) -> DataFrame:
+def bundle_documents(events: DataFrame, cap: int = 0) -> DataFrame:
     """One timeline document per collection, for small exports.
 
-    The arrival cap bounds what is gathered into one document.
+    The arrival cap of each collection bounds what is gathered into one document
+    (0: everything; ``EXPORT_CAP`` is the usual value).
     """
-    rows = keep_first(events, cap).select("host", "collection_id", "ingest_seq", event_json().alias("json"))
+    rows = keep_first(events, cap, keys=("host", "collection_id")).select("host", "collection_id", "ingest_seq", event_json().alias("json"))
     listed = F.array_sort(F.collect_list(F.struct("ingest_seq", "json")))
     body = F.array_join(F.transform(listed, lambda e: e["json"]), ",\n")
     return rows.groupBy("host", "collection_id").agg(
@@ -126,7 +127,7 @@ def hash_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def write_session(events: DataFrame, folder: str, cap: int = EXPORT_CAP) -> None:
+def write_session(events: DataFrame, folder: str, cap: int = 0) -> None:
     """Saved session: the first-arrived events and a meta row that counts them."""
     spark: SparkSession = events.sparkSession
     base = folder.rstrip("/")

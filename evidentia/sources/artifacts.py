@@ -37,7 +37,7 @@ def _words(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
 
 
-def chromium_events(urls: DataFrame, visits: DataFrame, cap: int = VISITS_PER_DATABASE) -> DataFrame:
+def chromium_events(urls: DataFrame, visits: DataFrame, cap: int = 0) -> DataFrame:
     """Visits of Chromium databases, newest ``cap`` per database (0 keeps all).
 
     ``urls``: ``host, database, id, url, title, visit_count, typed_count``;
@@ -58,7 +58,7 @@ def chromium_events(urls: DataFrame, visits: DataFrame, cap: int = VISITS_PER_DA
     ).where(F.col("ts").isNotNull())
 
 
-def firefox_events(places: DataFrame, visits: DataFrame, cap: int = VISITS_PER_DATABASE) -> DataFrame:
+def firefox_events(places: DataFrame, visits: DataFrame, cap: int = 0) -> DataFrame:
     """Visits of Firefox databases.
 
     ``places``: ``host, database, id, url, title, visit_count``;

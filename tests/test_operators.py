@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import asof, cross_source, integrity, mft_paths, ranking, sets, transitions, trust, windows, wmi
+from evidentia.operators import asof, cross_source, enrich, integrity, mft_paths, ranking, sets, transitions, trust, windows, wmi
 from evidentia.streaming import stateful
 from evidentia.session import staging_path
 from evidentia.sources.live import read_record_stream
@@ -317,3 +317,62 @@ def test_stream_state_crosses_batches(spark):
         keyed.writeStream.format("parquet").option("checkpointLocation", out + "-log").trigger(availableNow=True).start(out).awaitTermination()
     found = {r["ingest_seq"]: (r["create_us"], r["resolution"]) for r in spark.read.parquet(out).collect()}
     assert found == walk(rows, ttl)
+
+
+@pytest.mark.parametrize("native", [0, 1000])
+def test_page_ties_and_nulls(spark, monkeypatch, native):
+    """Any page is the same slice of the sorted rows, on either side of the shallow form."""
+    monkeypatch.setattr(ranking, "NATIVE_LIMIT", native)
+    monkeypatch.setattr(ranking, "BUCKETS", 3)
+    rows = [(None if i % 5 == 0 else i // 4, i % 3 if i % 7 else None, f"r{i % 9}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "a long, b long, name string")
+    for order in ([("a", True)], [("a", False), ("b", True)]):
+        sorting = [*ranking.sort_columns(order), *ranking.tie_columns(frame, order)]
+        whole = [tuple(r) for r in frame.orderBy(*sorting).collect()]
+        for offset, limit in ((0, 1), (3, 11), (10, 13), (40, 30), (59, 5), (60, 5), (0, 100)):
+            assert [tuple(r) for r in ranking.page(frame, order, offset, limit).collect()] == whole[offset : offset + limit]
+
+
+def test_caps_with_ties_nulls_and_keys(spark):
+    rows = [("h1" if i % 3 else "h2", i // 2 if i % 10 else None, i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "host string, ingest_seq long, x int")
+    for cap in range(1, 45, 3):
+        for keep, descending in ((ranking.keep_first, False), (ranking.keep_newest, True)):
+            known = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if descending else r[1], r[0], r[2]))
+            unknown = sorted((r for r in rows if r[1] is None), key=lambda r: (r[0], r[2]))
+            assert {tuple(r) for r in keep(frame, cap).collect()} == set((known + unknown)[:cap])
+            per_host = {r["host"]: r["n"] for r in keep(frame, cap, keys=("host",)).groupBy("host").agg(F.count("*").alias("n")).collect()}
+            assert per_host == {h: min(cap, sum(r[0] == h for r in rows)) for h in ("h1", "h2")}
+    assert {r["host"]: r["evicted"] for r in ranking.evicted(frame, 15, ("host",)).collect()} == {"h1": 11, "h2": 0}
+
+
+def test_collections_are_kept_apart(spark):
+    events = spark.createDataFrame(
+        [("H", c, n, "2024-01-01 00:00:00", 7, None, False, False) for c in ("A", "B") for n in (1, 2)],
+        "host string, collection_id string, ingest_seq long, ts string, pid long, create_hint timestamp, is_stop boolean, is_long_lived boolean",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    resolved = asof.resolve_process_keys(events)
+    assert sorted((r["collection_id"], r["ingest_seq"], r["life_seq"]) for r in resolved.collect()) == [("A", 1, 1), ("A", 2, 1), ("B", 1, 1), ("B", 2, 1)]
+    assert asof.cache_stats(resolved).first()["total_entries"] == 2
+
+
+def test_evidence_stays_with_its_collection(spark):
+    evidence = "array<struct<source:string,reference:string,hash:string,collected_at:timestamp>>"
+    rows = [("H", c, n, [("s", ref, None, None) for ref in refs]) for c, n, refs in (("A", 1, "ab"), ("A", 2, "c"), ("B", 1, "ab"), ("B", 2, "d"))]
+    events = spark.createDataFrame(rows, f"host string, collection_id string, ingest_seq long, evidence {evidence}")
+    copied = spark.createDataFrame([("H", "A", "A", "raw/a"), ("G", "B", "b", "raw/b")], "host string, collection_id string, reference string, copied_path string")
+    got = {(r["collection_id"], r["ingest_seq"]): [e["reference"] for e in r["evidence"]] for r in enrich.rewrite_evidence(events, copied).collect()}
+    assert got == {("A", 1): ["raw/a", "b"], ("A", 2): ["c"], ("B", 1): ["a", "b"], ("B", 2): ["d"]}
+
+
+def test_last_id_wins(spark):
+    blob = lambda t: bytearray(f"{t}\0".encode("utf-16-le"))
+    rows = [("H", 1, 0, blob("!!z"), 1), ("H", 1, 0, blob("!!a"), 2), ("H", 2, 0, blob("!!b"), 1), ("H", 2, 0, None, 2)]
+    ids = spark.createDataFrame(rows, "host string, id_index long, id_type int, id_blob binary, row_number long")
+    assert {r["id_index"]: r["id_value"] for r in enrich.srum_id_map(ids).collect()} == {1: "!!a", 2: ""}
+
+
+def test_new_items_of_each_host(spark):
+    rows = lambda *pairs: spark.createDataFrame([(h, (k,)) for h, k in pairs], "host string, object_flow struct<key:string>")
+    got = sets.new_connections(rows(("A", "0.0.0.0:445"), ("B", "x")), rows(("B", "0.0.0.0:445"), ("B", "x")))
+    assert [tuple(r) for r in got.collect()] == [("A", "0.0.0.0:445")]
