@@ -127,8 +127,8 @@ def agg_service(spark, sf):
     return cross_source.offline_service_items(_service_values(spark, sf)).select("host", "key", "display", "value")
 
 
-def _live_services(spark, sf):
-    rows = table(spark, sf, "customer").where(F.col("c_custkey") % 10 != 4)
+def _live_services(spark, sf, rows=None):
+    rows = table(spark, sf, "customer") if rows is None else rows
     return shapes.service_events(
         rows.select(
             F.concat(F.lit("H"), (F.col("c_custkey") % 4).cast("string")).alias("host"),
@@ -147,7 +147,7 @@ def _live_services(spark, sf):
 
 @query(
     "fn_service_event",
-    "SELECT c_custkey AS seq, 'Service: svc' || c_custkey || ' (' || c_name || ') — Running/Auto' AS summary FROM customer WHERE c_custkey % 10 <> 4",
+    "SELECT c_custkey AS seq, 'Service: svc' || c_custkey || ' (' || c_name || ') — Running/Auto' AS summary FROM customer",
 )
 def fn_service_event(spark, sf):
     return _live_services(spark, sf).select(_seq(), "summary")
@@ -160,7 +160,8 @@ def fn_service_event(spark, sf):
         FROM live FULL JOIN off ON live.host = off.host AND live.key = off.key WHERE live.key IS NULL OR off.key IS NULL""",
 )
 def jn_cross_service(spark, sf):
-    both = _live_services(spark, sf).unionByName(_service_values(spark, sf))
+    running = table(spark, sf, "customer").where(F.col("c_custkey") % 10 != 4)  # the others are missing from the live side
+    both = _live_services(spark, sf, running).unionByName(_service_values(spark, sf))
     return cross_source.compare_services(both).select("host", "key", "kind")
 
 
@@ -273,7 +274,9 @@ def _usage_tables(spark, sf):
     )
     network = base.where(F.col("l_returnflag") == "A").drop("l_returnflag")
     energy = base.where(F.col("l_returnflag") == "N").drop("l_returnflag", "BytesSent", "BytesRecvd")
+    cpu = base.where(F.col("l_returnflag") == "R").drop("l_returnflag", "BytesSent", "BytesRecvd")
     return {
+        "{DA73FB89-2BEA-4DDC-86B8-6E048C6DA477}": cpu,
         "{973F5D5C-1D90-4944-BE8E-24B94231A174}": network,
         "{d10ca2fe-6fcf-4f6d-848e-b2e99266fa86}": energy,
         "{00000000-0000-0000-0000-000000000000}": energy,
@@ -282,8 +285,8 @@ def _usage_tables(spark, sf):
 
 @query(
     "src_srum",
-    """SELECT CASE l_returnflag WHEN 'A' THEN 'Network Data Usage' ELSE 'Energy Usage' END AS provider, count(*)::BIGINT AS n,
-       sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS BIGINT) END)::BIGINT AS sent FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1""",
+    """SELECT CASE l_returnflag WHEN 'A' THEN 'Network Data Usage' WHEN 'N' THEN 'Energy Usage' ELSE 'SDP CPU Provider' END AS provider, count(*)::BIGINT AS n,
+       sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS BIGINT) END)::BIGINT AS sent FROM lineitem GROUP BY 1""",
 )
 def src_srum(spark, sf):
     rows = shapes.usage_rows(_usage_tables(spark, sf))
@@ -292,8 +295,8 @@ def src_srum(spark, sf):
 
 @query(
     "win_table_cap",
-    """SELECT provider, count(*)::BIGINT AS n, max(seq)::BIGINT AS last_seq FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'Network Data Usage' ELSE 'Energy Usage' END AS provider,
-         l_orderkey * 8 + l_linenumber AS seq, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 8 + l_linenumber) AS rn FROM lineitem WHERE l_returnflag IN ('A', 'N'))
+    """SELECT provider, count(*)::BIGINT AS n, max(seq)::BIGINT AS last_seq FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'Network Data Usage' WHEN 'N' THEN 'Energy Usage' ELSE 'SDP CPU Provider' END AS provider,
+         l_orderkey * 8 + l_linenumber AS seq, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 8 + l_linenumber) AS rn FROM lineitem)
        WHERE rn <= 1500 GROUP BY provider""",
 )
 def win_table_cap(spark, sf):
@@ -306,8 +309,8 @@ def win_table_cap(spark, sf):
     """WITH n AS (SELECT l.*, CASE WHEN l_partkey % 10 <> 9 THEN '!!' || p_name ELSE '(unknown app)' END AS app FROM lineitem l LEFT JOIN part ON l_partkey = p_partkey)
        SELECT category, count(*)::BIGINT AS n, count(DISTINCT summary)::BIGINT AS n_summaries, min(summary) AS first_summary FROM (
          SELECT CASE l_returnflag WHEN 'A' THEN 'Network' ELSE 'System' END AS category,
-           CASE l_returnflag WHEN 'A' THEN 'SRUM Network Data Usage: ' || app || ' sent=' || CAST(l_quantity AS BIGINT) || ' recvd=' || l_linenumber ELSE 'SRUM Energy Usage: ' || app END AS summary
-         FROM n WHERE l_returnflag IN ('A', 'N')) GROUP BY category""",
+           CASE l_returnflag WHEN 'A' THEN 'SRUM Network Data Usage: ' || app || ' sent=' || CAST(l_quantity AS BIGINT) || ' recvd=' || l_linenumber WHEN 'N' THEN 'SRUM Energy Usage: ' || app ELSE 'SRUM SDP CPU Provider: ' || app END AS summary
+         FROM n) GROUP BY category""",
 )
 def fn_srum_event(spark, sf):
     events = shapes.usage_events(

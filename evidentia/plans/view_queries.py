@@ -619,10 +619,10 @@ def agg_provider_groups(spark, sf):
 
 @query(
     "agg_distinct_artifacts",
-    "SELECT lang, count(*)::BIGINT AS n FROM (SELECT DISTINCT lang, lower(split_part(text, ' ', 1)) AS w FROM documents) GROUP BY lang",
+    "SELECT lang, count(*)::BIGINT AS n FROM (SELECT DISTINCT lang, lower(unnest(string_split(text, ' '))) AS w FROM documents) GROUP BY lang",
 )
 def agg_distinct_artifacts(spark, sf):
-    rows = table(spark, sf, "documents").select("lang", "doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
+    rows = table(spark, sf, "documents").select("lang", "doc_id", F.explode(F.split("text", " ")).alias("w"))
     return sets.distinct_ignore_case(rows, "w", "doc_id", ("lang",)).groupBy("lang").agg(F.count("*").alias("n"))
 
 
