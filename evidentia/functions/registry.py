@@ -515,7 +515,3 @@ def service_labels(type_label: Column) -> tuple[Column, Column]:
     """(driver label, process label) flags of one type label."""
     driver = icontains(type_label, "driver")
     return driver, ~driver & icontains(type_label, "process")
-
-
-def has_text(value: Column) -> Column:
-    return ~is_blank(value)

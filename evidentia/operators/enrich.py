@@ -40,18 +40,6 @@ def resolve_ids(
     return rows.join(apps, [host, app_id], "left").join(users, [host, user_id], "left")
 
 
-def join_dimension(rows: DataFrame, dimension: DataFrame, on: dict[str, str], columns: dict[str, str]) -> DataFrame:
-    """Left join with renamed dimension columns: ``on`` maps row key to dimension key."""
-    right = dimension.select(
-        *[F.col(theirs).alias(f"_k_{i}") for i, theirs in enumerate(on.values())],
-        *[F.col(source).alias(target) for target, source in columns.items()],
-    )
-    condition = F.lit(True)
-    for i, ours in enumerate(on):
-        condition = condition & (rows[ours] == right[f"_k_{i}"])
-    return rows.join(right, condition, "left").drop(*[f"_k_{i}" for i in range(len(on))])
-
-
 def visits_of_urls(urls: DataFrame, visits: DataFrame, url_id: str, visit_url: str) -> DataFrame:
     """Inner join of a history database's pages and visits, per host and database file."""
     right = visits.withColumnRenamed(visit_url, url_id)

@@ -236,7 +236,3 @@ def mft_filter(
     if time_stomp_only:
         entries = entries.where(F.col("time_stomp_suspect"))
     return entries
-
-
-def not_blank_key(rows: DataFrame, column: str) -> DataFrame:
-    return rows.where(~is_blank(F.col(column)))

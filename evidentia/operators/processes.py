@@ -243,8 +243,3 @@ def entities(events: DataFrame) -> dict[str, DataFrame]:
 
 def module_name(image_path: Column, process_name: Column) -> Column:
     return F.coalesce(file_name(not_blank(image_path)), process_name)
-
-
-def normalized(events: DataFrame) -> DataFrame:
-    """Events with canonical verbs, for callers that bring raw ones."""
-    return events.withColumn("action", normalize_action(F.col("action")))

@@ -354,11 +354,6 @@ def trust_overall(signals: DataFrame) -> DataFrame:
     )
 
 
-def level_name(level: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in LEVEL_NAMES.items() for x in pair])
-    return F.try_element_at(table, level)
-
-
 def known_limitations(document: Column) -> Column:
     """Limitations of a manifest document as a list, from an array, an object or a string."""
     raw = F.get_json_object(document, "$.knownLimitations")

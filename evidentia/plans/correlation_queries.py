@@ -563,6 +563,12 @@ def agg_drop_totals(spark, sf):
     )
 
 
+@query("agg_drop_grand_total", with_ev("SELECT coalesce(sum(cents), 0)::BIGINT AS dropped_event_total FROM ev"))
+def agg_drop_grand_total(spark, sf):
+    reports = activity(spark, sf).select("host", "category", "ts", big(field(F.col("fields"), "Size")).alias("dropped"))
+    return trust.drop_grand_total(reports)
+
+
 @query("agg_warnings", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || '|' || o_orderstatus ELSE o_orderstatus || '|' || o_orderpriority END AS warnings FROM orders")
 def agg_warnings(spark, sf):
     a, b = F.col("o_orderpriority"), F.col("o_orderstatus")

@@ -85,18 +85,19 @@ def st_hourly_flows(spark, sf):
 )
 def st_completeness(spark, sf):
     path, out = staging_path(spark, "feed"), staging_path(spark, "levels")
-    activity(spark, sf).write.parquet(path)
-    body = ingest.batch_levels(100, lambda rows, batch_id: rows.write.mode("append").parquet(out))
+    activity(spark, sf).repartition(3).write.parquet(path)  # several files, so several batches
+    append = lambda rows, batch_id: rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
     (
-        read_event_stream(spark, path)
-        .writeStream.foreachBatch(body)
+        ingest.running_levels(read_event_stream(spark, path, max_files=1), 100)
+        .writeStream.outputMode("update").foreachBatch(append)
         .option("checkpointLocation", out + "-log")
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    rows = spark.read.parquet(out)
-    return rows.select("host", "event_count", big(F.col("status.level")).alias("level"))
+    last = F.max_by(F.struct("event_count", F.col("status.level").alias("level")), "batch_id").alias("last")
+    rows = spark.read.parquet(out).groupBy("host").agg(last)
+    return rows.select("host", "last.event_count", big(F.col("last.level")).alias("level"))
 
 
 # The anchored walk, one event per host and category and step; limits are 2 and 1 per second.

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.bags import field
-from ..functions.keys import process_key
+from ..functions.keys import file_key_text, process_key
 from ..operators import connections, filters, processes, ranking, sets, views, windows
 from ..operators.filters import ProcessRule
 from ..schema import string_map, to_events
@@ -40,15 +40,16 @@ def flt_user(spark, sf):
     return _seqs(filters.by_user(activity(spark, sf), "S-1-5-21-7"))
 
 
-@query("flt_file", with_ev(r"SELECT seq FROM evk WHERE file_key = 'F:C:\Data\u3\f4.bin'"))
+@query("flt_file", with_ev("SELECT seq FROM evk WHERE file_key = (SELECT min(file_key) FROM evk)"))
 def flt_file(spark, sf):
-    return _seqs(filters.by_file(activity(spark, sf), "F:C:\\Data\\u3\\f4.bin"))
+    ev = activity(spark, sf)
+    return _seqs(filters.by_file(ev, ev.agg(F.min(file_key_text(F.col("object_file")))).first()[0]))
 
 
-@query("flt_flow", with_ev("SELECT seq FROM evk WHERE protocol = 'TCP' AND flow_key LIKE '%:12:%' AND flow_pid = 12"))
+@query("flt_flow", with_ev("SELECT seq FROM evk WHERE event_type = 'click' AND flow_key = (SELECT min(flow_key) FROM evk WHERE event_type = 'click')"))
 def flt_flow(spark, sf):
     ev = activity(spark, sf)
-    return _seqs(filters.by_protocol(ev, "TCP").where(F.col("object_flow.pid") == 12))
+    return _seqs(filters.by_flow(ev, ev.agg(F.min("object_flow.key")).first()[0]))
 
 
 @query("flt_category", with_ev("SELECT seq FROM ev WHERE category = 'Network'"))

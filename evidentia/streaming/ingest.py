@@ -5,7 +5,6 @@ No watermark is set unless state needs one; late events are accepted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,17 +85,17 @@ def collection_level(counts: DataFrame) -> DataFrame:
     )
 
 
-def batch_levels(cap: int, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` body that hands one completeness row per host and batch to ``sink``."""
+def running_levels(stream: DataFrame, cap: int, evicted: str | None = None, render_dropped: str | None = None) -> DataFrame:
+    """Completeness of everything received so far, a row per host whenever it changes (update mode).
 
-    def body(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy("host").agg(F.count("*").alias("event_count")).select(
-            "host",
-            "event_count",
-            F.lit(cap).cast("bigint").alias("cap"),
-            F.lit(0).cast("bigint").alias("evicted"),
-            F.lit(0).cast("bigint").alias("render_dropped"),
-        )
-        sink(collection_level(counts), batch_id)
-
-    return body
+    ``evicted`` and ``render_dropped`` name columns with counts that rows report; the
+    state is one row per host, however the feed is cut into batches.
+    """
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)) if name else F.lit(0)
+    counts = stream.groupBy("host").agg(
+        F.count("*").alias("event_count"),
+        F.lit(cap).cast("bigint").alias("cap"),
+        total(evicted).cast("bigint").alias("evicted"),
+        total(render_dropped).cast("bigint").alias("render_dropped"),
+    )
+    return collection_level(counts)
