@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, query, staged, table
+from .base import arrow_map, query, release, staged, table
 from .bloom import bloom
 from .columns import Words, ids, mix, slices, texts
 from .components import components
@@ -419,19 +419,25 @@ def _ask(documents: DataFrame, text_column: str, asked: DataFrame, homes: DataFr
 
 def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", part: int = PART) -> DataFrame:
     """One row per document: the size of its shingle set and the smallest id reachable by links."""
+    spark = documents.sparkSession
     described = _describe(documents, id_column, text_column)
     sets = described.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "sig")
     postings = _postings(documents, text_column, _frequent(described))
+    release(spark)
     parts = _groups(postings, part)
+    release(spark)
     near = parts.select("sig").unionByName(parts.select(F.col("pivot").alias("sig"))).distinct()
     posted = postings.groupBy("sig").agg(F.max("n").alias("n")).withColumn("cls", F.col("sig"))
     homes = _homes(posted, _open(parts, _tokens(documents, text_column, near)), part, "inner")
+    release(spark)
     for _ in range(ROUNDS):
         links = _towards_largest(documents, text_column, postings, homes, part)
         if links.isEmpty():
             break
         homes = _homes(homes.select("sig", "n", "cls"), links, part, "rounds")
+        release(spark)
     final = _homes(homes.select("sig", "n", "cls"), _across(documents, text_column, postings, homes), part, "outer").select("sig", "cls")
+    release(spark)
 
     copies = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(final, "sig", "left")
     named = copies.withColumn("cls", F.coalesce("cls", "sig"))

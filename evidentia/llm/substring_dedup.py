@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, query, staged, table
+from .base import arrow_map, query, release, staged, table
 from .bloom import bloom
 from .columns import Words, mix, slices, texts
 
@@ -141,6 +141,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, seed: int = SEED,
     met = arrow_map(documents.select("key", "text"), seeds, "anchor long, salt int, key long, start int, windows binary")
     met = met.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = staged(arrow_map(met, extend, "key long, first int, last int, window long, times int"), "spans")
+    del met
+    release(spark)
     open_ = found.where("window is not null")
     again = open_.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
     late = open_.where("first < last").join(again, "window").select("key", "first", "last")
