@@ -1,17 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of blocks (text between block-level tags), each with
-its root-to-leaf tag path. Elements that are no article by their kind (menus,
-headers, footers, sidebars, forms, scripts and the like) or by their class, id
-or role (adverts, notices, reader comments) are left out with all below them.
+its root-to-leaf tag path. Only scripts, styles and other raw text are left out
+for their kind. Elements that are seldom an article by their tag (menus, headers,
+footers, sidebars, forms), by a whole word of their class, id or role (adverts,
+notices, reader comments; of a compound all parts must say so) are doubted: their
+paths are apart from others, both their ratios count a tenth and they are kept
+only if they reach the threshold all the same. Hidden elements are left out. No
+element is doubted or taken as hidden that holds an ``article`` or ``main`` (of
+half the longest one's length at least), or half of the text without links while
+any ``article`` or ``main`` outside doubted elements has less than a tenth of it.
 
 For every path the text lengths and punctuation marks of its blocks are added up
 and divided by its number of blocks. Both ratios are smoothed over neighbouring
 blocks in page order and fused into one score; blocks of paths that reach the
 threshold are content. The deepest element that holds nearly all content leads to
 the article: the ``article`` or ``main`` around it, or else its nearest container
-with the headings beside it. All blocks of the article are kept, except lists of
-links outside a marked article.
+with the headings beside it. All blocks of the article are kept, also short lines and
+cells whose paths are below the threshold, except doubted ones and lists of links
+outside a marked article.
 
 Edge cases: a null or empty page and one without text have an empty text; a page
 without tags is one block; markup that is cut off is dropped, text of elements
@@ -43,7 +50,7 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-NAME = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[-_]+")
 MARKS = re.compile(r"[.,;:!?…。，！？]")
 
 RAW = frozenset("script style noscript template iframe textarea title noembed noframes xmp".split())
@@ -51,8 +58,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
-LEFT_OUT = frozenset("nav header footer aside form button select fieldset dialog menu head svg math canvas object audio video map".split()) | RAW
-#: Words of a class, id or role that tell what is no article.
+DOUBT = 0.1  # of the score of a doubted path
+DOUBTED = frozenset("nav header footer aside form button select fieldset dialog menu head svg math canvas object audio video map".split())
+#: Words of a class, id or role that tell what is seldom an article; a compound tells it if all its parts do.
 NO_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification banner popup modal overlay "
     "sidebar side widget widgets related recommended recommendations comment comments commentlist disqus discussion reply replies respond nav navbar navigation menu breadcrumb breadcrumbs "
@@ -69,38 +77,60 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol dl table body html article section div main td th".split())
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
-        return True
-    if tag in NEVER or not attributes:
-        return False
+def _doubt(tag: str, attributes: str) -> int:
+    """2: hidden; 1: seldom an article; 0: neither."""
+    if tag in NEVER:
+        return 0
+    found = int(tag in DOUBTED)
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and not NO_ARTICLE.isdisjoint(NAME.findall(value)):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and any(NO_ARTICLE.issuperset(PARTS.split(word)) for word in value.split()):
+            found = 1
+    return found
 
 
-def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
-    """Open elements (numbered, outermost first), tag path, text and linked characters of every block."""
-    out: list[tuple[tuple[int, ...], str, str, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, left out
-    held: list[str] = []
-    linked = number = 0
+def _cleared(pieces: list, doubts: dict[int, int]) -> set[int]:
+    """Elements that their tag, words or hiding speak against, but that hold the article."""
+    inside: dict[int, int] = {}  # text without links in every doubted element
+    marked: dict[int, int] = {}  # and in every article or main, each text in the innermost one
+    around: dict[int, set[int]] = {}
+    closing: set[int] = set()
+    total = 0
+    for own, held, _ in pieces:
+        size = sum(len(" ".join(text.split())) for text, linked, _ in held if not linked)
+        total += size
+        doubted = {x[1] for x in own if x[1] in doubts} | {x for _, _, inline in held for x in inline}
+        for element in doubted:
+            inside[element] = inside.get(element, 0) + size
+        closing.update(x[1] for x in own if x[0] in ("nav", "footer"))
+        mark = next((i for i in range(len(own) - 1, -1, -1) if own[i][0] in MARKED), None)
+        if mark is not None:
+            marked[own[mark][1]] = marked.get(own[mark][1], 0) + size
+            around[own[mark][1]] = {x for x in doubted if x < own[mark][1]}  # outer elements have smaller numbers
+    most = max(marked.values(), default=0)
+    outside = sum(n for m, n in marked.items() if not around[m])
+    cleared = {e for m, n in marked.items() if n and 2 * n >= most for e in around[m]}
+    # A menu or footer may be longer than a short article beside it.
+    return cleared | {e for e, n in inside.items() if n and 2 * n >= total and (0 if e in closing else n) >= 10 * outside}
+
+
+def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int, bool]]:
+    """Open elements (numbered, outermost first), tag path, text, linked characters and doubt of every block."""
+    pieces: list = []  # open block elements; text, whether linked and doubted inline elements of every piece; doubted
+    doubts: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []  # tag, number
+    held: list[tuple[str, bool, tuple[int, ...]]] = []
+    number = 0
 
     def close_block() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join("".join(held).split())
-            if text:
-                own = [x for x in stack if x[0] not in INLINE]
-                out.append((tuple(x[1] for x in own), "/".join(x[0] for x in own), text, min(linked, len(text))))
-            held.clear()
-        linked = 0
+        if any(not text.isspace() for text, _, _ in held):
+            own = [x for x in stack if x[0] not in INLINE]
+            pieces.append((own, tuple(held), any(x[1] in doubts for x in own)))
+        held.clear()
 
     def pop_to(at: int) -> None:
         if any(x[0] not in INLINE for x in stack[at:]):
@@ -111,11 +141,9 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
     while at < size:
         m = TAG.search(page, at)
         raw = page[at : m.start()] if m else page[at:]
-        if raw and not (stack and stack[-1][2]):
-            text = references.unescape(raw)
-            held.append(text)
-            if any(x[0] == "a" for x in stack):
-                linked += len(" ".join(text.split()))
+        if raw:
+            inline = tuple(x[1] for x in stack if x[1] in doubts and x[0] in INLINE) if doubts else ()
+            held.append((references.unescape(raw), any(x[0] == "a" for x in stack), inline))
         if not m:
             break
         at = m.end()
@@ -131,7 +159,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             continue
         if tag in VOID:
             if tag == "br":
-                held.append(" ")
+                held.append((" ", False, ()))
             elif tag not in INLINE:
                 close_block()
             continue
@@ -153,14 +181,29 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
         if attributes.rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
         number += 1
-        stack.append((tag, number, bool(stack and stack[-1][2]) or _left_out(tag, attributes)))
+        stack.append((tag, number))
+        if doubt := _doubt(tag, attributes):
+            doubts[number] = doubt
     close_block()
+    for element in _cleared(pieces, doubts) if doubts else ():
+        del doubts[element]
+    out = []
+    for own, held_pieces, doubted in pieces:
+        if doubted and any(doubts.get(x[1]) == 2 for x in own):
+            continue
+        shown = [x for x in held_pieces if not any(doubts.get(e) == 2 for e in x[2])]
+        text = " ".join("".join(x[0] for x in shown).split())
+        if text:
+            # A doubted inline element counts if the block has no text beside it.
+            doubted = doubted and any(x[1] in doubts for x in own) or all(any(e in doubts for e in x[2]) for x in shown if not x[0].isspace())
+            linked = sum(len(" ".join(x[0].split())) for x in shown if x[1])
+            out.append((tuple(x[1] for x in own), "/".join(x[0] for x in own), text, min(linked, len(text)), doubted))
     return out
 
 
-def _article(root: int, found: list[tuple[tuple[int, ...], str, str, int]]) -> int:
+def _article(root: int, found: list[tuple[tuple[int, ...], str, str, int, bool]]) -> int:
     """The element that makes the article around the deepest one: marked as such, or a container with its headings."""
-    elements, path = next((e, p.split("/")) for e, p, _, _ in found if root in e)
+    elements, path = next((e, p.split("/")) for e, p, *_ in found if root in e)
     depth = elements.index(root)
     for at in range(depth, -1, -1):
         if path[at] in MARKED:
@@ -180,35 +223,43 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    length: dict[str, list[float]] = {}
-    for _, path, text, linked in found:
-        sums = length.setdefault(path, [0, 0, 0])
-        sums[0] += len(text) - linked
-        sums[1] += len(MARKS.findall(text)) if linked < len(text) else 0
-        sums[2] += 1
-    ratio = [(length[b[1]][0] / length[b[1]][2], length[b[1]][1] / length[b[1]][2]) for b in found]
-    scores = []
-    for i in range(len(ratio)):
-        near = [(SMOOTH[abs(j - i)], ratio[j]) for j in range(max(0, i - 2), min(len(ratio), i + 3))]
-        weight = sum(w for w, _ in near)
-        scores.append(sum(w * r[0] for w, r in near) / weight * (1 + sum(w * r[1] for w, r in near) / weight))
-    by_path: dict[str, list[float]] = {}
-    for (_, path, _, _), score in zip(found, scores, strict=True):
-        by_path.setdefault(path, []).append(score)
-    fused = {path: sum(x) / len(x) for path, x in by_path.items()}
-    floor = FLOOR * sum(scores) / len(scores)
-    content = [fused[path] >= floor for _, path, _, _ in found]
-    # The deepest element that holds nearly all of the content's text.
-    total = sum(len(b[2]) for b, good in zip(found, content, strict=True) if good)
+    sums: dict[tuple[str, bool], list[float]] = {}
+    for _, path, text, linked, doubted in found:
+        own = sums.setdefault((path, doubted), [0, 0, 0])
+        own[0] += len(text) - linked
+        own[1] += len(MARKS.findall(text)) if linked < len(text) else 0
+        own[2] += 1
+    fused: dict[tuple[str, bool], float] = {}
+    floor = 0.0
+    for doubt in (False, True):
+        # Doubted blocks are no neighbours of others.
+        keys = [(b[1], doubt) for b in found if b[4] == doubt]
+        ratio = [(sums[k][0] / sums[k][2], sums[k][1] / sums[k][2]) for k in keys]
+        scores = []
+        for i in range(len(ratio)):
+            near = [(SMOOTH[abs(j - i)], ratio[j]) for j in range(max(0, i - 2), min(len(ratio), i + 3))]
+            weight = sum(w for w, _ in near) / (DOUBT if doubt else 1)
+            scores.append(sum(w * r[0] for w, r in near) / weight * (1 + sum(w * r[1] for w, r in near) / weight))
+        by_path: dict[tuple[str, bool], list[float]] = {}
+        for key, score in zip(keys, scores, strict=True):
+            by_path.setdefault(key, []).append(score)
+        fused |= {key: sum(x) / len(x) for key, x in by_path.items()}
+        if scores and not floor:
+            floor = FLOOR * sum(scores) / len(scores)
+    content = [fused[path, doubted] >= floor for _, path, _, _, doubted in found]
+    # The deepest element that holds nearly all of the content's text, doubted text only where there is no other.
+    sure = any(good and not b[4] for b, good in zip(found, content, strict=True))
+    counted = [good and not (sure and b[4]) for b, good in zip(found, content, strict=True)]
+    total = sum(len(b[2]) for b, good in zip(found, counted, strict=True) if good)
     held: dict[int, int] = {}
-    for (elements, _, text, _), good in zip(found, content, strict=True):
+    for (elements, _, text, _, _), good in zip(found, counted, strict=True):
         for element in elements if good else ():
             held[element] = held.get(element, 0) + len(text)
     root = max((e for e, n in held.items() if n >= HOLDS * total), default=0)  # inner elements have greater numbers
     root = _article(root, found) if root else 0
     kept = []
-    for (elements, path, text, linked), good in zip(found, content, strict=True):
-        if (not root or root in elements) and (good or "article" in path or 2 * linked <= len(text)):
+    for (elements, path, text, linked, doubted), good in zip(found, content, strict=True):
+        if (not root or root in elements) and (good or not doubted and ("article" in path or 2 * linked <= len(text))):
             kept.append(text)
     return "\n".join(kept)
 

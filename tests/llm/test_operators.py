@@ -153,6 +153,31 @@ def test_pages(spark):
     assert html_extraction.extract_main_text(table(spark, SF, "pages").limit(0)).count() == 0
 
 
+WRAPPERS = [
+    '<div class="no-sidebar">%s</div>', '<div class="content-sidebar-wrap">%s</div>', '<div class="with-comments">%s</div>', '<div id="skip-none">%s</div>', '<div class="page form">%s</div>',
+    '<form id="aspnetForm">%s</form>', '<form><div class="sidebar">%s</div></form>', '<div style="display: none">%s</div>', '<aside>%s</aside>', '<span class="side">%s</span>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_main_text_in_wrappers(wrapper, tag):
+    page = PAGE % (BODY % (tag, tag))
+    start = page.index("</head><body>") + len("</head><body>")
+    whole = page[:start] + wrapper % page[start:].replace("</body></html>", "") + "</body></html>"
+    assert html_extraction.main_text(PAGE % (wrapper % (BODY % (tag, tag)))) == MAIN
+    assert html_extraction.main_text(whole) == MAIN
+
+
+def test_main_text_and_doubted_elements():
+    article = "<article><p>Short, but it is the article.</p>%s</article>"
+    comment = '<div id="comments"><ol><li class="comment"><article><p>Ah, yes.</p></article></li></ol></div>'
+    assert html_extraction.main_text(article % "" + comment) == "Short, but it is the article."
+    assert html_extraction.main_text(article % '<p class="ad">Buy this.</p><p>An <span class="alert">odd</span> word<span hidden>less</span>.</p>') == "Short, but it is the article.\nAn odd word."
+    assert html_extraction.main_text("<article><p>A.</p></article><footer>" + "Legal text, as ever. " * 9 + "</footer>") == "A."
+    assert html_extraction.main_text("<html><head><title>T</title><body><p>No end of the head, a text.</p>") == "No end of the head, a text."
+
+
 # 5. Decontamination
 
 
