@@ -248,3 +248,17 @@ def test_shim_cache_layouts():
     rows = blobs.shim_cache_rows(narrow("C:\\x\\one.exe") + narrow("C:\\x\\two.exe"))
     assert [(r[0], r[3]) for r in rows] == [("C:\\x\\one.exe", "WinXP_400"), ("C:\\x\\two.exe", "WinXP_400")]
     assert blobs.shim_cache_rows(bytes(128) + wide("C:\\a\\only.exe")) == []
+
+
+def test_shim_cache_of_many_steps():
+    """Neither padding nor the number of entries ends the search for blocks."""
+    stamp = 133_500_000_000_000_000
+
+    def block(path):
+        body = path.encode("utf-16-le").ljust(64, b"\0") + stamp.to_bytes(8, "little")
+        return (16 + len(body)).to_bytes(4, "little") + bytes(12) + body
+
+    paths = [f"C:\\a\\{n}.exe" for n in range(5_000)]
+    padded = blobs.shim_cache_rows(bytes(128 + 4 * 5_000) + block(paths[0]) + bytes(4 * 5_000) + block(paths[1]) + bytes(40))
+    assert [(r[0], r[1], r[3]) for r in padded] == [(p, stamp, "Win10_Variable") for p in paths[:2]]
+    assert [r[0] for r in blobs._blocks(b"".join(map(block, paths)) + bytes(40), 0)] == paths
