@@ -80,9 +80,14 @@ def le_bytes(raw: Column, offset: int, size: int) -> Column:
     return F.when(F.octet_length(raw) >= offset + size, number)
 
 
+def spaced_hex(raw: Column) -> Column:
+    """All bytes as spaced hex."""
+    return F.regexp_replace(F.hex(raw), r"(..)(?!$)", "$1 ")
+
+
 def hex_display(raw: Column, limit: int = DISPLAY_LIMIT) -> Column:
-    """Spaced hex, cut at ``limit`` characters with a trailing ``...``."""
-    return clip(F.regexp_replace(F.hex(raw), r"(..)(?!$)", "$1 "), limit, "...")
+    """Spaced hex, cut at ``limit`` characters with a trailing ``...``; to be shown only, not decoded or searched."""
+    return clip(spaced_hex(raw), limit, "...")
 
 
 def _hex_text(raw: Column) -> Column:

@@ -95,10 +95,11 @@ def registry_events(values: DataFrame) -> DataFrame:
 
     Needs ``host, collection_id, ingest_seq, hive, hive_path, query_name,
     key_path, value_name, value_type, value_raw, value_text, last_write`` and
-    optionally ``from_snapshot, consistency_scope``.
+    optionally ``from_snapshot, consistency_scope``. ``ValueData`` and the fields
+    decoded from it hold the whole value; ``ValueDisplay`` is cut.
     """
     raw, name, path = F.col("value_raw"), F.col("value_name"), F.col("key_path")
-    data = F.coalesce(F.when(raw.isNotNull(), registry.hex_display(raw)), F.col("value_text"), F.lit(""))
+    data = F.coalesce(registry.spaced_hex(raw), F.col("value_text"), F.lit(""))
     optional = {
         "OfflineHiveSource": ("from_snapshot", lambda c: F.when(c, F.lit("VSS")).otherwise(F.lit("Live"))),
         "ConsistencyScope": ("consistency_scope", lambda c: c),
@@ -113,7 +114,7 @@ def registry_events(values: DataFrame) -> DataFrame:
         **{k: f(F.col(c)) for k, (c, f) in optional.items() if c in values.columns},
     }
     query = F.col("query_name")
-    own = {"ValueName": name, "ValueData": F.col("_data"), "ValueType": F.col("value_type")}
+    own = {"ValueName": name, "ValueData": F.col("_data"), "ValueDisplay": registry.hex_display(raw), "ValueType": F.col("value_type")}
     # Separate projections, so that no decoded column is copied into the next one.
     rows = values.withColumns(
         {"_data": data, "_base": string_map(base), **registry.run_artifact_columns(query, path, name, raw)}
@@ -180,10 +181,11 @@ def registry_search_events(
     """Ad-hoc registry search; recent-document keys are decoded and ranked.
 
     Needs ``host, collection_id, ingest_seq, key_path, value_name, value_type,
-    value_raw, value_text, last_write``.
+    value_raw, value_text, last_write``. The data pattern searches the whole
+    value; only ``ValueDisplay`` is cut.
     """
     is_docs = F.lit(query_name == "RecentDocs") | F.contains(F.lower("key_path"), F.lit("\\recentdocs"))
-    raw_hex = registry.hex_display(F.col("value_raw"))
+    raw_hex = registry.spaced_hex(F.col("value_raw"))
     items = F.when(is_docs & F.col("value_raw").isNotNull(), shell_items(F.col("value_raw")))
     decoded = values.withColumns({"_items": items, "_raw_hex": raw_hex})
     parsed = F.when(F.length(F.trim(F.col("_items.parsed_path"))) > 0, F.col("_items.parsed_path"))
@@ -196,6 +198,7 @@ def registry_search_events(
     fields = {
         "ValueName": F.col("value_name"),
         "ValueData": F.col("value_data"),
+        "ValueDisplay": registry.hex_display(F.col("value_raw")),
         "ValueType": F.col("value_type"),
         "QueryName": F.lit(query_name),
         "RawHex": F.col("_raw_hex"),

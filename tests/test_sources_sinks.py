@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions.bags import field
-from evidentia.operators import integrity, views
+from evidentia.operators import cross_source, integrity, views
 from evidentia.plans.base import activity
 from evidentia.sinks import bundle as bundle_sink
 from evidentia.sinks import repository, store as store_sink
@@ -220,6 +220,30 @@ def test_registry_selection(spark):
     assert sorted(r["query_name"] for r in registry.select_values(values).collect()) == ["Run", "Services", "Uninstall"]
 
 
+def test_long_registry_values(spark):
+    """Raw values are decoded, compared and searched to their end; only the display is cut."""
+    path = "C:\\Program Files\\A vendor of long names\\Agent of the vendor\\service"
+    service, notify = "ControlSet001\\Services\\svc", "Microsoft\\Windows NT\\CurrentVersion\\Winlogon"
+    debug = "Microsoft\\Windows NT\\CurrentVersion\\Image File Execution Options\\x.exe"
+    rows = [("SYSTEM", service + n, v, f"{path}{n}{end}") for n, end in (("1", ".exe"), ("2", ".sys")) for v in ("ImagePath", "DisplayName")]
+    rows += [("SOFTWARE", notify, "Shell", path + ".exe"), ("SOFTWARE", debug, "Debugger", path + ".exe")]
+    raw = [("h", "c", i, h, "C:\\hives", k, n, "REG_SZ", bytearray(t.encode("utf-16-le") + b"\0\0"), None) for i, (h, k, n, t) in enumerate(rows)]
+    columns = "host string, collection_id string, ingest_seq bigint, hive string, hive_path string, key_path string, value_name string, value_type string, value_raw binary, value_text string"
+    values = spark.createDataFrame(raw, columns).withColumn("last_write", F.lit("2024-01-05").cast("timestamp"))
+    events = registry.registry_events(registry.select_values(values))
+    found = {e["ingest_seq"]: e["fields"] for e in events.collect()}
+    names = ["ServiceImagePath", "ServiceDisplayName"] * 2 + ["Winlogon_Shell", "IFEO_Debugger"]
+    for i, (name, row) in enumerate(zip(names, rows)):
+        assert found[i][name] == found[i]["ValueData"]
+        assert bytes.fromhex(found[i][name]).decode("utf-16-le").rstrip("\0") == row[3]
+        assert len(found[i]["ValueDisplay"]) == 203
+    items = cross_source.offline_service_items(events).collect()
+    assert [(r["key"], r["value"]) for r in items] == [("svc1", path + "1.exe")]
+    end = " ".join(f"{b:02X}" for b in ".sys".encode("utf-16-le"))
+    searched = registry.registry_search_events(values, "Services", "ControlSet001\\Services", data_pattern=end).collect()
+    assert sorted(e["ingest_seq"] for e in searched) == [2, 3]
+
+
 def test_recent_documents(spark):
     def item(text):
         body = b"2\0" + text.encode() + b"\0"
