@@ -9,7 +9,7 @@ from ..functions import bags, eventmap, keys, times
 from ..functions.endpoints import build_endpoints
 from ..functions.paths import log_name_from_path
 from ..operators.asof import EVENT_LOG_TTL, TRACE_TTL, resolve_process_keys
-from ..operators.windows import PROPERTIES_PER_EVENT, first_properties
+from ..operators.windows import first_properties
 from ..schema import evidence_ref, string_map, to_events
 
 RECORD_XML = (
@@ -28,8 +28,8 @@ def parse_record(xml: Column) -> Column:
 _DATA = "array<struct<_Name:string,_VALUE:string>>"
 
 
-def _with_fields(rows: DataFrame, data: Column, base: dict[str, Column]) -> DataFrame:
-    """Add ``_fields``: the base members overlaid by the record's data.
+def _with_fields(rows: DataFrame, data: Column, base: dict[str, Column], numbered: Column | None = None) -> DataFrame:
+    """Add ``_fields``: the base members and ``numbered`` values overlaid by the record's data.
 
     Unnamed data become ``EventData_n``; of a repeated name the last value
     counts. The steps are separate projections so that none is copied into
@@ -46,9 +46,13 @@ def _with_fields(rows: DataFrame, data: Column, base: dict[str, Column]) -> Data
         "_named",
         lambda e, i: ~F.exists(F.slice("_named", i + 2, F.size("_named")), lambda later: later["key"] == e["key"]),
     )
+    members = string_map(base)
+    if numbered is not None:
+        listed = F.transform(numbered, lambda v, i: F.struct(F.concat(F.lit("Property_"), i.cast("string")).alias("key"), v.alias("value")))
+        members = F.map_concat(members, F.map_from_entries(listed))
     return (
         rows.withColumn("_named", named)
-        .withColumns({"_data": F.map_from_entries(last), "_base": string_map(base)})
+        .withColumns({"_data": F.map_from_entries(last), "_base": members})
         .withColumn(
             "_fields",
             F.map_concat(F.map_filter("_base", lambda k, _: ~F.map_contains_key("_data", k)), F.col("_data")),
@@ -68,9 +72,13 @@ def read_event_log(
     offline_path: str | None = None,
     ttl_minutes: tuple[int, int, int] = EVENT_LOG_TTL,
     long_lived: tuple[str, ...] = (),
+    max_properties: int | None = None,
 ) -> DataFrame:
     """Events from ``host, collection_id, ingest_seq, xml`` rows.
 
+    Every data item is also a field ``Property_n``; ``max_properties`` bounds
+    these fields, but not the search for the user's SID.
+
     ``offline_path`` names the column with the exported log file; it sets the
     log name, the evidence and the offline marks. Process keys are resolved
     over the whole table by :func:`resolve_process_keys`.
@@ -88,7 +96,7 @@ def read_event_log(
         F.coalesce(system["EventRecordID"], F.lit("0")).alias("_record"),
         F.coalesce(system["Computer"], F.col("host")).alias("_computer"),
         system["Execution"]["_ProcessID"].alias("_execution"),
-        first_properties(values).alias("_properties"),
+        values.alias("_properties"),
         times.parse_iso(system["TimeCreated"]["_SystemTime"]).alias("ts"),
         times.iso_ticks(system["TimeCreated"]["_SystemTime"]).alias("_ticks"),
         system["EventID"].try_cast("bigint").alias("_id"),
@@ -102,10 +110,10 @@ def read_event_log(
         "MachineName": F.col("_computer"),
         "ExecutionProcessId": bags.parse_pid(F.col("_execution")),
     }
-    base.update({f"Property_{i}": F.get("_properties", F.lit(i)) for i in range(PROPERTIES_PER_EVENT)})
     if offline_path:
         base.update({"Mode": F.lit("Offline"), "OfflineSource": F.col(offline_path)})
-    rows = _with_fields(header, F.col("_items"), base)
+    numbered = F.col("_properties") if max_properties is None else first_properties(F.col("_properties"), max_properties)
+    rows = _with_fields(header, F.col("_items"), base, numbered)
     mapped = eventmap.map_event_id(F.col("_log"), F.col("_id"))
     fields = F.col("_fields")
     prepared = rows.select(

@@ -220,6 +220,18 @@ def test_registry_selection(spark):
     assert sorted(r["query_name"] for r in registry.select_values(values).collect()) == ["Run", "Services", "Uninstall"]
 
 
+def test_event_log_with_many_properties(spark):
+    """A SID behind the twentieth item is found and every item is a property, unless they are bounded."""
+    head = "<Event><System><Provider Name='P'/><EventID>4624</EventID><TimeCreated SystemTime='2024-01-05T00:00:00Z'/><Channel>Security</Channel></System><EventData>"
+    xml = head + "".join(f"<Data>v{i}</Data>" for i in range(29)) + "<Data>S-1-5-21-7</Data></EventData></Event>"
+    frame = spark.createDataFrame([("h", "c", 1, xml)], "host string, collection_id string, ingest_seq bigint, xml string")
+    for bound, n in ((None, 30), (20, 20)):
+        event = eventlog.read_event_log(frame, F.lit(1), max_properties=bound).first()
+        assert event["subject_user"]["sid"] == "S-1-5-21-7" and event["fields"]["EventData_29"] == "S-1-5-21-7"
+        assert sorted(k for k in event["fields"] if k.startswith("Property_")) == sorted(f"Property_{i}" for i in range(n))
+    assert eventlog.read_event_log(frame, F.lit(1)).first()["fields"]["Property_28"] == "v28"
+
+
 def test_long_registry_values(spark):
     """Raw values are decoded, compared and searched to their end; only the display is cut."""
     path = "C:\\Program Files\\A vendor of long names\\Agent of the vendor\\service"
