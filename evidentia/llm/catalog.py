@@ -17,6 +17,9 @@ MODULES = [
     "substring_dedup",
     "url_filters",
     "token_counts",
+    "lexical_search",
+    "merkle_manifest",
+    "simhash_join",
 ]
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")

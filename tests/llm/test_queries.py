@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op9_url_filters": "page_id host path rule verdict",
     "op10_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op11_lexical_search": "item_id rank doc_id score",
+    "op12_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_simhash_join": "doc_id fingerprint component_id",
 }
 
 
