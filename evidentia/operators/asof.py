@@ -14,6 +14,8 @@ carried over, so one pid may hold any share of the table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -27,7 +29,7 @@ TRACE_TTL = (30, 120, 10_080)
 CHUNK = 1 << 20
 
 
-def _running_max(
+def running_max(
     df: DataFrame, keys: list[str], seq: str, chunk: str, values: dict[str, Column], inclusive: bool = True
 ) -> DataFrame:
     """Running maximum of each value along ``seq``; only chunk maxima cross chunks."""
@@ -60,7 +62,8 @@ def resolve_process_keys(
     time or null), ``is_stop`` and ``is_long_lived``. The walk runs over these
     few columns only. Each stage reads its input twice (rows and chunk maxima),
     so the narrow rows are checkpointed between stages; the full events are
-    joined once at the end by ``row_id``.
+    joined once at the end by ``row_id``. A row with a null key column (an event
+    without a pid) takes no part in the walk and stays unresolved.
     """
     bundle = tuple(c for c in ("host", "collection_id") if c in events.columns)
     keys, row_id = keys or (*bundle, "pid"), row_id or (*bundle, "ingest_seq")
@@ -79,6 +82,8 @@ def resolve_process_keys(
             F.coalesce("is_long_lived", F.lit(False)).alias("_long"),
         )
     )
+    # Filtered after the cut, so the optimizer cannot push the filter below the parsed fields and copy them into it.
+    rows = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key_list if k not in ("host", "collection_id")], F.lit(True)))
     rows = lag_by_chunk(rows, key_list, [seq], chunk, ["_us", "_stop"], prefix="_prev")
     explicit, gap = F.col("_hint").isNotNull(), F.col("_gap")
     rows = rows.withColumns(
@@ -89,7 +94,7 @@ def resolve_process_keys(
     certain = F.col("_certain")
     # Kind of a life at its start: 2 long-lived, 1 authoritative, 0 provisional.
     kind = F.when(F.col("_long"), F.lit(2)).when(explicit, F.lit(1)).otherwise(F.lit(0))
-    rows = _running_max(
+    rows = running_max(
         rows,
         key_list,
         seq,
@@ -104,7 +109,7 @@ def resolve_process_keys(
     starts = certain | F.col("_candidate")
     rows = cut_lineage(rows.withColumn("_candidate", candidate))
     if has_long_lived:
-        rows = _running_max(
+        rows = running_max(
             rows,
             key_list,
             seq,
@@ -117,7 +122,7 @@ def resolve_process_keys(
     else:
         rows = rows.withColumn("_starts", starts)
     life = F.struct(F.col(seq).alias("seq"), F.coalesce("_hint", "_us").alias("created"))
-    rows = _running_max(rows, key_list, seq, "_chunk", {"_life": F.when(F.col("_starts"), life)})
+    rows = running_max(rows, key_list, seq, "_chunk", {"_life": F.when(F.col("_starts"), life)})
     resolution = (
         F.when(explicit, F.lit("explicit")).when(F.col("_starts"), F.lit("provisional")).otherwise(F.lit("cached"))
     )

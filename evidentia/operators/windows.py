@@ -29,7 +29,7 @@ def throttle(
     """First-arrived events per category and calendar second, up to the limit.
 
     This is the calendar-aligned form; windows anchored at the first event are
-    :mod:`evidentia.streaming.throttle`. The literal bound lets Spark drop the
+    :mod:`evidentia.operators.throttle`. The literal bound lets Spark drop the
     surplus of a burst before the shuffle; categories without a limit never
     shuffle.
     """

@@ -8,6 +8,7 @@ from ..functions.bags import field
 from ..operators import artifact_copy, asof, cross_source, enrich, integrity, transitions, trust, windows, wmi
 from ..operators.mft_paths import full_paths
 from ..operators.ranking import evicted, keep_first, keep_newest
+from ..operators.throttle import throttled
 from ..schema import string_map, to_events
 from ..sources import artifacts as shapes
 from .base import EV, activity, big, joined_bytes, le_binary, query, raw_events, table, us, with_ev
@@ -736,6 +737,37 @@ def win_throttle(spark, sf):
     return windows.throttle(_burst(spark, sf), limits={"File": 10, "Network": 5}).select(_seq())
 
 
+ANCHORED_LIMITS = {"File": 2, "Network": 1}
+
+# The anchored walk, one event per host and category and step; limits are 2 and 1 per second.
+ANCHORED_SQL = f"""WITH RECURSIVE {EV}, t AS (SELECT host, category, seq, 1700000000000000 + seq * 20000 - CASE WHEN seq % 11 = 0 THEN 400000 ELSE 0 END AS us, CASE category WHEN 'File' THEN 2 WHEN 'Network' THEN 1 ELSE 0 END AS lim,
+    row_number() OVER (PARTITION BY host, category ORDER BY seq) AS rn FROM ev),
+  a(host, category, rn, seq, started, n, dropped, reported, warn) AS (
+    SELECT host, category, rn, seq, us, 1, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM t WHERE rn = 1 AND lim > 0
+    UNION ALL SELECT host, category, rn, seq, CASE WHEN fresh THEN us ELSE started END, CASE WHEN fresh THEN 1 ELSE n + 1 END,
+      CASE WHEN due THEN 0 ELSE dropped END + CASE WHEN NOT fresh AND n + 1 > lim THEN 1 ELSE 0 END, CASE WHEN due THEN us ELSE reported END, CASE WHEN due THEN dropped END
+    FROM (SELECT t.host, t.category, t.rn, t.seq, t.us, t.lim, a.started, a.n, a.dropped, a.reported, t.us - a.started >= 1000000 AS fresh,
+        t.us - a.started >= 1000000 AND a.dropped > 0 AND (a.reported IS NULL OR t.us - a.reported >= 5000000) AS due
+      FROM a JOIN t ON t.host = a.host AND t.category = a.category AND t.rn = a.rn + 1))
+  SELECT seq, category, 'pass' AS kind, NULL::BIGINT AS dropped FROM t WHERE lim = 0
+  UNION ALL SELECT a.seq, a.category, 'pass', NULL FROM a JOIN t ON t.seq = a.seq WHERE a.n <= t.lim
+  UNION ALL SELECT seq, category, 'warning', warn FROM a WHERE warn IS NOT NULL"""
+
+
+def anchored_feed(spark, sf):
+    """An event every 20 milliseconds; one in eleven is stamped 400 milliseconds early."""
+    i = F.col("ingest_seq")
+    stamp = F.lit(1_700_000_000_000_000) + i * 20_000 - F.when(i % 11 == 0, F.lit(400_000)).otherwise(F.lit(0))
+    return activity(spark, sf).select("host", "category", "ingest_seq", F.timestamp_micros(stamp).alias("ts"))
+
+
+@query("win_throttle_anchored", ANCHORED_SQL)
+def win_throttle_anchored(spark, sf):
+    """Windows from their first event on, with drop reports."""
+    kept, _ = throttled(anchored_feed(spark, sf), ANCHORED_LIMITS)
+    return kept.select(_seq(), "category", "kind", "dropped")
+
+
 @query(
     "win_throttle_drops",
     with_ev("""SELECT host, category, (1700000000 + seq // 500) * 1000000 AS us, (count(*) - CASE category WHEN 'File' THEN 10 ELSE 5 END)::BIGINT AS dropped FROM ev WHERE category IN ('File', 'Network')

@@ -388,6 +388,46 @@ def src_rendered_eventlog(spark, sf):
     )
 
 
+def _several_collections(records):
+    """Two collections of every host whose numbers both start at the beginning; a third of the records name no process."""
+    i = F.col("ingest_seq")
+    silent = F.regexp_replace("xml", "<Execution [^>]*/>", "")
+    return records.select(
+        "*", F.concat(F.lit("C"), (i % 2).cast("string")).alias("of"), F.call_function("div", i, F.lit(2)).alias("number"), F.when(i % 3 == 0, silent).otherwise(F.col("xml")).alias("text")
+    ).drop("collection_id", "ingest_seq", "xml").withColumnsRenamed({"of": "collection_id", "number": "ingest_seq", "text": "xml"})
+
+
+# Lives without a stated create time: a first record, one after a Stop and one after a long silence start a life.
+_LIVES = """p AS (SELECT *, lag(us) OVER w AS before, lag(stop) OVER w AS ended FROM r WHERE i % 3 <> 0 WINDOW w AS (PARTITION BY host, collection_id, pid ORDER BY seq)),
+  l AS (SELECT *, last_value(CASE WHEN before IS NULL OR ended OR us - before > {minutes} * 60000000::BIGINT THEN us END IGNORE NULLS) OVER (PARTITION BY host, collection_id, pid ORDER BY seq) AS created FROM p)
+  SELECT r.host, r.collection_id, r.seq, l.pid, l.created AS created_us FROM r LEFT JOIN l ON r.i = l.i"""
+
+
+@query(
+    "src_eventlog_lives",
+    """WITH r AS (SELECT event_id AS i, 'H' || (user_id % 4) AS host, 'C' || (event_id % 2) AS collection_id, event_id // 2 AS seq, user_id + 1 AS pid, epoch_us(ts) AS us, event_type = 'error' AS stop FROM events WHERE event_id % 10 <> 9), """
+    + _LIVES.format(minutes=720),
+)
+def src_eventlog_lives(spark, sf):
+    """Process lives of event-log records, of each collection apart."""
+    events = eventlog.read_event_log(_several_collections(_log_records(spark, sf)), F.lit(7))
+    life = F.col("subject_process")
+    return events.select("host", "collection_id", _seq(), life.pid.alias("pid"), us(life.create_time).alias("created_us"))
+
+
+@query(
+    "src_trace_lives",
+    """WITH r AS (SELECT event_id AS i, 'H0' AS host, 'C' || (event_id % 2) AS collection_id, event_id // 2 AS seq, user_id + 1 AS pid, epoch_us(ts) AS us,
+       event_id % 4 = 0 AND CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 3 = 2 AS stop FROM events), """
+    + _LIVES.format(minutes=30),
+)
+def src_trace_lives(spark, sf):
+    """Process lives of kernel-trace rows, of each collection apart."""
+    events = eventlog.read_kernel_trace(_several_collections(_trace_records(spark, sf)), F.lit(7))
+    life = F.col("subject_process")
+    return events.select("host", "collection_id", _seq(), life.pid.alias("pid"), us(life.create_time).alias("created_us"))
+
+
 def _trace_records(spark, sf):
     i, case = F.col("event_id"), F.col("event_id") % 4
     channel = F.when(case == 0, F.lit("Microsoft-Windows-Kernel-Process/Analytic")).when(case == 1, F.lit("Microsoft-Windows-Kernel-File/Analytic")).when(

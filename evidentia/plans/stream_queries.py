@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..schema import EVENT_SCHEMA
 from ..session import staging_path
 from ..sources.live import read_event_stream, read_record_stream
-from ..streaming import ingest, stateful
+from ..streaming import ingest, stateful, throttle
 from .base import EV, FL, activity, big, flows, query, us, with_ev
-from .correlation_queries import _SNAPS, _WALK, _connection_snapshots, _pid_events
+from .correlation_queries import ANCHORED_LIMITS, ANCHORED_SQL, _SNAPS, _WALK, _connection_snapshots, _pid_events, anchored_feed
 from .view_queries import _TRAFFIC
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -100,33 +100,23 @@ def st_completeness(spark, sf):
     return rows.select("host", "last.event_count", big(F.col("last.level")).alias("level"))
 
 
-# The anchored walk, one event per host and category and step; limits are 2 and 1 per second.
-_ANCHORED = """t AS (SELECT host, category, seq, 1700000000000000 + seq * 20000 AS us, CASE category WHEN 'File' THEN 2 WHEN 'Network' THEN 1 ELSE 0 END AS lim,
-    row_number() OVER (PARTITION BY host, category ORDER BY seq) AS rn FROM ev),
-  a(host, category, rn, seq, started, n) AS (
-    SELECT host, category, rn, seq, us, 1 FROM t WHERE rn = 1 AND lim > 0
-    UNION ALL SELECT t.host, t.category, t.rn, t.seq, CASE WHEN t.us - a.started >= 1000000 THEN t.us ELSE a.started END, CASE WHEN t.us - a.started >= 1000000 THEN 1 ELSE a.n + 1 END
-    FROM a JOIN t ON t.host = a.host AND t.category = a.category AND t.rn = a.rn + 1)"""
-
-
-@query(
-    "st_throttle",
-    f"""WITH RECURSIVE {EV}, {_ANCHORED} SELECT seq, category FROM t WHERE lim = 0
-        UNION ALL SELECT a.seq, a.category FROM a JOIN t ON t.seq = a.seq WHERE a.n <= t.lim""",
-)
+@query("st_throttle", ANCHORED_SQL)
 def st_throttle(spark, sf):
-    _stateful(spark)
-    rows = activity(spark, sf).select(
-        "host", "category", "ingest_seq", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("ingest_seq") * 20_000).alias("ts")
-    )
-    kept = stateful.throttle_stream(_feed(spark, rows), {"File": 2, "Network": 1})
-    return _drain(spark, kept).where(F.col("kind") == "pass").select(_seq(), "category")
+    """Three deliveries, each read by a restarted stream; the same rows as of the batch operator."""
+    rows, folder, path = anchored_feed(spark, sf), staging_path(spark, "throttled"), staging_path(spark, "feed")
+    last = rows.agg(F.max("ingest_seq")).first()[0] or 0
+    for part in range(3):
+        rows.where(F.col("ingest_seq").between(last * part // 3 + (part > 0), last * (part + 1) // 3)).write.mode("append").parquet(path)
+        stream = read_record_stream(spark, "parquet", rows.schema, path=path)
+        throttle.throttle_stream(stream, folder, ANCHORED_LIMITS).trigger(availableNow=True).start().awaitTermination()
+    return throttle.read_throttled(spark, folder).select(_seq(), "category", "kind", "dropped")
 
 
 @query("st_process_key", f"WITH RECURSIVE {EV}, {_WALK} SELECT pid, seq, created AS created_us, how AS resolution FROM w")
 def st_process_key(spark, sf):
     _stateful(spark)
-    resolved = stateful.process_key_stream(_feed(spark, _pid_events(spark, sf)))
+    rows = _pid_events(spark, sf).withColumn("collection_id", F.lit("C0"))
+    resolved = stateful.process_key_stream(_feed(spark, rows), lateness="400 days")
     return _drain(spark, resolved).select("pid", _seq(), F.col("create_us").alias("created_us"), "resolution")
 
 

@@ -159,14 +159,8 @@ def _is_long_lived(fields: Column, names: tuple[str, ...], long_lived: tuple[str
 
 
 def _resolve(rows: DataFrame, ttl_minutes: tuple[int, int, int], has_long_lived: bool) -> DataFrame:
-    """Create times per pid; a record without a pid is a key of its own and stays unresolved.
-
-    Rows are not filtered on the pid: the optimizer would push the filter below
-    the parsed fields and copy their whole expression into it.
-    """
-    spread = rows.withColumn("_solo", F.when(F.col("pid").isNull(), F.col("ingest_seq")))
-    resolved = resolve_process_keys(spread, ttl_minutes, ("host", "pid", "_solo"), has_long_lived=has_long_lived)
-    return resolved.drop("resolution", "life_seq", "_solo")
+    """Create times per host, collection and pid; a record without a pid stays unresolved."""
+    return resolve_process_keys(rows, ttl_minutes, has_long_lived=has_long_lived).drop("resolution", "life_seq")
 
 
 def read_kernel_trace(

@@ -1,4 +1,4 @@
-"""Per-key state in streams: anchored throttle, process keys, snapshot differences.
+"""Per-key state in streams: process keys, snapshot differences.
 
 Each processor keeps one small value per key, updates it row by row in arrival
 order and never holds a key's rows longer than the batch that brought them.
@@ -15,14 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.asof import EVENT_LOG_TTL
-from ..operators.windows import THROTTLE_LIMITS
 
-REPORT_INTERVAL_MICROS = 5_000_000
-SECOND_MICROS = 1_000_000
 MINUTE_MICROS = 60_000_000
 
-THROTTLE_OUTPUT = "host string, category string, ingest_seq bigint, ts_us bigint, kind string, dropped bigint"
-PROCESS_KEY_OUTPUT = "host string, pid bigint, ingest_seq bigint, create_us bigint, resolution string"
+PROCESS_KEY_OUTPUT = "host string, collection_id string, pid bigint, ingest_seq bigint, create_us bigint, resolution string"
 TRANSITION_OUTPUT = "host string, item string, snapshot_id bigint, action string, value string"
 
 
@@ -31,66 +27,12 @@ def _arrivals(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(order) if parts else pd.DataFrame()
 
 
-class Throttle(StatefulProcessor):
-    """At most ``limit`` rows per window; a window starts at the first row after the last one expired.
-
-    Output rows are ``pass`` for kept events and ``warning`` for a drop report,
-    which is due at the start of a window and at most every five seconds.
-    """
-
-    def __init__(self, limits: dict[str, int] | None = None, common: int = 0):
-        self.limits = limits if limits is not None else THROTTLE_LIMITS
-        self.common = common
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "window", "start_us bigint, count bigint, dropped bigint, reported_us bigint"
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        host, category = key
-        limit = self.common if self.common > 0 else self.limits.get(category, 0)
-        frame = _arrivals(rows, ["ingest_seq"])
-        start, count, dropped, reported = self.state.get() if self.state.exists() else (None, 0, 0, None)
-        out = []
-        for seq, now in zip(frame["ingest_seq"], frame["ts_us"]):
-            if limit <= 0:
-                out.append((host, category, seq, now, "pass", None))
-                continue
-            if start is None or now - start >= SECOND_MICROS:
-                due = reported is None or now - reported >= REPORT_INTERVAL_MICROS
-                if dropped > 0 and due:
-                    out.append((host, category, seq, now, "warning", dropped))
-                    reported, dropped = now, 0
-                start, count = now, 1
-            else:
-                count += 1
-                if count > limit:
-                    dropped += 1
-                    continue
-            out.append((host, category, seq, now, "pass", None))
-        if limit > 0:
-            self.state.update((start, count, dropped, reported))
-        yield pd.DataFrame(out, columns=["host", "category", "ingest_seq", "ts_us", "kind", "dropped"]).astype(
-            {"dropped": "Int64"}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def throttle_stream(stream: DataFrame, limits: dict[str, int] | None = None, common: int = 0) -> DataFrame:
-    """Anchored throttle per host and category over ``host, category, ingest_seq, ts``."""
-    rows = stream.select("host", "category", "ingest_seq", F.unix_micros("ts").alias("ts_us"))
-    return rows.groupBy("host", "category").transformWithStateInPandas(
-        Throttle(limits, common), outputStructType=THROTTLE_OUTPUT, outputMode="append", timeMode="none"
-    )
-
-
 class ProcessKeys(StatefulProcessor):
-    """Create time of a pid, with the three lifetimes and eviction by Stop.
+    """Create time of a pid, with the three lifetimes and eviction by Stop or by time.
 
-    Idle pids leave by time instead of by a table-size limit.
+    An idle pid leaves the state when the watermark has passed its last event by
+    the lifetime of its kind: a later event would start a new life anyway, so the
+    answers are those of the walk over the whole table. Each life keeps one timer.
     """
 
     def __init__(self, ttl_minutes: tuple[int, int, int] = EVENT_LOG_TTL):
@@ -102,12 +44,31 @@ class ProcessKeys(StatefulProcessor):
         }
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("life", "create_us bigint, seen_us bigint, kind string")
+        self.handle = handle
+        self.state = handle.getValueState("life", "create_us bigint, seen_us bigint, kind string, timer_ms bigint")
+
+    def _leave_at(self, life) -> int:
+        """First millisecond at which an event is too late to go on with the life."""
+        return (life[1] + self.ttl[life[2]]) // 1000 + 1
+
+    def _keep(self, life, timer: int | None) -> None:
+        if life is None:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.state.clear()
+            return
+        due = self._leave_at(life)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((*life, due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        host, pid = key
+        host, collection, pid = key
         frame = _arrivals(rows, ["ingest_seq"])
-        life = self.state.get() if self.state.exists() else None
+        held = self.state.get() if self.state.exists() else None
+        life, timer = (held[:3], held[3]) if held is not None else (None, None)
         out = []
         columns = ["ingest_seq", "ts_us", "hint_us", "is_stop", "is_long_lived"]
         for seq, now, hint, stop, long_lived in frame[columns].itertuples(index=False, name=None):
@@ -117,32 +78,41 @@ class ProcessKeys(StatefulProcessor):
                 life, resolution = (life[0], now, life[2]), "cached"
             else:
                 life, resolution = (now, now, "long" if long_lived else "provisional"), "provisional"
-            out.append((host, pid, seq, life[0], resolution))
+            out.append((host, collection, pid, seq, life[0], resolution))
             if stop:
                 life = None
-        if life is None:
+        self._keep(life, timer)
+        yield pd.DataFrame(out, columns=["host", "collection_id", "pid", "ingest_seq", "create_us", "resolution"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[3] <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-        else:
-            self.state.update(life)
-        yield pd.DataFrame(out, columns=["host", "pid", "ingest_seq", "create_us", "resolution"])
+        yield pd.DataFrame([], columns=["host", "collection_id", "pid", "ingest_seq", "create_us", "resolution"])
 
     def close(self) -> None:
         pass
 
 
-def process_key_stream(stream: DataFrame, ttl_minutes: tuple[int, int, int] = EVENT_LOG_TTL) -> DataFrame:
-    """Resolve ``host, pid, ingest_seq, ts, create_hint, is_stop, is_long_lived`` as it arrives."""
-    rows = stream.select(
+def process_key_stream(stream: DataFrame, ttl_minutes: tuple[int, int, int] = EVENT_LOG_TTL, lateness: str = "1 day") -> DataFrame:
+    """Resolve ``host, collection_id, pid, ingest_seq, ts, create_hint, is_stop, is_long_lived`` as it arrives.
+
+    Rows without a pid have no life and are left out. ``lateness`` is the longest
+    time by which a row may be older than the newest one before it; Spark leaves
+    out older rows, as of every stream with a watermark.
+    """
+    rows = stream.where("pid is not null").withWatermark("ts", lateness).select(
         "host",
+        "collection_id",
         "pid",
         "ingest_seq",
+        "ts",
         F.unix_micros("ts").alias("ts_us"),
         F.unix_micros("create_hint").alias("hint_us"),
         "is_stop",
         "is_long_lived",
     )
-    return rows.groupBy("host", "pid").transformWithStateInPandas(
-        ProcessKeys(ttl_minutes), outputStructType=PROCESS_KEY_OUTPUT, outputMode="append", timeMode="none"
+    return rows.groupBy("host", "collection_id", "pid").transformWithStateInPandas(
+        ProcessKeys(ttl_minutes), outputStructType=PROCESS_KEY_OUTPUT, outputMode="append", timeMode="eventTime"
     )
 
 
