@@ -32,7 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def arrow_map(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: Bytes of one Arrow batch between Spark and a Python worker; whole texts would otherwise fill batches of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size; they are a setting of the session, which stays."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return rows.mapInArrow(function, schema)
 
 

@@ -307,7 +307,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_column: s
                 clean[[row[0] for row in _flagged(shared.value, batch, text_column)]] = False
                 yield batch.filter(pa.array(clean))
 
-        documents = documents.mapInArrow(search, documents.schema)
+        documents = arrow_map(documents, search, documents.schema)
     return documents
 
 

@@ -180,7 +180,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id"
         for batch in slices(batches, text_column):
             yield batch.filter(judge(batch, weights.value, id_column, text_column).column("kept"))
 
-    return documents.mapInArrow(run, documents.schema)
+    return arrow_map(documents, run, documents.schema)
 
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -255,7 +255,7 @@ def strip_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
                 arrays[length_column] = pa.array([len(t) if c else o for t, c, o in zip(new, changed, arrays[length_column].to_pylist(), strict=True)], kind)
             yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
-    return rows.mapInArrow(rest, documents.schema)
+    return arrow_map(rows, rest, documents.schema)
 
 
 ORACLE = rf"""

@@ -432,3 +432,15 @@ def test_token_counts(spark, edge):
         want.append((i, len((t or "").encode()), n, n > 2048))
     assert rows_by(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
     assert token_counts.token_counts(edge.limit(0), path).count() == 0
+
+
+def test_jaccard_template_families_ask_nothing(spark, monkeypatch):
+    """Texts that share 85 of 100 shingles (similarity 0.74): no link, and no pair of them is opened."""
+    asked = []
+    ask = jaccard_join._ask
+    monkeypatch.setattr(jaccard_join, "_ask", lambda d, t, rows, h: asked.append(rows.count()) or ask(d, t, rows, h))
+    core = " ".join(f"c{i}" for i in range(89))
+    rows = [(i, core + " " + " ".join(f"u{i}x{j}" for j in range(15))) for i in range(400)]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("doc_id <> component_id").count() == 0
+    assert sum(asked) == 0, asked
