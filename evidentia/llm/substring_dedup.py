@@ -211,7 +211,8 @@ def _with_spans(documents: DataFrame, id_column: str, text_column: str, length:
     name = "spans"
     while name in documents.columns:
         name += "_"
-    lists = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias(name))
+    # Repeated rows share a key and have the same spans: a set, or every copy would carry those of all.
+    lists = spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias(name))
     joined = documents.withColumn(f"{name}_key", keyed).join(lists.withColumnRenamed("key", f"{name}_key").hint("shuffle_hash"), f"{name}_key", "left")
     return joined.drop(f"{name}_key"), name
 

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import decontamination, html_extraction, jaccard_join, language_id, quality_classifier, quality_rules
 from evidentia.llm import sentencepiece_codec, substring_dedup, token_counts, url_filters
@@ -444,3 +445,13 @@ def test_jaccard_template_families_ask_nothing(spark, monkeypatch):
     found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
     assert found.where("doc_id <> component_id").count() == 0
     assert sum(asked) == 0, asked
+
+
+def test_substrings_of_many_equal_rows(spark):
+    """Rows with the same id and text have one list of spans between them."""
+    text = sentence(90, 200)
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows, spans = substring_dedup._with_spans(docs, "doc_id", "text", substring_dedup.LENGTH, substring_dedup.SEED, substring_dedup.HOT)
+    assert rows.agg(F.max(F.size(spans))).first()[0] <= 200
+    found = substring_dedup.substring_dedup(docs)
+    assert found.where("n_removed = 200").count() == 3000

@@ -1,5 +1,7 @@
 """The pipeline: planted cases, and each stage as a filter of its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from .common import GIVEN, edge_documents, sentence, write_tables
@@ -40,3 +42,14 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     near = corpus_pipeline.near_duplicates(spark, rows, folder).collect()
     assert sorted(r.doc_id for r in near if r.doc_id in (4, 5, 6, 8, 9)) == [4, 8] and sum(r.doc_id is None for r in near) == 2
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_rows_are_known_by_id_and_text(spark, tmp_path):
+    a, b, c = sentence(80, 90), sentence(81, 90), sentence(82, 90)
+    rows = [(1, a), (5, a), (5, b), (None, a), (9, c), (9, c.rsplit(" ", 1)[0] + " end"), (9, c), (None, sentence(83, 60)), (7, None), (8, None), (8, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("clash"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert [x for x in found if x[0] != 9] == sorted([(1, a), (5, b), (None, sentence(83, 60)), (7, None), (8, None), (3, "")], key=repr)
+    assert sum(x[0] == 9 for x in found) == 1
