@@ -1,12 +1,12 @@
 """From raw documents to token digests: five stages over the whole table.
 
-Every stage works on all documents that the stage before kept. A row without an
-id is never taken for a near duplicate of another.
+Every stage works on all documents that the stage before kept. Repeated rows are
+near duplicates of each other; ids may be null or repeat with other texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.base import staged, table
@@ -23,13 +23,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, once."""
-    others = jaccard_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct()
-    named = docs.where("doc_id is not null")
-    kept = named.join(others, named.doc_id == others.other_id, "left_anti")
-    copy = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    first = kept.select("*", F.row_number().over(copy).alias("copy_number")).where("copy_number = 1").drop("copy_number")
-    return first.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates: of the smallest id (null last), once.
+
+    A row is known by its id and text together, so an id that several texts carry
+    loses none of them, and a row without an id is a document like any other.
+    """
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    rows = keyed.groupBy(key).agg(F.min("doc_id").alias("least"))
+    classes = jaccard_join(keyed, id_column=key).groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("class"))
+    first = F.min(F.struct(F.col("least").isNull(), "least", key))
+    chosen = rows.join(classes, key).groupBy("class").agg(first.alias("row")).select(F.col(f"row.{key}").alias(key))
+    return keyed.join(chosen, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
