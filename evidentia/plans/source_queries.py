@@ -71,6 +71,32 @@ def src_bundle_timeline(spark, sf):
     return _round_trip(bundle.read_timeline(spark, f"{_documents(spark, sf)}/*/*"))
 
 
+@query("src_large_timeline", _ROUND_TRIP.replace("SELECT seq, us, host", "SELECT row_number() OVER (PARTITION BY host ORDER BY seq) - 1 AS seq, us, 'host=' || host AS host"))
+def src_large_timeline(spark, sf):
+    """The same documents, read in pieces."""
+    return _round_trip(bundle.read_large_timeline(spark, f"{_documents(spark, sf)}/*/*"))
+
+
+@query("snk_timeline_parts", _ROUND_TRIP)
+def snk_timeline_parts(spark, sf):
+    folder = staging_path(spark, "parts")
+    bundle_sink.write_timeline_parts(activity(spark, sf), folder, 4)
+    return _round_trip(bundle.read_timeline_lines(spark, folder))
+
+
+@query(
+    "src_published_case",
+    with_ev("SELECT host, 'C' || (seq % 3) AS collection_id, category, count(*)::BIGINT AS n, sum(seq)::BIGINT AS seqs FROM ev WHERE seq % 3 <> 2 GROUP BY ALL"),
+)
+def src_published_case(spark, sf):
+    """Publish, then read back: the refused collection is not there."""
+    root = staging_path(spark, "cases")
+    ev = activity(spark, sf).withColumn("collection_id", F.concat(F.lit("C"), (F.col("ingest_seq") % 3).cast("string")))
+    status = F.when(F.col("collection_id") == "C2", F.lit("Unverified")).otherwise(F.lit("Verified"))
+    repository.publish(ev, ev.select("host", "collection_id").distinct().withColumn("status", status), root)
+    return repository.read_published(spark, root).groupBy("host", "collection_id", "category").agg(F.count("*").alias("n"), F.sum("ingest_seq").alias("seqs"))
+
+
 @query("src_case_repository", with_ev("SELECT 'host=' || host AS host, 'collection=C0-x' AS collection_id, category, count(*)::BIGINT AS n FROM ev GROUP BY host, category"))
 def src_case_repository(spark, sf):
     events = bundle.read_timeline(spark, f"{_documents(spark, sf)}/*/*/*")

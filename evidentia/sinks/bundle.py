@@ -66,6 +66,13 @@ def write_timeline_lines(events: DataFrame, path: str, cap: int = 0) -> None:
     rows.select("host", "collection_id", "ingest_seq", "_e.*").write.mode("overwrite").json(path)
 
 
+def write_timeline_parts(events: DataFrame, path: str, parts: int = 64) -> None:
+    """Line-delimited timelines in a folder for each host and collection, each in ``parts`` files at most, dealt by arrival number."""
+    rows = events.select("host", "collection_id", "ingest_seq", event_struct().alias("_e")).select("host", "collection_id", "ingest_seq", "_e.*")
+    dealt = rows.repartition("host", "collection_id", F.pmod(F.xxhash64("ingest_seq"), F.lit(parts)))
+    dealt.write.mode("overwrite").partitionBy("host", "collection_id").json(path)
+
+
 def bundle_documents(events: DataFrame, cap: int = 0) -> DataFrame:
     """One timeline document per collection, for small exports.
 

@@ -3,14 +3,21 @@
 A collection is the partition ``host=…/collection_id=…`` of a Parquet table. A
 publish writes only partitions that are new or no longer match their source,
 and replaces exactly those, so retrying is safe after any failure.
+
+Beside the partitions, ``_commits`` holds a record for each publish of a
+collection: its rows and digest, and before them an open record without a
+digest. The last record counts, so what a publish left half done is neither read
+nor taken for present, and a publish reads records, never the repository's rows.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_SCHEMA
+from ..session import cut_lineage
 
 KEYS = ["host", "collection_id"]
 
@@ -20,13 +27,38 @@ def sanitize_segment(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), r'[<>:"/\\|?*\x00-\x1F]', "_")
 
 
-def published(spark: SparkSession, root: str) -> DataFrame | None:
-    """Row and content digest per published collection, or None for an empty repository."""
+COMMITS = "_commits"
+COMMIT = "number bigint, host string, collection_id string, rows bigint, digest decimal(38,0)"
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame | None:
+    """The last record of each collection, or None if the repository does not exist yet; other failures are raised."""
     try:
-        table = spark.read.parquet(root)
-    except Exception:  # the folder is missing or holds no table yet
+        records = spark.read.schema(COMMIT).parquet(f"{root.rstrip('/')}/{COMMITS}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return digests(table)
+    last = F.max_by(F.struct("rows", "digest"), F.struct("number", F.col("digest").isNotNull())).alias("last")
+    return records.groupBy(*KEYS).agg(last, F.max("number").alias("number")).select(*KEYS, "number", "last.rows", "last.digest")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame | None:
+    """Rows and content digest per published collection, or None for an empty repository."""
+    found = commits(spark, root)
+    return None if found is None else found.where("digest is not null").select(*KEYS, "rows", "digest")
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The events of all published collections."""
+    done = published(spark, root)
+    rows = spark.read.schema(EVENT_SCHEMA).parquet(root).select(*EVENT_SCHEMA.names)
+    return rows.limit(0) if done is None else rows.join(done.select(*KEYS), KEYS, "left_semi").select(*EVENT_SCHEMA.names)
+
+
+def _record(plan: DataFrame, number: int, digest: Column, root: str) -> None:
+    rows = plan.where("decision = 'Publish'").select(F.lit(number).cast("bigint").alias("number"), *KEYS, "rows", digest.cast("decimal(38,0)").alias("digest"))
+    rows.write.mode("append").parquet(f"{root.rstrip('/')}/{COMMITS}")
 
 
 def digests(events: DataFrame) -> DataFrame:
@@ -54,18 +86,19 @@ def publish_plan(source: DataFrame, verified: DataFrame, present: DataFrame | No
         .when(F.coalesce(F.col("_match"), F.lit(False)), F.lit("AlreadyPresent"))
         .otherwise(F.lit("Publish"))
     )
-    return matched.select(*KEYS, "rows", decision.alias("decision"))
+    return matched.select(*KEYS, "rows", "digest", decision.alias("decision"))
 
 
 def publish(source: DataFrame, verified: DataFrame, root: str) -> DataFrame:
     """Publish verified collections and return the plan that was carried out."""
     spark = source.sparkSession
-    plan = publish_plan(source, verified, published(spark, root))
-    decided = plan.collect()  # one row per collection
-    todo = [(r["host"], r["collection_id"]) for r in decided if r["decision"] == "Publish"]
-    if todo:
-        wanted = spark.createDataFrame(todo, "host string, collection_id string")
-        rows = source.select(*EVENT_SCHEMA.names).join(wanted, KEYS, "left_semi")
+    plan = cut_lineage(publish_plan(source, verified, published(spark, root)))  # one row per collection
+    todo = plan.where("decision = 'Publish'").select(*KEYS)
+    if not todo.isEmpty():
+        before = commits(spark, root)
+        number = 1 + ((before.agg(F.max("number")).first()[0] or 0) if before is not None else 0)
+        _record(plan, number, F.lit(None), root)
+        rows = source.select(*EVENT_SCHEMA.names).join(todo, KEYS, "left_semi")
         (
             rows.repartition(*KEYS, F.pmod(F.xxhash64("ingest_seq"), F.lit(64)))
             .write.mode("overwrite")
@@ -73,7 +106,8 @@ def publish(source: DataFrame, verified: DataFrame, root: str) -> DataFrame:
             .partitionBy(*KEYS)
             .parquet(root)
         )
-    return spark.createDataFrame(decided, plan.schema) if decided else plan
+        _record(plan, number, F.col("digest"), root)
+    return plan.drop("digest")
 
 
 def case_status(expected: DataFrame, staged: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,7 @@ from ..functions import keys, times
 from ..functions.artifacts import resolve_reference
 from ..operators.integrity import parse_hash_lines
 from ..schema import EVENT_SCHEMA, EVIDENCE
+from ..session import cut_lineage
 
 EVENT_JSON = T.StructType(
     [
@@ -153,13 +154,86 @@ def read_timeline(
     return _select_events(
         rows,
         F.col("ev"),
-        F.lit(host) if host else path_part(F.col("file_path"), 2),
-        F.lit(collection_id) if collection_id else path_part(F.col("file_path"), 1),
+        F.lit(host) if host else _bundle_part("file_path", 1),
+        F.lit(collection_id) if collection_id else _bundle_part("file_path", 0),
         F.col("pos"),
         base,
     )
 
 
+def read_large_timeline(spark: SparkSession, path: str | list[str], host: str | None = None, collection_id: str | None = None) -> DataFrame:
+    """As :func:`read_timeline`, for documents of any size: no task or row holds one.
+
+    The text is read in pieces that end with a closing brace, from all splits of
+    a file at once. What a piece changes (whether it ends inside a string, how
+    many objects are open) is added up within each split and carried over the
+    splits, which tells the pieces of one event; they are put together and parsed.
+    Any object one level below the document counts as an event when numbering.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block")
+    )
+    pieces = cut_lineage(pieces.withColumn("place", F.monotonically_increasing_id()))
+    # Without escapes, every other stretch between quotes is a string.
+    stretches = F.split(F.regexp_replace("value", r"\\.", ""), '"', -1)
+    opened = lambda odd: F.aggregate(
+        F.transform("stretches", lambda x, i: F.when(i % 2 == odd, F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))).otherwise(0)), F.lit(0), lambda a, x: a + x
+    )
+    counted = pieces.withColumn("stretches", stretches).select(
+        "file_path", "block", "place", (F.size("stretches") - 1).alias("quotes"), opened(0).alias("outside"), opened(1).alias("inside")
+    )
+    counted = _carried(counted, "quotes", "quoted")
+    starts_inside, ends_inside = F.pmod("quoted", F.lit(2)) == 1, F.pmod(F.col("quoted") + F.col("quotes"), F.lit(2)) == 1
+    depths = counted.select("file_path", "block", "place", F.when(starts_inside, F.col("inside")).otherwise(F.col("outside")).alias("opens"), F.when(ends_inside, 0).otherwise(1).alias("closes"))
+    depths = _carried(depths.withColumn("change", F.col("opens") - F.col("closes")), "change", "depth")
+    # Depth 1 is the document, so a piece that closes down to it ends an event.
+    ends = depths.withColumn("ended", ((F.col("depth") + F.col("change") == 1) & (F.col("closes") == 1)).cast("int"))
+    numbered = _carried(ends, "ended", "number").select("file_path", "block", "place", "number")
+    whole = (
+        pieces.join(numbered, ["file_path", "block", "place"]).groupBy("file_path", "number")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("pieces"))
+    )
+    text = F.concat(F.array_join(F.transform("pieces", lambda x: x["value"]), "}"), F.lit("}"))
+    # Before the first event stands the beginning of the document, before the others a comma.
+    text = F.when(F.col("number") == 0, F.regexp_replace(text, r"^[^\[]*\[", "")).otherwise(F.regexp_replace(text, r"^[\s,]+", ""))
+    folder = F.regexp_replace(F.col("file_path"), r"/[^/]*$", "")
+    return _select_events(
+        whole.withColumn("ev", F.from_json(text, EVENT_JSON)),
+        F.col("ev"),
+        F.lit(host) if host else _bundle_part("file_path", 1),
+        F.lit(collection_id) if collection_id else _bundle_part("file_path", 0),
+        F.col("number"),
+        F.regexp_replace(folder, "^file:/*", "/"),
+    )
+
+
+def _carried(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over all earlier pieces of the file, by splits."""
+    inside = Window.partitionBy("file_path", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file_path", "block").agg(F.sum(value).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    summed = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(splits, ["file_path", "block"])
+    return summed.withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+
+def _bundle_part(path: str, above: int) -> Column:
+    """Folder name of a collection (0) or of its host (1); a ``snapshot_*`` folder below a collection is part of it."""
+    column = F.col(path)
+    nested = F.lower(path_part(column, 1)).startswith("snapshot_")
+    return F.when(nested, path_part(column, 2 + above)).otherwise(path_part(column, 1 + above))
+
+
+def timeline_paths(spark: SparkSession, root: str) -> list[str]:
+    """One timeline for each collection folder below ``<root>/<host>``: its own, else that of its first ``snapshot_*`` folder."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "timeline.json").load(root)
+        .select("path", _bundle_part("path", 1).alias("host"), _bundle_part("path", 0).alias("collection"), F.upper(path_part(F.col("path"), 1)).alias("folder"))
+    )
+    nested = F.col("folder").startswith("SNAPSHOT_")
+    first = listed.groupBy("host", "collection").agg(F.min_by("path", F.struct(nested, "folder")).alias("path"))
+    return sorted(row["path"] for row in first.collect())  # one name a collection
+
+
 def read_timeline_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Events of line-delimited timelines (our own scalable bundle form)."""
     schema = T.StructType(
@@ -185,9 +259,14 @@ def parse_events(rows: DataFrame, json: str = "json", base_directory: Column | N
     )
 
 
-def read_case_repository(spark: SparkSession, root: str) -> DataFrame:
-    """Every bundle below ``<root>/<host>/<collection>/timeline.json``, never a silent pick."""
-    return read_timeline(spark, f"{root.rstrip('/')}/*/*/timeline.json")
+def read_case_repository(spark: SparkSession, root: str, large: bool = False) -> DataFrame:
+    """Every bundle below ``<root>/<host>/<collection>``; ``large`` reads documents of any size.
+
+    What :func:`evidentia.sinks.repository.publish` writes is read by
+    :func:`evidentia.sinks.repository.read_published`.
+    """
+    paths = timeline_paths(spark, root)
+    return read_large_timeline(spark, paths) if large else read_timeline(spark, paths)
 
 
 def parse_manifests(rows: DataFrame, text: str = "text") -> DataFrame:
