@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.blobs import ragged
 from ..functions.text import drop_controls
 from ..functions.times import filetime_not_sentinel
 from ..schema import MFT_SCHEMA
@@ -19,6 +21,7 @@ END_OF_ATTRIBUTES = 0xFFFFFFFF
 STANDARD_INFORMATION = 0x10
 FILE_NAME = 0x30
 REFERENCE_MASK = 0xFFFFFFFFFFFF
+SECTOR_BYTES = (256, 4096)
 NAME_SCORES = {1: 4, 3: 3, 0: 2, 2: 1}
 TIME_STOMP_MICROS = 2_000_000
 
@@ -28,92 +31,139 @@ _RAW = (
 )
 
 
-def _repaired(record: bytes) -> bytearray | None:
-    """Sector ends restored from the update sequence; None where they do not match."""
-    at, count = struct.unpack_from("<HH", record, 4)
-    sectors = count - 1
-    if at <= 0 or sectors < 1 or at + 2 * count > len(record) or len(record) % sectors:
-        return None
-    size = len(record) // sectors
-    if not 256 <= size <= 4096:
-        return None
-    fixed, mark = bytearray(record), record[at : at + 2]
-    for i in range(1, count):
-        end = i * size - 2
-        if fixed[end : end + 2] != mark:
-            return None
-        fixed[end : end + 2] = record[at + 2 * i : at + 2 * i + 2]
-    return fixed
-
-
-def _attributes(record: bytearray, start: int, used: int) -> Iterator[tuple[int, bytes]]:
-    """(type, content) of the resident attributes."""
-    at = start
-    while at <= used - 8:
-        kind, length = struct.unpack_from("<Ii", record, at)
-        if kind == END_OF_ATTRIBUTES or length <= 0 or at + length > used:
-            return
-        if not record[at + 8] and at + 22 <= used:
-            size, offset = struct.unpack_from("<iH", record, at + 16)
-            if size >= 0 and 0 < offset < length and offset + size <= length:
-                yield kind, bytes(record[at + offset : at + offset + size])
-        at += length
-
-
-def _name(content: bytes) -> dict | None:
-    if len(content) < 0x42:
-        return None
-    length, namespace = content[0x40], content[0x41]
-    if not length or len(content) < 0x42 + 2 * length:
-        return None
-    parent, created, modified = struct.unpack_from("<Qqq", content, 0)
-    return {
-        "name": content[0x42 : 0x42 + 2 * length].decode("utf-16-le", "replace"),
-        "namespace": namespace,
-        "parent": parent & REFERENCE_MASK,
-        "created": created,
-        "modified": modified,
-        "is_directory": bool(struct.unpack_from("<I", content, 0x38)[0] & 0x10),
-    }
-
-
-def decode_record(record: bytes | None) -> dict | None:
-    """Names and times of one base record, or None."""
-    if record is None or len(record) < 64 or record[:4] != SIGNATURE:
-        return None
-    fixed = _repaired(record)
-    if fixed is None:
-        return None
-    used = struct.unpack_from("<i", fixed, 0x18)[0]
-    if used <= 0 or used > len(fixed):
-        used = len(fixed)
-    first, flags = struct.unpack_from("<HH", fixed, 0x14)
-    base = struct.unpack_from("<Q", fixed, 0x20)[0] & REFERENCE_MASK
-    if used < 64 or base or not 0x18 <= first < used:
-        return None
-    row = {"in_use": bool(flags & 1), "si_created": None, "si_modified": None, "names": []}
-    for kind, content in _attributes(fixed, first, used):
-        if kind == STANDARD_INFORMATION and len(content) >= 16:
-            row["si_created"], row["si_modified"] = struct.unpack_from("<qq", content, 0)
-        elif kind == FILE_NAME:
-            name = _name(content)
-            if name:
-                row["names"].append(name)
-    return row if row["names"] else None
-
-
-def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["host", "source", "record_index", "in_use", "si_created", "si_modified", "names"]
+_NAME = pa.struct(
+    [("name", pa.string()), ("namespace", pa.int32()), ("parent", pa.int64()), ("created", pa.int64()), ("modified", pa.int64()), ("is_directory", pa.bool_())]
+)
+_COLUMNS = pa.schema(
+    [("host", pa.string()), ("source", pa.string()), ("record_index", pa.int64()), ("in_use", pa.bool_()), ("si_created", pa.int64()), ("si_modified", pa.int64()), ("names", pa.list_(_NAME))]
+)
+
+
+class Records:
+    """Records of one size as the rows of a matrix; ``ok`` says which are still believed."""
+
+    def __init__(self, data: np.ndarray):
+        self.n, self.size = data.shape
+        self.flat = np.append(data.reshape(-1), np.zeros(8, np.uint8))
+        self.row = np.arange(self.n) * self.size
+        self.ok = (data[:, :4] == np.frombuffer(SIGNATURE, np.uint8)).all(axis=1)
+
+    def number(self, at, kind: str) -> np.ndarray:
+        """A number of every record, at one place or at one for each."""
+        return self.at(self.row + at, kind)
+
+    def at(self, place: np.ndarray, kind: str) -> np.ndarray:
+        """Numbers at places of the whole buffer."""
+        every = np.ndarray((len(self.flat) - np.dtype(kind).itemsize + 1,), kind, self.flat, strides=(1,))
+        return every[place].astype(np.int64)
+
+    def restore(self) -> None:
+        """Put back the sector ends that the update sequence keeps; records whose ends do not carry its mark are not believed."""
+        at, count = self.number(4, "<u2"), self.number(6, "<u2")
+        sectors = np.maximum(count - 1, 1)
+        width = self.size // sectors
+        self.ok &= (at > 0) & (count > 1) & (at + 2 * count <= self.size) & (self.size % sectors == 0) & (width >= SECTOR_BYTES[0]) & (width <= SECTOR_BYTES[1])
+        live = np.flatnonzero(self.ok)
+        sector, which = ragged(np.ones(len(live), np.int64), sectors[live])
+        record = live[which]
+        end = self.row[record] + sector * width[record] - 2
+        kept = self.row[record] + at[record] + 2 * sector
+        broken = self.at(end, "<u2") != self.at(self.row[record] + at[record], "<u2")
+        self.ok[record[broken]] = False
+        good = self.ok[record]
+        self.flat[end[good]], self.flat[end[good] + 1] = self.flat[kept[good]], self.flat[kept[good] + 1]
+
+    def attributes(self, start: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Record, type, place and size of all resident contents, in order.
+
+        Attributes tell their own lengths, so every record steps to its next one
+        at the same time; there are as many steps as one record has attributes.
+        """
+        record, at, out = np.flatnonzero(self.ok), start[self.ok], []
+        used = used[self.ok]
+        while True:
+            more = at <= used - 8
+            record, at, used = record[more], at[more], used[more]
+            kind, length = self.at(self.row[record] + at, "<u4"), self.at(self.row[record] + at + 4, "<i4")
+            more = (kind != END_OF_ATTRIBUTES) & (length > 0) & (at + length <= used)
+            record, at, used, kind, length = (x[more] for x in (record, at, used, kind, length))
+            if not len(record):
+                break
+            here = self.row[record] + at
+            head = at + 22 <= used  # long enough to tell a resident content
+            near = np.where(head, here, 0)
+            size, offset = self.at(near + 16, "<i4"), self.at(near + 20, "<u2")
+            resident = head & (self.flat[here + 8] == 0) & (size >= 0) & (offset > 0) & (offset < length) & (offset + size <= length)
+            out.append([x[resident] for x in (record, kind, here + offset, size, np.full(len(record), len(out)))])
+            at = at + length
+        if not out:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        record, kind, place, size, step = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((step, record))
+        return record[order], kind[order], place[order], size[order]
+
+
+def _names(records: Records, record: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The names among file-name contents, as structs, and their records."""
+    long = size >= 0x42
+    record, place, size = record[long], place[long], size[long]
+    letters = records.at(place + 0x40, "u1")
+    whole = (letters > 0) & (size >= 0x42 + 2 * letters)
+    record, place, letters = record[whole], place[whole], letters[whole]
+    at, row = ragged(place + 0x42, letters, 2)
+    # A name may hold NULs, so names are told apart by their lengths: decoded at once, cut where each one's letters end.
+    unit = records.at(at, "<u2").astype(np.uint16)
+    text = pa.array(names_of(unit, row, letters), pa.string())
+    found = [records.at(place + 0x41, "u1").astype(np.int32), records.at(place, "<u8") & REFERENCE_MASK, records.at(place + 8, "<i8"), records.at(place + 16, "<i8"), (records.at(place + 0x38, "<u4") & 0x10) != 0]
+    return record, pa.StructArray.from_arrays([text, *map(pa.array, found)], fields=list(_NAME))
+
+
+def names_of(unit: np.ndarray, row: np.ndarray, letters: np.ndarray) -> list[str]:
+    """UTF-16 letters, ``letters`` each, as texts."""
+    # A private letter that no other place holds is put behind each name; NULs inside names stay.
+    mark = next(c for c in range(0xE000, 0xF900) if not (unit == c).any())
+    spread = np.full(len(unit) + len(letters), mark, np.uint16)
+    spread[np.arange(len(unit)) + row] = unit
+    return spread.astype("<u2").tobytes().decode("utf-16-le", "replace").split(chr(mark))[: len(letters)]
+
+
+def decode_matrix(data: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Which records of one size are base records with a name, and their ``in_use``, times and names."""
+    records = Records(data)
+    if records.size < 64:
+        return np.zeros(0, np.int64), [pa.array([], f.type) for f in _COLUMNS][3:]
+    records.restore()
+    used = records.number(0x18, "<i4")
+    used = np.where((used <= 0) | (used > records.size), records.size, used)
+    first = records.number(0x14, "<u2")
+    base = records.number(0x20, "<u8") & REFERENCE_MASK
+    records.ok &= (used >= 64) & (base == 0) & (first >= 0x18) & (first < used)
+    record, kind, place, size = records.attributes(first, used)
+    is_name = kind == FILE_NAME
+    owner, names = _names(records, record[is_name], place[is_name], size[is_name])
+    chosen = np.unique(owner)
+    stated = (kind == STANDARD_INFORMATION) & (size >= 16)
+    created, modified = np.zeros(records.n, np.int64), np.zeros(records.n, np.int64)
+    known = np.zeros(records.n, bool)
+    # Of several the last one counts, as assignment keeps it.
+    known[record[stated]], created[record[stated]], modified[record[stated]] = True, records.at(place[stated], "<i8"), records.at(place[stated] + 8, "<i8")
+    ends = np.searchsorted(owner, np.append(chosen, records.n)).astype(np.int32)
+    times = [pa.array(x[chosen], mask=~known[chosen]) for x in (created, modified)]
+    in_use = pa.array((records.number(0x16, "<u2")[chosen] & 1) == 1)
+    return chosen, [in_use, *times, pa.ListArray.from_arrays(pa.array(ends), names)]
+
+
+def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for host, source, index, record in zip(batch["host"], batch["source"], batch["record_index"], batch["record"]):
-            decoded = decode_record(record)
-            if decoded is not None:
-                rows.append({"host": host, "source": source, "record_index": index, **decoded})
-        frame = pd.DataFrame(rows, columns=columns)
-        for c in ("si_created", "si_modified"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+        record = batch.column(3).cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(record), 0).to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            same = record.take(pa.array(rows))
+            data = np.frombuffer(same.buffers()[2], np.uint8)[: size * len(rows)].reshape(len(rows), size)
+            chosen, columns = decode_matrix(data)
+            kept = [batch.column(i).take(pa.array(rows[chosen])) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *columns], _COLUMNS, strict=True)], schema=_COLUMNS)
 
 
 def is_time_stomped(created: Column, modified: Column, created_fn: Column, modified_fn: Column) -> Column:
@@ -145,9 +195,10 @@ def preferred_name(names: Column) -> Column:
 def decode_records(records: DataFrame) -> DataFrame:
     """``host, source, record_index, record`` rows as file-table entries.
 
-    Python splits bytes only; names, times and flags are columns.
+    Python splits bytes only, a batch of records at a time; names, times and
+    flags are columns.
     """
-    raw = records.select("host", "source", "record_index", "record").mapInPandas(_decode_batches, _RAW)
+    raw = records.select("host", "source", "record_index", "record").mapInArrow(_decode_batches, _RAW)
     return entries_from_attributes(raw)
 
 

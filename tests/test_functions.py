@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+import numpy as np
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -201,6 +203,12 @@ def test_transfer_strings(spark):
     )
 
 
+def shim(payload):
+    """Entries of one blob."""
+    rows = blobs.shim_cache_table(pd.Series([payload]))
+    return [(r.path, int(r.modified) or None, int(r.updated) or None, r.format) for r in rows.itertuples()]
+
+
 PAYLOADS = [b"", b"\0", b"abc", bytes(16), bytes(256), bytes(4096), b"\xff" * 64, b"\xff" * 256] + [
     bytes((i * 7919 + n) % 256 for i in range(n)) for n in (64, 257, 2048)
 ]
@@ -209,8 +217,10 @@ PAYLOADS = [b"", b"\0", b"abc", bytes(16), bytes(256), bytes(4096), b"\xff" * 64
 def test_decoders_survive_any_bytes(spark):
     """Never an exception, and no invented entries from noise."""
     for payload in PAYLOADS:
-        assert blobs.shim_cache_rows(payload) == []
-        assert blobs.shell_item_path(payload)["item_count"] >= 0
+        assert shim(payload) == []
+    assert (blobs.shell_item_table(pd.Series(PAYLOADS))["item_count"] >= 0).all()
+    assert len(blobs.shim_cache_table(pd.Series([None, *PAYLOADS]))) == 0
+    assert blobs.shell_item_table(pd.Series([None])).iloc[0].isna().all() and len(blobs.shell_item_table(pd.Series([], dtype=object))) == 0
     frame = spark.createDataFrame([Row(b=bytearray(p)) for p in PAYLOADS])
     b = F.col("b")
     rows = frame.select(
@@ -239,15 +249,15 @@ def test_shim_cache_layouts():
     def wide(path):
         return path.encode("utf-16-le").ljust(520, b"\0") + stamp.to_bytes(8, "little") + bytes(24)
 
-    rows = blobs.shim_cache_rows(bytes(128) + wide("C:\\a\\one.exe") + wide("C:\\a\\two.exe"))
+    rows = shim(bytes(128) + wide("C:\\a\\one.exe") + wide("C:\\a\\two.exe"))
     assert [(r[0], r[1], r[3]) for r in rows] == [("C:\\a\\one.exe", stamp, "Win7_552"), ("C:\\a\\two.exe", stamp, "Win7_552")]
 
     def narrow(path):
         return path.encode().ljust(392, b"\0") + stamp.to_bytes(8, "little")
 
-    rows = blobs.shim_cache_rows(narrow("C:\\x\\one.exe") + narrow("C:\\x\\two.exe"))
+    rows = shim(narrow("C:\\x\\one.exe") + narrow("C:\\x\\two.exe"))
     assert [(r[0], r[3]) for r in rows] == [("C:\\x\\one.exe", "WinXP_400"), ("C:\\x\\two.exe", "WinXP_400")]
-    assert blobs.shim_cache_rows(bytes(128) + wide("C:\\a\\only.exe")) == []
+    assert shim(bytes(128) + wide("C:\\a\\only.exe")) == []
 
 
 def test_shim_cache_of_many_steps():
@@ -259,6 +269,21 @@ def test_shim_cache_of_many_steps():
         return (16 + len(body)).to_bytes(4, "little") + bytes(12) + body
 
     paths = [f"C:\\a\\{n}.exe" for n in range(5_000)]
-    padded = blobs.shim_cache_rows(bytes(128 + 4 * 5_000) + block(paths[0]) + bytes(4 * 5_000) + block(paths[1]) + bytes(40))
+    padded = shim(bytes(128 + 4 * 5_000) + block(paths[0]) + bytes(4 * 5_000) + block(paths[1]) + bytes(40))
     assert [(r[0], r[1], r[3]) for r in padded] == [(p, stamp, "Win10_Variable") for p in paths[:2]]
-    assert [r[0] for r in blobs._blocks(b"".join(map(block, paths)) + bytes(40), 0)] == paths
+    buffer = blobs.Buffer(pd.Series([b"".join(map(block, paths)) + bytes(40)]))
+    assert blobs._entries(buffer, np.array([0]), blobs.LAYOUTS[2], 0)["path"].tolist() == paths
+    many = blobs.shim_cache_table(pd.Series([None, bytes(128) + block(paths[0]) + bytes(4) + block(paths[1]) + bytes(40), b"", bytes(32) + block(paths[2]) + block(paths[3]) + bytes(33)]))
+    assert many[["blob", "path"]].values.tolist() == [[1, paths[0]], [1, paths[1]], [3, paths[2]], [3, paths[3]]]
+
+
+def test_shell_items_of_a_batch():
+    def item(content):
+        return (len(content) + 2).to_bytes(2, "little") + content
+
+    wide = "C:\\Users".encode("utf-16-le")
+    one = item(b"\x31\0" + wide) + item(b"\x32\0notes.txt\0NOTES.TXT\0x") + item(b"")
+    found = blobs.shell_item_table(pd.Series([one, None, one + b"\xff\xff", b"\1\0" + one], index=[7, 8, 9, 10]))
+    path = found["parsed_path"].iloc[0]
+    assert path.endswith("\\notes.txt") and found["file_name"].iloc[0] == "notes.txt" and found["item_types"].iloc[0] == "0x31,0x32,0x00"
+    assert found["item_count"].tolist()[::2] == [3, 3] and found.iloc[1].isna().all() and found["item_count"].iloc[3] == 0
