@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.bags import field, parse_pid
 from ..functions.endpoints import address_family, connection_state, endpoint_address, endpoint_port
 from ..functions.text import strip
+from ..session import cut_lineage
+from .asof import running_max
 from .filters import matches_text
 from .processes import latest_per_key, module_name
 from .ranking import last_by, null_safe_join
@@ -171,6 +173,46 @@ def with_process(connections: DataFrame, names: DataFrame) -> DataFrame:
     return named.withColumn("module_name", module_name(F.col("image_path"), F.col("process_name")))
 
 
+def process_spans(events: DataFrame) -> DataFrame:
+    """When processes began and ended: ``at``, ``ended``, name and image per host, collection and pid, from Process events."""
+    bag, action = F.col("fields"), F.col("action")
+    return events.where((F.lower("category") == "process") & F.col("subject_process").isNotNull() & action.isin("Start", "Stop")).select(
+        "host",
+        "collection_id",
+        F.col("subject_process.pid").alias("pid"),
+        F.when(action == "Stop", F.col("ts")).otherwise(F.col("subject_process.create_time")).alias("at"),
+        (action == "Stop").alias("ended"),
+        F.coalesce(field(bag, "ProcessName"), F.lit("")).alias("process_name"),
+        F.coalesce(field(bag, "ImagePath"), F.lit("")).alias("image_path"),
+    )
+
+
+def with_process_then(connections: DataFrame, spans: DataFrame, at: str = "create_time", chunk_seconds: int = 3600) -> DataFrame:
+    """Name and image of the process that had the pid at the time ``at`` of each connection; blank if none lived.
+
+    Connections and process spans form one sequence per host, collection (if the
+    connections have one) and pid; the last span up to a connection is the
+    running maximum along it, taken within hours and carried over them, so a pid
+    with any share of the rows is spread over its hours. A start counts at its own
+    instant, and before a stop of that instant.
+    """
+    keys = [k for k in ("host", "collection_id", "pid") if k in connections.columns]
+    # At one instant: ends first, then starts, then connections.
+    place = lambda ts, kind: F.unix_micros(ts) * 4 + kind
+    begun = spans.where("pid is not null and at is not null").select(
+        *keys, place(F.col("at"), F.when(F.col("ended"), 0).otherwise(1)).alias("_place"), "ended", "process_name", "image_path"
+    )
+    life = F.struct(F.col("_place").alias("place"), "ended", "process_name", "image_path")
+    rows = connections.withColumn("_row", F.struct(*connections.columns)).select(*keys, place(F.col(at), F.lit(2)).alias("_place"), "_row", F.lit(None).cast("struct<place:bigint,ended:boolean,process_name:string,image_path:string>").alias("_span"))
+    both = rows.unionByName(begun.select(*keys, "_place", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), life.alias("_span")))
+    both = cut_lineage(both.withColumn("_chunk", F.call_function("div", F.col("_place"), F.lit(chunk_seconds * 4_000_000))))
+    walked = running_max(both, keys, "_place", "_chunk", {"_last": F.col("_span")}).where("_row is not null")
+    lives = F.col("_last").isNotNull() & ~F.col("_last.ended")
+    named = {c: F.when(lives, F.col(f"_last.{c}")).otherwise("") for c in ("process_name", "image_path")}
+    out = walked.select("_row.*", *[v.alias(c) for c, v in named.items()])
+    return out.withColumn("module_name", module_name(F.col("image_path"), F.col("process_name")))
+
+
 def family_filter(
     connections: DataFrame, tcp_v4: bool = True, tcp_v6: bool = True, udp_v4: bool = True, udp_v6: bool = True
 ) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ..session import cut_lineage
+
 BUCKETS = 4096
 NATIVE_LIMIT = 1000
 
@@ -74,11 +76,35 @@ def sort_columns(order: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]
 
 
+def tie_names(df: DataFrame, order: list[tuple[str, bool]]) -> list[str]:
+    """Every other column that can be sorted."""
+    named = {c for c, _ in order}
+    return [f.name for f in df.schema if f.name not in named and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+
+
 def tie_columns(df: DataFrame, order: list[tuple[str, bool]]) -> list[Column]:
-    """Every other column that can be sorted: rows that tie in all of them are alike."""
+    """Order of rows that are equal in ``order``: by the other plain columns, then by the text of nested ones."""
     named = {c for c, _ in order}
-    simple = (ArrayType, MapType, StructType)
-    return [F.col(f.name).asc() for f in df.schema if f.name not in named and not isinstance(f.dataType, simple)]
+    nested = [F.to_json(F.struct(F.col(f.name))).asc() for f in df.schema if f.name not in named and isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    return [*[F.col(c).asc() for c in tie_names(df, order)], *nested]
+
+
+def slice_rows(df: DataFrame, ordering: list[Column], start: int, stop: int | None) -> DataFrame:
+    """Rows ``start`` (from 0) up to ``stop`` of a total order, without bringing many into one task.
+
+    Few first rows are a plain top-k. Others are sorted over all tasks, and a row's
+    rank is its place in its task behind the rows of the tasks before.
+    """
+    if stop is not None and stop <= NATIVE_LIMIT:
+        return df.orderBy(*ordering).offset(start).limit(stop - start)
+    placed = cut_lineage(df.orderBy(*ordering).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a task
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.join(sizes.select("_part", before.alias("_before")), part == F.col("_part"))
+    rank = place + F.col("_before")
+    wanted = rank >= start if stop is None else (rank >= start) & (rank < stop)
+    return ranked.where(wanted).select(*df.columns)
 
 
 def page(df: DataFrame, order: list[tuple[str, bool]], offset: int, limit: int) -> DataFrame:
@@ -106,13 +132,13 @@ def page(df: DataFrame, order: list[tuple[str, bool]], offset: int, limit: int)
     *first, skipped = first
     equal = lambda bound: reduce(lambda a, b: a & b, [F.col(c) == x for (c, _), x in zip(full, bound)])
     if last is not None and last[:-1] == first:
-        return rows.where(equal(first)).orderBy(*sorting).offset(skipped - 1).limit(limit).drop(*drop)
+        return slice_rows(rows.where(equal(first)), sorting, skipped - 1, skipped - 1 + limit).orderBy(*sorting).drop(*drop)
     inside = rows.where(_reaches(full, first, after=True) & ~equal(first))
-    parts = [rows.where(equal(first)).orderBy(*sorting).offset(skipped - 1)]
+    parts = [slice_rows(rows.where(equal(first)), sorting, skipped - 1, None)]
     if last is not None:
         *last, taken = last
         inside = inside.where(_reaches(full, last, after=False) & ~equal(last))
-        parts.append(rows.where(equal(last)).orderBy(*sorting).limit(taken))
+        parts.append(slice_rows(rows.where(equal(last)), sorting, 0, taken))
     return reduce(DataFrame.unionByName, [inside, *parts]).orderBy(*sorting).drop(*drop)
 
 
@@ -139,18 +165,19 @@ def _keep(df: DataFrame, cap: int, seq: str, descending: bool, keys: tuple[str,
     if keys:
         numbered = df.withColumn("_unnumbered", F.col(seq).isNull())
         order = [("_unnumbered", False), (seq, descending)]
-        return top_n_per_key(numbered, list(keys), order, cap, rank="_rank").drop("_rank", "_unnumbered")
+        named = {c for c, _ in order} | set(keys)
+        return top_n_per_key(numbered, list(keys), order, cap, rank="_rank", ties=[c for c in tie_names(df, order) if c not in named]).drop("_rank", "_unnumbered")
     ties = tie_columns(df, [(seq, descending)])
     found = kth_place(df, seq, cap, descending)
     if found is None:
         numbered, without = df.where(F.col(seq).isNotNull()), df.where(F.col(seq).isNull())
         rest = cap - numbered.count()
-        return df if without.count() <= rest else numbered.unionByName(without.orderBy(*ties).limit(rest))
+        return df if without.count() <= rest else numbered.unionByName(slice_rows(without, ties, 0, rest))
     value, remaining, equal = found
     if remaining == equal:
         return df.where(F.col(seq) >= value if descending else F.col(seq) <= value)
     beyond = df.where(F.col(seq) > value if descending else F.col(seq) < value)
-    return beyond.unionByName(df.where(F.col(seq) == value).orderBy(*ties).limit(remaining))
+    return beyond.unionByName(slice_rows(df.where(F.col(seq) == value), ties, 0, remaining))
 
 
 def evicted(df: DataFrame, cap: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -160,17 +187,18 @@ def evicted(df: DataFrame, cap: int, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def top_n_per_key(
-    df: DataFrame, keys: list[str], order: list[tuple[str, bool]], n: int, salts: int = 64, rank: str = "rank"
+    df: DataFrame, keys: list[str], order: list[tuple[str, bool]], n: int, salts: int = 64, rank: str = "rank", ties: list[str] | None = None
 ) -> DataFrame:
-    """Exact first ``n`` rows per key, with their rank.
+    """Exact first ``n`` rows per key, with their rank; rows that are equal in ``order`` follow by the columns ``ties``.
 
     Up to ``NATIVE_LIMIT`` Spark cuts each group before the shuffle by itself.
     Above it a hot key is ranked in ``salts`` slices first, so the final
     ranking never sees more than ``n * salts`` rows of a key.
     """
-    ordering = sort_columns(order)
+    ties = ties or []
+    ordering = [*sort_columns(order), *[F.col(c).asc() for c in ties]]
     if n > NATIVE_LIMIT:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c, _ in order]), F.lit(salts))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c, _ in order], *ties), F.lit(salts))
         slices = Window.partitionBy(*keys, "_salt").orderBy(*ordering)
         df = (
             df.withColumn("_salt", salt)

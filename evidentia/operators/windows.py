@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .ranking import keep_newest, top_n_per_key
+from .ranking import keep_newest, tie_names, top_n_per_key
 
 # Default events per second and category, caps of the artifact tables.
 THROTTLE_LIMITS = {"File": 500, "Registry": 300, "Network": 300}
@@ -83,7 +83,9 @@ def cap_per_group(
     """First ``cap`` rows per group in the given order (arrival by default); 0 keeps everything."""
     if cap <= 0:
         return rows
-    return top_n_per_key(rows, keys, order or [("ingest_seq", False)], cap, rank="_rank").drop("_rank")
+    order = order or [("ingest_seq", False)]
+    ties = [c for c in tie_names(rows, order) if c not in keys]
+    return top_n_per_key(rows, keys, order, cap, rank="_rank", ties=ties).drop("_rank")
 
 
 def truncated_groups(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:

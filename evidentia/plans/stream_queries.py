@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..schema import EVENT_SCHEMA
 from ..session import staging_path
 from ..sources.live import read_event_stream, read_record_stream
-from ..streaming import ingest, stateful, throttle
+from ..streaming import ingest, keyed, stateful, throttle
 from .base import EV, FL, activity, big, flows, query, us, with_ev
 from .correlation_queries import ANCHORED_LIMITS, ANCHORED_SQL, _SNAPS, _WALK, _connection_snapshots, _pid_events, anchored_feed
 from .view_queries import _TRAFFIC
@@ -37,6 +37,14 @@ def _drain(spark, stream, mode="append"):
     return spark.read.parquet(out)
 
 
+def _deliver(spark, rows, writer, deliveries=3):
+    """Events arrive in deliveries; after each a stream takes up where the last one ended."""
+    path = staging_path(spark, "feed")
+    for part in range(deliveries):
+        rows.where(F.pmod("ingest_seq", F.lit(deliveries)) == part).write.mode("append").parquet(path)
+        writer(read_event_stream(spark, path)).trigger(availableNow=True).start().awaitTermination()
+
+
 def _stateful(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
@@ -56,10 +64,9 @@ def st_dedup(spark, sf):
 
 @query("st_traffic", f"WITH {FL}, {_TRAFFIC} SELECT * FROM tr")
 def st_traffic(spark, sf):
-    path = staging_path(spark, "feed")
-    flows(spark, sf).write.parquet(path)
-    totals = ingest.running_traffic(read_event_stream(spark, path))
-    return _drain(spark, totals, "complete").select(
+    folder = staging_path(spark, "totals")
+    _deliver(spark, flows(spark, sf), lambda stream: keyed.traffic_table(stream, folder, every=2))
+    return keyed.read_keyed(spark, folder, keyed.TRAFFIC_KEYS, keyed.COUNTERS, True, every=2).select(
         "host", "protocol", "local_ep", "remote_ep", "pid", big(F.col("sent_bytes")).alias("sent_bytes"),
         big(F.col("recv_bytes")).alias("recv_bytes"), "sent_packets", "recv_packets",
     )
@@ -71,10 +78,9 @@ def st_traffic(spark, sf):
       WHERE protocol IS NOT NULL GROUP BY ALL"""),
 )
 def st_hourly_flows(spark, sf):
-    path = staging_path(spark, "feed")
-    activity(spark, sf).write.parquet(path)
-    counted = ingest.hourly_flows(read_event_stream(spark, path))
-    return _drain(spark, counted, "complete").select(
+    folder = staging_path(spark, "hours")
+    _deliver(spark, activity(spark, sf), lambda stream: keyed.hourly_table(stream, folder, "40 days"))
+    return keyed.read_keyed(spark, folder, keyed.HOURLY_KEYS, ["event_count"], False).select(
         "host", us(F.col("time_bucket")).alias("bucket_us"), "protocol", "local_ep", "remote_ep", "pid", "event_count"
     )
 

@@ -284,6 +284,40 @@ def jn_conn_process(spark, sf):
     )
 
 
+def _reused_pids(spark, sf):
+    """Every pid has two processes: one from 1994 to June 1995, another from 1996 on."""
+    days = {"1994-01-01": ("Start", "first"), "1995-06-01": ("Stop", "first"), "1996-01-01": ("Start", "second")}
+    steps = F.array(*[F.struct(F.to_timestamp(F.lit(d)).alias("ts"), F.lit(a).alias("action"), F.lit(n).alias("name")) for d, (a, n) in days.items()])
+    base = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.posexplode(steps).alias("step", "s"))
+    began = F.when(F.col("s.name") == "first", F.to_timestamp(F.lit("1994-01-01"))).otherwise(F.col("s.ts"))
+    return to_events(
+        base,
+        host=F.concat(F.lit("H"), (F.col("s_suppkey") % 4).cast("string")),
+        collection_id=F.lit("C0"),
+        ingest_seq=F.col("s_suppkey") * 3 + F.col("step"),
+        ts=F.col("s.ts"),
+        category=F.lit("Process"),
+        action=F.col("s.action"),
+        subject_process=process_key(F.lit(1), F.col("s_suppkey"), began),
+        fields=F.create_map(F.lit("ProcessName"), F.concat(F.col("s_name"), F.lit("-"), F.col("s.name"))),
+    )
+
+
+@query(
+    "jn_conn_process_then",
+    f"""WITH {FL}, c AS (SELECT host, protocol, local_ep, remote_ep, pid, bucket, min(us) AS us FROM fl GROUP BY ALL)
+        SELECT c.host, local_ep, remote_ep, protocol, pid, epoch_us(bucket) AS bucket_us,
+          CASE WHEN s_name IS NULL OR us < epoch_us(TIMESTAMP '1994-01-01') THEN '' WHEN us < epoch_us(TIMESTAMP '1995-06-01') THEN s_name || '-first'
+            WHEN us < epoch_us(TIMESTAMP '1996-01-01') THEN '' ELSE s_name || '-second' END AS process_name
+        FROM c LEFT JOIN supplier ON pid = s_suppkey""",
+)
+def jn_conn_process_then(spark, sf):
+    """The process that had the pid when the connection was first seen."""
+    rows = connections.connection_summary(flows(spark, sf))
+    named = connections.with_process_then(rows, connections.process_spans(_reused_pids(spark, sf)))
+    return named.select("host", "local_ep", "remote_ep", "protocol", "pid", us(F.col("time_bucket")).alias("bucket_us"), "process_name")
+
+
 @query("flt_eventlog", with_ev("SELECT seq FROM ev WHERE k % 2 = 0 AND (contains(lower(summary), 'click'))"))
 def flt_eventlog(spark, sf):
     return _seqs(views.event_log_view(activity(spark, sf), log="security", text="CLICK"))
