@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import arrow_map, query, release, staged, table
@@ -162,11 +162,11 @@ def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
     """``token, sig, n, pivot, pivot_n`` of all tokens posted by two sets of fitting sizes.
 
     A token's sets are cut, by size, where neighbours differ by too much to
-    link; each stretch counts as a token of its own, with its smallest set as pivot.
+    link; each stretch counts as a token of its own, with its largest set as pivot.
 
     The first common token of two linked sets is among the ``early`` first tokens
     of the smaller one, and of both if they are equal in size. So a posting is
-    ``live`` if it is early or if the stretch has an early one of a set that is not
+    ``live`` if it is early or if the token has an early one of a set that is not
     larger; a set without a live posting has no link, and all its postings go.
     Texts that only share what very many share end here.
     """
@@ -194,18 +194,18 @@ def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "sig", "n", "pivot", "pivot_n", "live"]
         last = pivot = None  # token, sig and size of the last row; sig and size of its stretch's first
-        pending = seen = False  # the pivot's own row waits for a second set; the stretch has an early posting
+        pending = pending_live = False  # the pivot's own row waits for a second set
         for batch in batches:
-            token, sig, n, early = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            token, sig, n, live = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(token):
                 continue
             before = [np.append(x[:1] if last is None else np.array([v], x.dtype), x[:-1]) for x, v in zip((token, sig, n), last or (None,) * 3)]
             fresh = (token != before[0]) | (sig != before[1])
-            new = (token != before[0]) | (100 * before[2].astype(np.int64) < PERCENT * n.astype(np.int64))
+            new = (token != before[0]) | (100 * n.astype(np.int64) < PERCENT * before[2].astype(np.int64))
             if last is None:
                 fresh[0] = new[0] = True
             last = token[-1], sig[-1], n[-1]
-            token, sig, n, early, new = token[fresh], sig[fresh], n[fresh], early[fresh], new[fresh]
+            token, sig, n, live, new = token[fresh], sig[fresh], n[fresh], live[fresh], new[fresh]
             if not len(token):
                 continue
             goes_on = not new[0]
@@ -219,18 +219,17 @@ def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
             # Tokens are hashes; with the pivot mixed in, stretches are told apart.
             stretch = mix(token[begin].view(np.uint64) + mix(first.view(np.uint64))).view(np.int64)
             if goes_on and pending:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (stretch[0], *pivot, *pivot, seen)], names)
-            so_far = np.cumsum(early)
-            live = so_far > np.repeat(so_far[begin] - early[begin], size)  # an early posting up to here
-            if goes_on and seen:
-                live[: size[0]] = True
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (stretch[0], *pivot, *pivot, pending_live)], names)
             kept = np.repeat(keep, size)
-            columns = (np.repeat(stretch, size), sig, n, np.repeat(first, size), np.repeat(first_n, size), live)
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in columns], names)
-            pending, pivot, seen = not keep[-1], (first[-1], first_n[-1]), bool(live[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (np.repeat(stretch, size), sig, n, np.repeat(first, size), np.repeat(first_n, size), live)], names)
+            pending, pending_live = not keep[-1], bool(live[-1])
+            pivot = first[-1], first_n[-1]
 
     posted = arrow_map(documents.select(text_column), post, "token long, sig long, n int, early boolean")
-    posted = posted.repartition("token").sortWithinPartitions("token", "n", "sig")
+    whole = Window.partitionBy("token").orderBy(F.desc("n"), "sig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    live = F.col("early") | (F.col("n") >= F.min(F.when(F.col("early"), F.col("n"))).over(whole))
+    posted = posted.repartition("token").select("token", "sig", "n", F.coalesce(live, F.lit(False)).alias("live"))
+    posted = posted.sortWithinPartitions("token", F.desc("n"), "sig")
     shared = staged(arrow_map(posted, share, "token long, sig long, n int, pivot long, pivot_n int, live boolean"), "shared")
     return staged(shared.drop("live").join(shared.where("live").select("sig").distinct(), "sig", "left_semi"), "postings")
 
@@ -358,22 +357,18 @@ def _largest(n):
     return F.least("most", F.floor(F.lit(100) * n / PERCENT))
 
 
-def _posted(postings: DataFrame, homes: DataFrame) -> DataFrame:
-    return postings.select("token", "sig").join(homes.select("sig", "n", "cls", "size", "part", "magnitude"), "sig")
-
-
-def _mixed(posted: DataFrame, *columns: str, **figures) -> DataFrame:
-    """Postings of tokens that lie in several classes, and figures of those tokens; by token, so what follows by token moves nothing."""
-    several = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), *(c.alias(n) for n, c in figures.items()))
-    several = several.where("low < high").drop("low", "high")
-    return posted.select("token", *columns).join(several, "token")
+def _mixed(postings: DataFrame, homes: DataFrame) -> DataFrame:
+    """Postings of tokens that lie in several classes."""
+    posted = postings.select("token", "sig").join(homes.select("sig", "n", "cls", "size", "part", "magnitude"), "sig")
+    mixed = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
+    return posted.join(mixed, "token")
 
 
 def _towards_largest(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame, part: int) -> DataFrame:
     """Links of sets with a part of the class that holds most of their tokens, among the largest class of each."""
-    largest = F.max(F.when(F.col("size") > 1, F.struct("size", "cls")))
-    mixed = _mixed(_posted(postings, homes), "sig", "n", "cls", top=largest).withColumn("home", F.col("top.cls"))
-    shared = mixed.where("cls <> home").groupBy("sig", "n", "cls", "home").agg(F.count("*").alias("shared"))
+    posted = staged(_mixed(postings, homes), "mixed")
+    large = posted.where("size > 1").groupBy("token").agg(F.max(F.struct("size", "cls")).alias("top")).select("token", F.col("top.cls").alias("home"))
+    shared = posted.join(large, "token").where("cls <> home").groupBy("sig", "n", "cls", "home").agg(F.count("*").alias("shared"))
     figures = homes.select(F.col("cls").alias("home"), F.col("size").alias("home_size"), "least", "most").distinct()
     n, more = F.col("n"), F.col("shared") + 1
     near = (
@@ -387,12 +382,7 @@ def _towards_largest(documents: DataFrame, text_column: str, postings: DataFrame
 
 def _across(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame) -> DataFrame:
     """All links between sets of different classes."""
-    return _ask(documents, text_column, staged(_asked(postings, homes), "asked"), homes)
-
-
-def _asked(postings: DataFrame, homes: DataFrame) -> DataFrame:
-    """Which sets (``sig, cls``) have to query which groups (``home, part``) of other classes."""
-    posted = _mixed(_posted(postings, homes), "sig", "n", "cls", "part", "magnitude")
+    posted = staged(_mixed(postings, homes), "mixed")
     held = (
         posted.groupBy("token", F.col("cls").alias("home"), "part", F.col("magnitude").alias("home_magnitude"))
         .agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -411,7 +401,7 @@ def _asked(postings: DataFrame, homes: DataFrame) -> DataFrame:
     )
     n, more = F.col("n"), F.col("shared") + 1
     asked = asked.where(_can_link(more, n, _largest(n)) | F.col("any_size") & _can_link(more, n, _smallest(n)))
-    return asked.select("sig", "cls", "home", "part")
+    return _ask(documents, text_column, staged(asked.select("sig", "cls", "home", "part"), "asked"), homes)
 
 
 def _ask(documents: DataFrame, text_column: str, asked: DataFrame, homes: DataFrame) -> DataFrame:
