@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.times import hour_bucket
+from ..session import cut_lineage
+from .asof import running_max
+from .ranking import lag_by_chunk
+
+SNAPSHOTS = 4096  # snapshots of one pid that a task looks at together
 
 
 def number_snapshots(rows: DataFrame, ts: str = "snapshot_ts", host: str = "host") -> DataFrame:
@@ -81,26 +86,30 @@ def connection_transitions(observed: DataFrame) -> DataFrame:
     )
 
 
-def process_transitions(observed: DataFrame) -> DataFrame:
+def process_transitions(observed: DataFrame, chunk_width: int = SNAPSHOTS) -> DataFrame:
     """Start and Stop rows from process snapshots.
 
     ``observed``: ``host, snapshot_id, snapshot_ts, pid, create_time`` with
     ``create_time`` null where the monitor could not read it. While it is
     unknown the snapshot of first sight stands in; learning it later, or a
-    reused pid, is a Stop and a Start. A pid occurs once per snapshot, which
-    bounds each window.
+    reused pid, is a Stop and a Start. A pid occurs once per snapshot.
+
+    Where a pid's run of snapshots began, and the create time last read, are
+    running maxima of the snapshot number, taken in chunks of ``chunk_width``
+    snapshots and carried over them, so a pid seen for years is no single window.
     """
-    window = Window.partitionBy("host", "pid").orderBy("snapshot_id")
-    seen = observed.select("host", "pid", "snapshot_id", "snapshot_ts", "create_time")
-    seen = seen.withColumn(
-        "_new_run",
-        F.coalesce(F.col("snapshot_id") != F.lag("snapshot_id").over(window) + 1, F.lit(True)),
-    ).withColumn("_run", F.sum(F.col("_new_run").cast("int")).over(window))
-    inside = Window.partitionBy("host", "pid", "_run").orderBy("snapshot_id")
-    effective = seen.withColumn(
-        "create",
-        F.coalesce(F.last("create_time", ignorenulls=True).over(inside), F.first("snapshot_ts").over(inside)),
-    ).select("host", "pid", "snapshot_id", "snapshot_ts", "create")
+    keys, chunk = ["host", "pid"], F.call_function("div", F.col("snapshot_id"), F.lit(chunk_width).cast("bigint"))
+    seen = cut_lineage(observed.select(*keys, "snapshot_id", "snapshot_ts", "create_time"))
+    seen = lag_by_chunk(seen, keys, ["snapshot_id"], chunk, ["snapshot_id"], prefix="_before_")
+    began = F.col("_before_snapshot_id").isNull() | (F.col("snapshot_id") != F.col("_before_snapshot_id") + 1)
+    seen = cut_lineage(seen.select(*keys, "snapshot_id", "snapshot_ts", "create_time", began.alias("_began"), chunk.alias("_chunk")))
+    known = {
+        "_run": F.when(F.col("_began"), F.struct("snapshot_id", "snapshot_ts")),
+        "_read": F.when(F.col("create_time").isNotNull(), F.struct("snapshot_id", "create_time")),
+    }
+    seen = running_max(seen, keys, "snapshot_id", "_chunk", known)
+    read = F.when(F.col("_read.snapshot_id") >= F.col("_run.snapshot_id"), F.col("_read.create_time"))
+    effective = seen.select(*keys, "snapshot_id", "snapshot_ts", F.coalesce(read, "_run.snapshot_ts").alias("create"))
     paired = _paired(effective, ["host", "pid"], ["create"])
     now, before = F.col("now.create"), F.col("before.create")
 

@@ -68,3 +68,40 @@ def test_process_by_time(spark):
     rows = spark.createDataFrame([("H", 7, t) for t in times] + [("H", None, "2024-01-01 01:00:00"), ("X", 7, "2024-01-01 01:00:00")], "host string, pid long, t string").withColumn("create_time", F.to_timestamp("t"))
     found = {(r.host, r.pid, r.t): r.process_name for r in connections.with_process_then(rows, began).collect()}
     assert found == {**{("H", 7, t): n for t, n in times.items()}, ("H", None, "2024-01-01 01:00:00"): "", ("X", 7, "2024-01-01 01:00:00"): ""}
+
+
+@pytest.mark.parametrize("width", [1, 3, 4096])
+def test_process_transitions_over_chunks(spark, width):
+    """Runs that break off, create times that are read late, pids that are used again."""
+    import random
+
+    from evidentia.operators.transitions import process_transitions
+
+    r, rows = random.Random(width), []
+    for pid in (1, 2, 3, None):
+        create = None
+        for n in range(1, 40):
+            if r.random() < 0.25:
+                create = None
+                continue
+            if r.random() < 0.3:
+                create = 100 + n
+            rows.append(("H", n, 1000 + n, pid, create if r.random() < 0.7 else None))
+    frame = spark.createDataFrame(rows, "host string, snapshot_id long, t long, pid long, c long").select(
+        "host", "snapshot_id", F.timestamp_seconds("t").alias("snapshot_ts"), "pid", F.timestamp_seconds("c").alias("create_time")
+    )
+    found = process_transitions(frame, width).select("pid", "snapshot_id", "action", F.unix_seconds("create_time").alias("c"))
+    want = []
+    for pid in (1, 2, 3):
+        mine, effective, last = {n: (t, c) for _, n, t, p, c in rows if p == pid}, {}, None
+        for n in range(1, 40):
+            if n in mine:
+                last = mine[n][1] if mine[n][1] is not None else (last if n - 1 in mine else None) or mine[n][0]
+                effective[n] = last
+        snapshots = {n for _, n, *_ in rows}
+        for n in sorted(snapshots):
+            now, before = effective.get(n), effective.get(n - 1)
+            if now != before:
+                want += [(pid, n, "Stop", before)] if before is not None else []
+                want += [(pid, n, "Start", now)] if now is not None else []
+    assert sorted((x.pid, x.snapshot_id, x.action, x.c) for x in found.where("pid is not null").collect()) == sorted(want)
