@@ -16,13 +16,29 @@ def _laid_out(events: DataFrame) -> DataFrame:
     )
 
 
+ORDER = "_order"
+
+
+def order_counts(events: DataFrame) -> DataFrame:
+    """Events per day, minute and category, from which the place of any row in time order follows."""
+    minute = F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(60_000_000))
+    return events.groupBy(F.to_date("ts").alias("day"), minute.alias("minute"), "category").agg(F.count("*").alias("n"))
+
+
+def _index(events: DataFrame, path: str, mode: str) -> None:
+    order_counts(events).coalesce(1).write.mode(mode).parquet(f"{path.rstrip('/')}/{ORDER}")
+
+
 def write_store(events: DataFrame, path: str) -> None:
-    """Replace the store by these events."""
+    """Replace the store by these events; an index of their order is kept beside them."""
     _laid_out(events.select(*EVENT_SCHEMA.names)).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    _index(events, path, "overwrite")
 
 
 def append_store(events: DataFrame, path: str) -> None:
+    """Add events to the store and their counts to its index."""
     _laid_out(events.select(*EVENT_SCHEMA.names)).write.mode("append").partitionBy("event_date").parquet(path)
+    _index(events, path, "append")
 
 
 def migrate_store(old: DataFrame) -> DataFrame:
