@@ -1,6 +1,7 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND.
 
-Terms are lower-cased runs of letters and digits. Test items are indexed in
+Terms are lower-cased runs of letters and digits; letters of scripts that are
+written without spaces are terms one by one. Test items are indexed in
 entries of at most ``ENTRY`` terms (a longer item has several). The impact of a
 term in an entry is its BM25 weight divided by the entry's score for itself, so
 one threshold fits all entries: ``MIN_SCORE`` of an entry's own score.
@@ -18,8 +19,9 @@ one) must stand in the passage.
 The index is built by Spark and used in blocks of at most ``BLOCK_POSTINGS``
 postings, one pass over the documents for each; one block is broadcast.
 
-Edge cases: null and empty texts or items match nothing; an item of fewer than
-``MIN_TERMS`` terms is no evidence and is not searched; repeated document rows
+Edge cases: null and empty texts or items match nothing; of an item of two to
+``SHORT - 1`` terms all neighbouring pairs must stand in the passage; a single term is
+no evidence and is not searched; repeated document rows
 give one row per id and item; rows with a null id are reported under null; an
 empty table gives an empty result.
 """
@@ -40,7 +42,8 @@ from .base import arrow_map, query, staged, table
 from .columns import PUNCTUATION, Words, slices, texts
 
 ENTRY = 64
-MIN_TERMS = 5
+MIN_TERMS = 2
+SHORT = 5  # items with fewer terms must be there in full
 MIN_SCORE = 0.5
 MIN_OVERLAP = 0.5
 K1, B = 1.2, 0.75
@@ -52,8 +55,21 @@ SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+#: Letters of scripts without spaces between words.
+UNSPACED = r"(\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Thai}|\p{Lao}|\p{Khmer}|\p{Myanmar})"
+
+
+def plain(column: pa.Array) -> pa.Array:
+    """Lower-cased texts, with spaces around every letter of an unspaced script."""
+    lower = pc.utf8_lower(column.cast(pa.large_string()))
+    content = lower.buffers()[2]
+    if content is None or not (np.frombuffer(content, np.uint8) >= 0xE0).any():  # these letters take three bytes or four
+        return lower
+    return pc.replace_substring_regex(lower, pattern=UNSPACED, replacement=r" \1 ")
+
+
 def terms(column: pa.Array) -> Words:
-    return Words(pc.utf8_lower(column), separators=PUNCTUATION)
+    return Words(plain(column), separators=PUNCTUATION)
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
@@ -74,9 +90,10 @@ def entries(benchmark: DataFrame, item_column: str = "item_id", text_column: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
-            words = terms(texts(batch, text_column))
+            lower = plain(texts(batch, text_column))
+            words = Words(lower, separators=PUNCTUATION)
             item, part, found, answer = [], [], [], []
-            for i, text in enumerate(pc.utf8_lower(texts(batch, text_column)).to_pylist()):
+            for i, text in enumerate(lower.to_pylist()):
                 a, b = words.first[i : i + 2].tolist()
                 if b - a < MIN_TERMS:
                     continue
@@ -87,7 +104,8 @@ def entries(benchmark: DataFrame, item_column: str = "item_id", text_column: str
                     item.append(batch.column(0)[i].as_py())
                     part.append(k)
                     found.append(words.hash[a + lo : a + hi].view(np.int64).tolist())
-                    answer.append(split if parts == 1 and 0 < split < b - a else (hi - lo) // 2)
+                    whole = 0 if b - a < SHORT else (hi - lo) // 2  # a short item is all answer
+                    answer.append(split if parts == 1 and 0 < split < b - a and whole else whole)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(item, pa.int64()), pa.array(part, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(answer, pa.int32())],
                 ["item_id", "part", "terms", "answer_at"],
@@ -114,11 +132,12 @@ class Index:
     def __init__(self, cut: pa.Table, posted: pa.Table):
         cut = cut.take(pc.sort_indices(cut, [("entry", "ascending")]))
         self.item = cut.column("item_id").to_pylist()
-        self.question, self.answer = [], []
+        self.question, self.answer, self.wanted = [], [], []
         for found, at in zip(cut.column("terms").to_pylist(), cut.column("answer_at").to_pylist(), strict=True):
             found = np.array(found, np.int64).view(np.uint64)
             self.question.append(_pairs(found[:at]))
             self.answer.append(_pairs(found[at:]))
+            self.wanted.append(1.0 if len(found) < SHORT else MIN_OVERLAP)
         entry = np.searchsorted(cut.column("entry").to_numpy(), posted.column("entry").to_numpy())
         hashed = posted.column("term").to_numpy().view(np.uint64)
         impact = posted.column("impact").to_numpy()
@@ -252,7 +271,7 @@ def matches(words: Words, index: Index) -> Iterator[tuple[int, int, float, float
         there = np.concatenate([_pairs(there), there])
         for entry, score in retrieved:
             both = [_overlap(wanted, there) for wanted in (index.question[entry], index.answer[entry])]
-            if min(both) >= MIN_OVERLAP:
+            if min(both) >= index.wanted[entry]:
                 yield doc, entry, score, *both
 
 

@@ -214,7 +214,8 @@ class Codec:
         out = {}
         for part, x, ids, own in zip(parts, plain, wanted, self.encode_parts(parts), strict=True):
             ids = ids if x else ids[len(head) :]
-            out[part] = (tuple(ids), ",".join(map(str, ids)), own == ids)
+            kept = own if own == ids else ids  # the agenda's; the library's only where the two differ, which ``agrees`` tells
+            out[part] = (tuple(kept), ",".join(map(str, kept)), own == ids)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
@@ -222,7 +223,8 @@ class Codec:
         normal = [self.library.normalize(t) for t in texts]
         if not self.wall:  # parts can't be checked one by one
             own, wanted = self.encode_parts(normal), self.library.encode(texts, num_threads=1)
-            return [(w, ",".join(map(str, w)), o == w) for o, w in zip(own, wanted, strict=True)]
+            kept = [o if o == w else w for o, w in zip(own, wanted, strict=True)]
+            return [(k, ",".join(map(str, k)), o == w) for k, o, w in zip(kept, own, wanted, strict=True)]
         split = [self.cut.findall(t) for t in normal]
         known, older = self.recent, self.older
         distinct = set(chain.from_iterable(split))

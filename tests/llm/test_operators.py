@@ -455,3 +455,33 @@ def test_substrings_of_many_equal_rows(spark):
     assert rows.agg(F.max(F.size(spans))).first()[0] <= 200
     found = substring_dedup.substring_dedup(docs)
     assert found.where("n_removed = 200").count() == 3000
+
+
+def test_decontamination_of_short_items_and_unspaced_scripts(spark):
+    items = [(1, "zeta kappa omega rho"), (2, "日本語の問題は何ですか。答えは東京です。"), (3, "one"), (4, "alpha beta")]
+    rows = [
+        (1, f"{sentence(1, 40)} Zeta, kappa omega rho {sentence(2, 40)}"),
+        (2, f"{sentence(1, 40)} zeta kappa rho omega {sentence(2, 40)}"),
+        (3, "前の文です。日本語の問題は何ですか。答えは東京です。後の文です。"),
+        (4, "日本の東京は大きい町です。問題はありません。"),
+        (5, "one two three"),
+        (6, "beta alpha"),
+        (7, "x alpha beta y"),
+        (8, f"{sentence(5, 200)} alpha {sentence(6, 200)} beta"),
+    ]
+    found = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (3, 2), (7, 4)}
+
+
+def test_a_broken_agenda_shows(monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        own = sentencepiece_codec.Codec(file.read())
+    texts = ["The quick brown fox", "", "ﬁ ＡＢ 日本語"]
+    right = own.encode(texts)
+    assert all(x[2] for x in right)
+    broken = type(own)(own.library.serialized_model_proto())
+    monkeypatch.setattr(type(own), "encode_parts", lambda self, parts: [[0] for _ in parts])
+    wrong = broken.encode(texts)
+    assert [x[0] for x in wrong] == [x[0] for x in right] and [x[2] for x in wrong] == [False, True, False]
