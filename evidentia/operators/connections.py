@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bags import field, parse_pid
@@ -27,12 +27,18 @@ def network_events(events: DataFrame) -> DataFrame:
 
 def connection_summary(events: DataFrame) -> DataFrame:
     """Per flow: first and last time, state of the last event, event count."""
-    rows = network_events(events).select(
+    return _summarised(network_events(events), {})
+
+
+def _summarised(events: DataFrame, counters: dict[str, Column]) -> DataFrame:
+    """Network events as one row a flow, with further sums over them."""
+    rows = events.select(
         "host",
         *_flow_columns(),
         connection_state(field(F.col("fields"), "State"), F.col("action")).alias("_state"),
         "ts",
         "ingest_seq",
+        *([] if not counters else ["_sent", "_received", "_size"]),
     )
     grouped = (
         rows.groupBy("host", *FLOW)
@@ -41,6 +47,7 @@ def connection_summary(events: DataFrame) -> DataFrame:
             F.max("ts").alias("last_seen"),
             F.count("*").alias("event_count"),
             last_by(F.col("_state"), F.col("ts"), -F.col("ingest_seq")).alias("state"),
+            *[v.alias(c) for c, v in counters.items()],
         )
     )
     return grouped.select(
@@ -54,6 +61,7 @@ def connection_summary(events: DataFrame) -> DataFrame:
         "create_time",
         "last_seen",
         "event_count",
+        *counters,
     )
 
 
@@ -136,6 +144,27 @@ def traffic_totals(events: DataFrame, opcode: str = "Opcode") -> DataFrame:
     )
 
 
+def connections_with_traffic(events: DataFrame, opcode: str = "Opcode") -> DataFrame:
+    """:func:`connection_summary` with the totals of :func:`traffic_totals`, from one scan and one shuffle of the events.
+
+    Bytes and packets are summed per flow and hour with the summary; a connection's
+    totals are then sums over its hours, one row each.
+    """
+    bag = F.col("fields")
+    code, size = F.lower(field(bag, opcode)), transfer_size(bag)
+    sent = F.coalesce(F.contains(code, F.lit("send")), F.lit(False))
+    received = ~sent & F.coalesce(F.contains(code, F.lit("recv")) | F.contains(code, F.lit("receive")), F.lit(False))
+    counters = {
+        "sent_bytes": F.sum(F.when(F.col("_sent"), F.col("_size")).otherwise(0)),
+        "recv_bytes": F.sum(F.when(F.col("_received"), F.col("_size")).otherwise(0)),
+        "sent_packets": F.count_if("_sent"),
+        "recv_packets": F.count_if("_received"),
+    }
+    hours = _summarised(network_events(events).withColumns({"_sent": sent, "_received": received, "_size": size}), counters)
+    whole = Window.partitionBy("host", "protocol", "local_ep", "remote_ep", F.coalesce("pid", F.lit(0)))
+    return hours.withColumns({c: F.sum(c).over(whole).cast("bigint") for c in counters})
+
+
 def with_traffic(connections: DataFrame, totals: DataFrame) -> DataFrame:
     """Attach totals; they repeat on every hour bucket of a connection and must not be summed again."""
     counters = ["sent_bytes", "recv_bytes", "sent_packets", "recv_packets"]

@@ -241,9 +241,7 @@ def agg_traffic(spark, sf):
         FROM c LEFT JOIN tr ON c.host = tr.host AND c.protocol = tr.protocol AND c.local_ep = tr.local_ep AND c.remote_ep = tr.remote_ep AND coalesce(c.pid, 0) = tr.pid""",
 )
 def jn_conn_traffic(spark, sf):
-    fl = flows(spark, sf)
-    joined = connections.with_traffic(connections.connection_summary(fl), connections.traffic_totals(fl))
-    return joined.select(
+    return connections.connections_with_traffic(flows(spark, sf)).select(
         "host", "protocol", "local_ep", "remote_ep", "pid", us(F.col("time_bucket")).alias("bucket_us"),
         "sent_bytes", "recv_bytes", "sent_packets", "recv_packets",
     )
