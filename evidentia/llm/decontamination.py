@@ -59,13 +59,25 @@ RESULT = "doc_id long, item_id long, score double, question_overlap double, answ
 UNSPACED = r"(\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Thai}|\p{Lao}|\p{Khmer}|\p{Myanmar})"
 
 
+#: First bytes of letters of these scripts (and of some others) in UTF-8.
+_MAYBE_UNSPACED = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
+
+
 def plain(column: pa.Array) -> pa.Array:
     """Lower-cased texts, with spaces around every letter of an unspaced script."""
-    lower = pc.utf8_lower(column.cast(pa.large_string()))
+    lower = pc.utf8_lower(column).cast(pa.large_string())
     content = lower.buffers()[2]
-    if content is None or not (np.frombuffer(content, np.uint8) >= 0xE0).any():  # these letters take three bytes or four
+    if content is None or not len(lower):
+        return lower
+    offset = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]
+    place = np.flatnonzero(_MAYBE_UNSPACED[np.frombuffer(content, np.uint8)[offset[0] : offset[-1]]]) + offset[0]
+    rows = np.unique(np.searchsorted(offset, place, "right") - 1)
+    if not len(rows):
         return lower
-    return pc.replace_substring_regex(lower, pattern=UNSPACED, replacement=r" \1 ")
+    spread = pc.replace_substring_regex(lower.take(pa.array(rows)), pattern=UNSPACED, replacement=r" \1 ")
+    mask = np.zeros(len(lower), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(lower, pa.array(mask), spread)
 
 
 def terms(column: pa.Array) -> Words:
