@@ -96,10 +96,13 @@ class ProcessKeys(StatefulProcessor):
 def process_key_stream(stream: DataFrame, ttl_minutes: tuple[int, int, int] = EVENT_LOG_TTL, lateness: str = "1 day") -> DataFrame:
     """Resolve ``host, collection_id, pid, ingest_seq, ts, create_hint, is_stop, is_long_lived`` as it arrives.
 
-    Rows without a pid have no life and are left out. ``lateness`` is the longest
+    Rows without a pid have no life and are left out; without a collection column
+    all rows of a host are one collection. ``lateness`` is the longest
     time by which a row may be older than the newest one before it; Spark leaves
     out older rows, as of every stream with a watermark.
     """
+    if "collection_id" not in stream.columns:
+        stream = stream.withColumn("collection_id", F.lit(None).cast("string"))
     rows = stream.where("pid is not null").withWatermark("ts", lateness).select(
         "host",
         "collection_id",
