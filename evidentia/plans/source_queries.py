@@ -5,6 +5,7 @@ Everything is staged below the shared folder of the cluster.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.bags import field
@@ -18,7 +19,7 @@ from ..sinks import exports, repository
 from ..sinks import store as store_sink
 from ..sources import bundle, eventlog, live, mft, registry, store, texts
 from ..streaming import ingest
-from .base import activity, big, iso_sql, joined_bytes, le_binary, padded_utf16, query, raw_events, table, ticks, us, with_ev
+from .base import activity, big, iso_sql, joined_bytes, le_binary, padded_utf16, query, raw_events, spread, table, ticks, us, with_ev
 
 
 def _seq():

@@ -34,8 +34,8 @@ MFT_COLUMNS = {
 }
 
 
-def timeline_rows(events: DataFrame) -> DataFrame:
-    """The nine export columns; missing values are empty text."""
+def timeline_rows(events: DataFrame, *more: str) -> DataFrame:
+    """The nine export columns, then ``more`` columns of the events; missing values are empty text."""
     values: list[Column] = [
         times.format_iso(F.col("ts")),
         F.col("category"),
@@ -47,7 +47,7 @@ def timeline_rows(events: DataFrame) -> DataFrame:
         F.col("object_url"),
         F.col("confidence"),
     ]
-    return events.select(*[F.coalesce(v, F.lit("")).alias(n) for n, v in zip(TIMELINE_COLUMNS, values)])
+    return events.select(*[F.coalesce(v, F.lit("")).alias(n) for n, v in zip(TIMELINE_COLUMNS, values)], *more)
 
 
 def mft_rows(entries: DataFrame) -> DataFrame:
