@@ -16,6 +16,7 @@ ROWS_PER_USAGE_TABLE = 100_000
 FILE_TABLE_ROWS = 100_000
 PROPERTIES_PER_EVENT = 20
 STREAM_WINDOW = 1000
+LOOKAHEAD_BLOCK = 64  # positions of a look-ahead block
 
 
 def throttle_limits(max_per_second: int = 0, limits: dict[str, int] | None = None) -> dict[str, int] | None:
@@ -103,16 +104,22 @@ def lookahead(
 ) -> DataFrame:
     """The next ``n`` values after every marker row, in order.
 
-    ``pos`` numbers the rows of a group without gaps. Each marker is joined to
-    the ``n`` positions behind it, so group size never matters: one file with a
-    third of all rows is spread over its positions.
+    ``pos`` numbers the rows of a group without gaps. Rows meet in blocks of
+    positions, and the first ``n`` rows of a block also come to the one before
+    it. So group size never matters: one file with a third of all rows is spread
+    over its blocks. There is no join, whose side could be broadcast by mistake
+    (the planner does not see how many rows an ``explode`` makes).
     """
-    marks = rows.where(marker)
-    targets = marks.select(*keys, F.col(pos).alias("_mark"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_step"))
-    targets = targets.withColumn(pos, F.col("_mark") + F.col("_step"))
-    found = targets.join(rows.select(*keys, pos, F.col(value).alias("_value")), [*keys, pos], "inner")
-    lists = found.groupBy(*keys, F.col("_mark").alias(pos)).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_step", "_value"))), lambda s: s["_value"]).alias(name)
+    size = max(LOOKAHEAD_BLOCK, n)
+    block = F.floor(F.col(pos) / size)
+    blocks = F.when(F.pmod(F.col(pos), F.lit(size)) < n, F.array(block, block - 1)).otherwise(F.array(block))
+    dealt = rows.withColumns({"_mark": F.when(marker, F.struct(*rows.columns)), "_own": block, "_blocks": blocks})
+    dealt = dealt.select("*", F.explode("_blocks").alias("_block"))
+    met = dealt.groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(value).alias("value")))).alias("_rows"),
+        F.collect_list(F.when(F.col("_block").eqNullSafe(F.col("_own")), F.col("_mark"))).alias("_marks"),
     )
-    empty = F.array().cast("array<string>")
-    return marks.join(lists, [*keys, pos], "left").withColumn(name, F.coalesce(F.col(name), empty))
+    behind = lambda at: F.filter("_rows", lambda r: (r["pos"] > at) & (r["pos"] <= at + n))
+    listed = F.transform("_marks", lambda m: F.struct(m.alias("mark"), F.transform(behind(m[pos]), lambda r: r["value"]).alias("ahead")))
+    # The lists are made before the explode, so that no later expression copies the search into itself.
+    return met.select(F.explode(listed).alias("_found")).select("_found.mark.*", F.col("_found.ahead").alias(name))

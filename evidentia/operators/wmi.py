@@ -56,13 +56,11 @@ def subscriptions(runs: DataFrame) -> DataFrame:
         nothing.alias("query_language"),
     )
 
-    located = ahead.where(F.col("run") == FILTER_MARKER).withColumn(
-        "_ns", _first_index(near, lambda r, i: r.rlike(NAMESPACE_PATTERN))
-    )
-    located = located.withColumn(
-        "_query",
-        _first_index(near, lambda r, i: r.rlike(QUERY_PATTERN) & ~i.eqNullSafe(F.col("_ns"))),
-    ).where(F.col("_query").isNotNull())
+    # Each index is exploded out of an array of one: the planner copies nothing through that.
+    namespace = F.array(_first_index(near, lambda r, i: r.rlike(NAMESPACE_PATTERN)))
+    located = ahead.where(F.col("run") == FILTER_MARKER).select("*", F.explode(namespace).alias("_ns"))
+    query = F.array(_first_index(near, lambda r, i: r.rlike(QUERY_PATTERN) & ~i.eqNullSafe(F.col("_ns"))))
+    located = located.select("*", F.explode(query).alias("_query")).where(F.col("_query").isNotNull())
     has_namespace = F.col("_ns") < F.col("_query")
     language = F.get("ahead", F.col("_query") + 1)
     filters = located.select(

@@ -388,7 +388,8 @@ def transfer_events(rows: DataFrame) -> DataFrame:
 
 def subscription_events(runs: DataFrame, anchors: DataFrame) -> DataFrame:
     """Management subscriptions as events; ``anchors`` gives ``host, file, anchor`` times."""
-    found = subscriptions(runs).join(anchors, ["host", "file"], "left")
+    # One anchor a file: the hint keeps a list of very many files from being broadcast.
+    found = subscriptions(runs).join(anchors.hint("merge"), ["host", "file"], "left")
     summary = (
         F.when(
             F.col("kind") == "Binding",
