@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 # The white space trimmed from field text.
 WHITE_SPACE = " \t\n\r\x0b\x0c\u0085\u00a0\u2003\u3000"
 

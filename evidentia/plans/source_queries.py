@@ -57,13 +57,8 @@ def snk_bundle_timeline(spark, sf):
 def _documents(spark, sf):
     """Timeline documents of the four hosts under ``<root>/host=…/…``, one file per host."""
     root = staging_path(spark, "bundles")
-    rows = bundle_sink.bundle_documents(activity(spark, sf), cap=0)
-    (
-        rows.select("document", F.col("host"), F.concat(F.col("collection_id"), F.lit("-x")).alias("collection"))
-        .repartition("host")
-        .write.partitionBy("host", "collection")
-        .text(root)
-    )
+    events = activity(spark, sf)
+    bundle_sink.write_documents(events.withColumn("collection_id", F.concat(F.col("collection_id"), F.lit("-x"))), root)
     return root
 
 
@@ -236,10 +231,13 @@ def snk_timeline_csv(spark, sf):
 def snk_timeline_json(spark, sf):
     path = staging_path(spark, "timeline-json")
     exports.write_timeline_json(activity(spark, sf), path)
-    rows = spark.read.schema("timestamp string, category string, summary string, subjectUser string, objectFile string").json(path)
-    ev = activity(spark, sf).select(_seq(), F.col("ts").alias("_ts"))
-    keyed = rows.withColumn("_ts", F.col("timestamp").cast("timestamp"))
-    return keyed.join(ev, "_ts").select("seq", "category", "summary", F.substring("subjectUser", 3, 100).alias("user"))
+    names = [n[0].lower() + n[1:] for n in exports.TIMELINE_COLUMNS]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).json(path)
+    # Events may share a time or even a whole row: the n-th of equal rows belongs to the n-th of equal events.
+    ev = exports.timeline_rows(activity(spark, sf), "ingest_seq").toDF(*names, "seq")
+    ev = ev.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy("seq")))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
+    return rows.join(ev, [*names, "_nth"]).select("seq", "category", "summary", F.substring("subjectUser", 3, 100).alias("user"))
 
 
 def _entries(spark, sf):
@@ -392,7 +390,7 @@ def _log_records(spark, sf):
         "'/><EventRecordID>", i, "</EventRecordID><Execution ProcessID='", user + 1, "' ThreadID='1'/><Channel>Security</Channel><Computer>PC</Computer></System><EventData><Data Name='SubjectUserSid'>S-1-5-21-", user,
         "</Data><Data Name='Image'>a&amp;b.exe</Data><Data>loose</Data><Data Name='Empty'></Data></EventData></Event>",
     ])
-    return raw_events(spark, sf).select(
+    return spread(raw_events(spark, sf).select("event_id", "user_id", "event_type", "ts")).select(
         F.concat(F.lit("H"), (user % 4).cast("string")).alias("host"), F.lit("C0").alias("collection_id"), i.alias("ingest_seq"),
         F.when(i % 10 == 9, F.substring(xml, 1, 150)).otherwise(xml).alias("xml"),
     )
@@ -464,7 +462,7 @@ def _trace_records(spark, sf):
         case == 3, _xml(["<Data Name='saddr'>10.0.0.1</Data><Data Name='daddr'>fe80::1</Data><Data Name='sport'>", F.col("k"), "</Data><Data Name='dport'>0x50</Data><Data Name='Size'>5</Data>"])
     ).otherwise(F.lit("<Data Name='ImageName'>x.exe</Data>"))
     xml = _xml(["<Event><System><Execution ProcessID='", F.col("user_id") + 1, "'/></System><EventData>", data, "</EventData></Event>"])
-    return raw_events(spark, sf).select(
+    return spread(raw_events(spark, sf).select("event_id", "user_id", "ts", "k")).select(
         F.lit("H0").alias("host"), F.lit("C0").alias("collection_id"), i.alias("ingest_seq"), "ts", channel.alias("log_name"), i.alias("record_id"),
         F.when(case == 0, F.col("k") % 3).otherwise(F.lit(99)).alias("event_id"), opcode.alias("opcode"), F.lit("Info").alias("level"), F.lit("t").alias("task"), F.lit("p").alias("provider"), xml.alias("xml"),
     )

@@ -6,7 +6,7 @@ written only on request, for exports known to be small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, times
@@ -87,6 +87,25 @@ def bundle_documents(events: DataFrame, cap: int = 0) -> DataFrame:
     )
 
 
+def write_documents(events: DataFrame, path: str, cap: int = 0) -> None:
+    """One timeline document per collection, a file of ``<path>/host=…/collection=…``, of any size.
+
+    A file has one writer: it takes the collection's events in order, sorted on
+    disk if need be, and writes them line by line; no row or task holds a document.
+    """
+    # Folder names are never null, else the writer would sort the lines anew by names that it makes itself.
+    folder = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = keep_first(events, cap, keys=("host", "collection_id")).select(
+        folder("host").alias("host"), folder("collection_id").alias("collection"), "ingest_seq", event_json().alias("json")
+    )
+    order = Window.partitionBy("host", "collection").orderBy("ingest_seq", "json")
+    head = F.when(F.row_number().over(order) == 1, F.lit('{"events":[\n')).otherwise(F.lit(","))
+    tail = F.when(F.lead(F.lit(1)).over(order).isNull(), F.lit("\n]}")).otherwise(F.lit(""))
+    lines = rows.withColumn("value", F.concat(head, F.col("json"), tail))
+    lines = lines.sortWithinPartitions("host", "collection", "ingest_seq", "json").select("host", "collection", "value")
+    lines.write.mode("overwrite").partitionBy("host", "collection").text(path)
+
+
 def write_entities(events: DataFrame, path: str) -> None:
     """Distinct processes, users, files and flows, one folder each."""
     renames = {

@@ -90,6 +90,10 @@ MANIFEST_JSON = T.StructType(
 )
 
 
+#: Bytes up to which one task parses a document as a whole.
+LARGE_DOCUMENT = 64 << 20
+
+
 def path_part(path: Column, from_end: int) -> Column:
     """Path segment counted from the file name (0), URL-decoded."""
     parts = F.split(path, "/")
@@ -143,8 +147,20 @@ def read_timeline(
     """Events of timeline documents; position in the document is the arrival number.
 
     Events without time, category or action are dropped. Host and collection
-    come from the two folders above the file unless given.
+    come from the two folders above the file unless given. Documents of more than
+    ``LARGE_DOCUMENT`` bytes are read in pieces by :func:`read_large_timeline`;
+    the parser would hold a whole document in one task.
     """
+    listed = spark.read.format("binaryFile").load(path).select("path", (F.col("length") > LARGE_DOCUMENT).alias("large"))
+    if not listed.where("large").isEmpty():
+        names = listed.collect()  # one name a document
+        small, large = ([row["path"] for row in names if row["large"] == kind] for kind in (False, True))
+        rows = read_large_timeline(spark, large, host, collection_id, base_directory)
+        return rows.unionByName(_read_small(spark, small, host, collection_id, base_directory)) if small else rows
+    return _read_small(spark, path, host, collection_id, base_directory)
+
+
+def _read_small(spark: SparkSession, path: str | list[str], host: str | None, collection_id: str | None, base_directory: str | None) -> DataFrame:
     documents = (
         spark.read.schema(TIMELINE_JSON).option("multiLine", True).json(path).select("events", "_metadata.file_path")
     )
@@ -161,7 +177,13 @@ def read_timeline(
     )
 
 
-def read_large_timeline(spark: SparkSession, path: str | list[str], host: str | None = None, collection_id: str | None = None) -> DataFrame:
+def read_large_timeline(
+    spark: SparkSession,
+    path: str | list[str],
+    host: str | None = None,
+    collection_id: str | None = None,
+    base_directory: str | None = None,
+) -> DataFrame:
     """As :func:`read_timeline`, for documents of any size: no task or row holds one.
 
     The text is read in pieces that end with a closing brace, from all splits of
@@ -198,12 +220,12 @@ def read_large_timeline(spark: SparkSession, path: str | list[str], host: str |
     text = F.when(F.col("number") == 0, F.regexp_replace(text, r"^[^\[]*\[", "")).otherwise(F.regexp_replace(text, r"^[\s,]+", ""))
     folder = F.regexp_replace(F.col("file_path"), r"/[^/]*$", "")
     return _select_events(
-        whole.withColumn("ev", F.from_json(text, EVENT_JSON)),
+        whole.select("*", F.explode(F.array(F.from_json(text, EVENT_JSON))).alias("ev")),
         F.col("ev"),
         F.lit(host) if host else _bundle_part("file_path", 1),
         F.lit(collection_id) if collection_id else _bundle_part("file_path", 0),
         F.col("number"),
-        F.regexp_replace(folder, "^file:/*", "/"),
+        F.lit(base_directory) if base_directory else F.regexp_replace(folder, "^file:/*", "/"),
     )
 
 
@@ -253,7 +275,8 @@ def read_timeline_lines(spark: SparkSession, path: str | list[str]) -> DataFrame
 
 def parse_events(rows: DataFrame, json: str = "json", base_directory: Column | None = None) -> DataFrame:
     """Tolerant parse of one event document per row (``host, collection_id, ingest_seq, json``)."""
-    parsed = rows.withColumn("_ev", F.from_json(F.col(json), EVENT_JSON))
+    # Exploded out of an array of one, so that the checks of time, category and action parse nothing again.
+    parsed = rows.select("*", F.explode(F.array(F.from_json(F.col(json), EVENT_JSON))).alias("_ev"))
     return _select_events(
         parsed, F.col("_ev"), F.col("host"), F.col("collection_id"), F.col("ingest_seq"), base_directory
     )
