@@ -13,7 +13,7 @@ from ..operators.processes import is_os_process
 from ..schema import string_map
 from ..sources import artifacts as shapes
 from ..sources import mft, texts
-from .base import big, iso_sql, joined_bytes, le_binary, padded_utf16, query, raw_events, table, ticks, us
+from .base import big, iso_sql, joined_bytes, le_binary, padded_utf16, query, raw_events, spread, table, ticks, us
 
 _TOKENS = ["the", "tion", "license", "password", "http", "@", "key", "-enc", "hidden"]
 _TOKEN_LIST = "[" + ", ".join(f"'{t}'" for t in _TOKENS) + "]"
@@ -145,7 +145,7 @@ def fn_taskcache(spark, sf):
     short = joined_bytes(le_binary(F.lit(3), 4), le_binary(base, 8), le_binary(last_run, 8))
     long = joined_bytes(short, le_binary(F.lit(0), 8), le_binary(base + 90_000_000, 8))
     raw = F.when(i % 2 == 0, long).otherwise(short)
-    values = raw_events(spark, sf).select("event_id", key.alias("key"), raw.alias("raw"))
+    values = spread(raw_events(spark, sf).select("event_id", "user_id", "ts")).select("event_id", key.alias("key"), raw.alias("raw"))
     t = registry.task_cache_times(F.col("raw"))
     rows = values.select("event_id", registry.task_cache_guid(F.col("key")).alias("guid"), t.alias("t"))
     return rows.select(
@@ -403,7 +403,7 @@ def _task_files(spark, sf):
         F.lit(".exe</Command><Arguments>-a "), size, F.lit("</Arguments></Exec></Actions></Task>"),
     )
     broken = F.when(key % 10 == 9, F.substring(xml, 1, 200)).when(key % 10 == 8, F.lit("<Other/>")).otherwise(xml)
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type")).select(
         F.lit("H0").alias("host"),
         F.concat(F.lit("C:\\Windows\\System32\\Tasks\\T"), key.cast("string")).alias("path"),
         broken.alias("xml"),

@@ -126,27 +126,31 @@ def _local_time(text: Column, zone: str) -> Column:
     return F.when(zoned, stated).otherwise(F.to_utc_timestamp(stated, zone))
 
 
-def _in_document_order(xml: Column, block: str, groups: Column, kinds: list[str], pick) -> Column:
-    """Elements of a block in document order.
-
-    The XML reader groups elements by kind; the order of the tags in the text
-    tells which of its kind each one is.
-    """
+def _tags(xml: Column, block: str) -> Column:
+    """Names of the elements of a block in document order."""
     body = F.regexp_extract(xml, rf"(?s)<(?:\w+:)?{block}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{block}>", 1)
-    tags = F.regexp_extract_all(
+    return F.regexp_extract_all(
         F.regexp_replace(body, r"(?s)<!--.*?-->", ""),
         F.lit(r"(?s)<(?:\w+:)?(\w+)(?:\s[^>]*)?(?:/>|>.*?</(?:\w+:)?\1>)"),
         F.lit(1),
     )
 
+
+def _in_document_order(tags: Column, groups: Column, kinds: list[str], pick) -> Column:
+    """Elements of a block in document order.
+
+    The XML reader groups elements by kind; the order of the tags in the text
+    tells which of its kind each one is.
+    """
+
     def element(tag: Column, i: Column) -> Column:
         nth = F.size(F.filter(F.slice(tags, F.lit(1), i + 1), lambda t: t == tag)) - 1
         chosen = F.lit(None)
         for kind in reversed(kinds):
             chosen = F.when(tag == kind, F.get(groups[kind], nth)).otherwise(chosen)
-        return pick(tag, chosen)
+        return F.struct(tag.alias("tag"), chosen.alias("element"))
 
-    return F.transform(tags, element)
+    return F.transform(F.transform(tags, element), lambda x: pick(x["tag"], x["element"]))
 
 
 def parse_tasks(files: DataFrame, local_zone: str = "UTC") -> DataFrame:
@@ -156,13 +160,18 @@ def parse_tasks(files: DataFrame, local_zone: str = "UTC") -> DataFrame:
     """
     is_task = F.col("xml").rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<(\w+:)?Task[\s>]")
     body = F.regexp_replace("xml", r"(?s)^\s*<\?xml.*?\?>", "")
-    parsed = files.where(is_task).withColumn("_t", F.from_xml(body, TASK_XML, {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    parsed = parsed.where(F.col("_t").isNotNull() & F.col("_t._corrupt_record").isNull())
-    t = F.col("_t")
+    document = F.struct(
+        F.from_xml(body, TASK_XML, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("t"),
+        _tags(body, "Triggers").alias("triggers"),
+        _tags(body, "Actions").alias("actions"),
+    )
+    # Exploded out of an array of one: the planner copies no parse through that, neither into the filter nor into a lambda.
+    parsed = files.where(is_task).select("*", F.explode(F.array(document)).alias("_d"))
+    parsed = parsed.where(F.col("_d.t").isNotNull() & F.col("_d.t._corrupt_record").isNull())
+    t = F.col("_d.t")
     principal = F.get(t["Principals"]["Principal"], F.lit(0))
     triggers = _in_document_order(
-        body,
-        "Triggers",
+        F.col("_d.triggers"),
         t["Triggers"],
         TRIGGER_KINDS,
         lambda tag, e: F.struct(
@@ -173,8 +182,7 @@ def parse_tasks(files: DataFrame, local_zone: str = "UTC") -> DataFrame:
         ),
     )
     actions = _in_document_order(
-        body,
-        "Actions",
+        F.col("_d.actions"),
         t["Actions"],
         ACTION_KINDS,
         lambda tag, e: F.struct(
