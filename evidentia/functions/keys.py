@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .bags import MAX_UINT32
+from .text import let
 from .times import format_iso, hour_bucket, parse_iso
 
 UNKNOWN_PROTOCOL = "UNKNOWN"
@@ -165,13 +166,18 @@ def parse_flow_key(text: Column) -> Column:
     """Endpoints and times contain colons, so the tail is taken from the right."""
     pattern = r"^N:([^:]+?):(.+?)->(.+)$"
     tail = F.regexp_extract(text, pattern, 3)
-    time_text = F.regexp_extract(tail, r"(?:^|:)" + _ISO_TAIL, 1)
-    head = F.regexp_replace(tail, r":?" + _ISO_TAIL, "")
+    parts = F.struct(
+        F.regexp_extract(tail, r"(?:^|:)" + _ISO_TAIL, 1).alias("time"), F.regexp_replace(tail, r":?" + _ISO_TAIL, "").alias("head")
+    )
+    return F.when(text.rlike(pattern), let(parts, lambda p: _flow_of(text, pattern, p["time"], p["head"])))
+
+
+def _flow_of(text: Column, pattern: str, time_text: Column, head: Column) -> Column:
     pid_text = F.when(F.contains(head, F.lit(":")), F.regexp_extract(head, r":([^:]*)$", 1)).otherwise(F.lit(""))
     remote = F.when(F.contains(head, F.lit(":")), F.regexp_replace(head, r":[^:]*$", "")).otherwise(head)
     pid = F.when(pid_text.rlike(r"^\d{1,10}$"), pid_text.try_cast("bigint"))
     bucket = parse_iso(time_text)
-    valid = text.rlike(pattern) & bucket.isNotNull() & ((pid_text == "") | pid.between(0, MAX_UINT32))
+    valid = bucket.isNotNull() & ((pid_text == "") | pid.between(0, MAX_UINT32))
     built = F.struct(
         F.regexp_extract(text, pattern, 1).alias("protocol"),
         F.regexp_extract(text, pattern, 2).alias("local_ep"),
