@@ -134,7 +134,9 @@ def guess_time(text: Column) -> Column:
 
 def create_time_field(fields: Column, names: list[str] | None = None) -> Column:
     """First field among ``names`` that holds a time."""
-    return F.coalesce(*[guess_time(field(fields, n)) for n in names or EVENT_LOG_CREATE_FIELDS])
+    texts = F.array(*[field(fields, n) for n in names or EVENT_LOG_CREATE_FIELDS])
+    present = F.filter(texts, lambda t: t.isNotNull())
+    return F.get(F.filter(F.transform(present, guess_time), lambda t: t.isNotNull()), F.lit(0))
 
 
 def hour_bucket(ts: Column) -> Column:

@@ -10,7 +10,7 @@ from ..functions.bags import field
 from ..functions.paths import log_name_from_path
 from ..operators.windows import stream_event_key
 from ..schema import evidence_ref, string_map
-from .base import activity, big, iso_sql, joined_bytes, le_binary, query, raw_events, table, ticks, us, with_ev
+from .base import activity, big, iso_sql, joined_bytes, le_binary, query, raw_events, spread, table, ticks, us, with_ev
 
 _FT = "116444736000000000"
 
@@ -145,7 +145,7 @@ def fn_create_time_field(spark, sf):
             "StartTime": F.when(case != 2, times.format_iso(later)),
         }
     )
-    rows = raw_events(spark, sf).select("event_id", bag.alias("b"))
+    rows = spread(raw_events(spark, sf).select("event_id", "ts")).select("event_id", bag.alias("b"))
     return rows.select(
         "event_id",
         us(times.create_time_field(F.col("b"), times.EVENT_LOG_CREATE_FIELDS)).alias("log_us"),
