@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import string_map
-from .text import not_blank
+from .text import let, not_blank
 
 # Alias names tried in order for each derived field.
 DERIVED_FIELDS = {
@@ -38,10 +38,14 @@ def first_field(fields: Column, *names: str) -> Column:
 def merge_fields(fields: Column, pairs: dict[str, Column], overwrite: bool = True) -> Column:
     """Add the non-null ``pairs`` to the map, with or without replacing present keys."""
     base = F.coalesce(fields, F.create_map().cast("map<string,string>"))
-    new = string_map(pairs)
-    if overwrite:
-        return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(new, k)), new)
-    return F.map_concat(base, F.map_filter(new, lambda k, _: ~F.map_contains_key(base, k)))
+    without = lambda left, right: F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
+
+    def merged(m: Column) -> Column:
+        if overwrite:
+            return F.map_concat(without(m["base"], m["new"]), m["new"])
+        return F.map_concat(m["base"], without(m["new"], m["base"]))
+
+    return let(F.struct(base.alias("base"), string_map(pairs).alias("new")), merged)
 
 
 def _number(text: Column, low: int, high: int) -> Column:
@@ -70,9 +74,13 @@ def parent_pid(fields: Column) -> Column:
 
 def normalize_trace_fields(fields: Column, opcode: Column) -> Column:
     """Fill Operation, Result, Duration, ProcessName and ParentProcessId from their aliases."""
-    pairs = {"Operation": not_blank(opcode)}
-    pairs.update({target: first_field(fields, *names) for target, names in DERIVED_FIELDS.items()})
-    return merge_fields(fields, pairs, overwrite=False)
+
+    def filled(bag: Column) -> Column:
+        pairs = {"Operation": not_blank(opcode)}
+        pairs.update({target: first_field(bag, *names) for target, names in DERIVED_FIELDS.items()})
+        return merge_fields(bag, pairs, overwrite=False)
+
+    return let(fields, filled)
 
 
 def authenticode_summary(fields: Column) -> Column:
