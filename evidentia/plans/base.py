@@ -15,6 +15,7 @@ from ..functions import keys, times
 from ..functions.actions import normalize_action
 from ..functions.registry import swap_hex
 from ..schema import EVIDENCE, to_events
+from ..session import COMPILED_METHODS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +26,8 @@ def query(name: str, sql: str | None = None):
 
     def register(function: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for key, value in {"spark.sql.session.timeZone": "UTC", **COMPILED_METHODS}.items():
+                spark.conf.set(key, value)
             return function(spark, sf_dir)
 
         run.__name__ = name
@@ -89,7 +91,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str, normalize: bool = True) -> DataFrame:
     """The activity timeline; with ``normalize`` the actions are canonical."""
-    ev = raw_events(spark, sf_dir)
+    ev = spread(raw_events(spark, sf_dir))
     user, k = F.col("user_id").cast("string"), F.col("k").cast("string")
     pid, created = F.col("user_id") + 1, F.date_trunc("day", "ts")
     raw = _choose(RAW_ACTIONS)

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM compiles no method beyond 8,000 bytes of code. Rows of wide expressions would run interpreted in
+# one fused method; with this limit Spark evaluates them in small methods instead.
+COMPILED_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def build_session(app: str = "evidentia", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution; cluster settings are left to the submitter."""
     builder = SparkSession.builder.appName(app)
@@ -19,6 +26,7 @@ def build_session(app: str = "evidentia", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **COMPILED_METHODS,
         **conf,
     }
     for key, value in settings.items():
@@ -26,6 +34,17 @@ def build_session(app: str = "evidentia", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds for one write."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
