@@ -91,10 +91,12 @@ def st_hourly_flows(spark, sf):
 )
 def st_completeness(spark, sf):
     path, out = staging_path(spark, "feed"), staging_path(spark, "levels")
-    activity(spark, sf).repartition(3).write.parquet(path)  # several files, so several batches
+    activity(spark, sf).write.parquet(path)
+    files = spark.read.parquet(path).select(F.input_file_name().alias("file")).distinct().count()
+    third = max(-(-files // 3), 1)  # three batches, whatever the number of files
     append = lambda rows, batch_id: rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
     (
-        ingest.running_levels(read_event_stream(spark, path, max_files=1), 100)
+        ingest.running_levels(read_event_stream(spark, path, max_files=third), 100)
         .writeStream.outputMode("update").foreachBatch(append)
         .option("checkpointLocation", out + "-log")
         .trigger(availableNow=True)

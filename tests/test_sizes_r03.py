@@ -24,3 +24,13 @@ def test_f18_f23_f28_wide_rows_are_compiled_and_dealt(spark):
     plan = catalog.queries()["src_published_case"](spark, SMALL)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000" and plan.count() > 0
     assert base.activity(spark, SMALL).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_f12_feed_is_dealt_over_all_cores(spark, monkeypatch):
+    paths = {}
+    staged = stream_queries.staging_path
+    monkeypatch.setattr(stream_queries, "staging_path", lambda s, name: paths.setdefault(name, staged(s, name)))
+    rows = catalog.queries()["st_completeness"](spark, SMALL).collect()
+    assert sum(r["event_count"] for r in rows) == base.raw_events(spark, SMALL).count()
+    assert len(glob.glob(paths["feed"] + "/*.parquet")) > 3
+    assert spark.read.parquet(paths["levels"]).select("batch_id").distinct().count() == 3
