@@ -11,6 +11,7 @@ from ..functions.paths import log_name_from_path
 from ..operators.asof import EVENT_LOG_TTL, TRACE_TTL, resolve_process_keys
 from ..operators.windows import first_properties
 from ..schema import evidence_ref, string_map, to_events
+from ..session import staging_path
 
 RECORD_XML = (
     "System struct<Provider:struct<_Name:string>,EventID:string,Level:string,"
@@ -83,7 +84,8 @@ def read_event_log(
     log name, the evidence and the offline marks. Process keys are resolved
     over the whole table by :func:`resolve_process_keys`.
     """
-    parsed = records.withColumn("_r", parse_record(F.col("xml")))
+    # Exploded out of an array of one: the planner copies no parse through that into the filter, nor below an exchange.
+    parsed = records.withColumn("_r", F.explode(F.array(parse_record(F.col("xml")))))
     system, data = F.col("_r.System"), F.col("_r.EventData.Data")
     log = log_name_from_path(F.col(offline_path)) if offline_path else F.coalesce(system["Channel"], F.lit(""))
     values = F.transform(F.coalesce(data, F.array().cast(_DATA)), lambda d: F.coalesce(d["_VALUE"], F.lit("")))
@@ -159,7 +161,13 @@ def _is_long_lived(fields: Column, names: tuple[str, ...], long_lived: tuple[str
 
 
 def _resolve(rows: DataFrame, ttl_minutes: tuple[int, int, int], has_long_lived: bool) -> DataFrame:
-    """Create times per host, collection and pid; a record without a pid stays unresolved."""
+    """Create times per host, collection and pid; a record without a pid stays unresolved.
+
+    The walk and the events it is joined to both read the rows: they are parsed once and staged.
+    """
+    path = staging_path(rows.sparkSession, "records")
+    rows.drop("xml").write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.drop("xml").schema).parquet(path)
     return resolve_process_keys(rows, ttl_minutes, has_long_lived=has_long_lived).drop("resolution", "life_seq")
 
 

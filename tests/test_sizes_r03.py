@@ -34,3 +34,9 @@ def test_f12_feed_is_dealt_over_all_cores(spark, monkeypatch):
     assert sum(r["event_count"] for r in rows) == base.raw_events(spark, SMALL).count()
     assert len(glob.glob(paths["feed"] + "/*.parquet")) > 3
     assert spark.read.parquet(paths["levels"]).select("batch_id").distinct().count() == 3
+
+
+def test_f17_a_record_is_parsed_once(spark):
+    records = source_queries._several_collections(source_queries._log_records(spark, SMALL))
+    plan = eventlog.read_event_log(records, F.lit(7))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_xml" not in plan
