@@ -14,8 +14,10 @@ from ..functions.artifacts import rewrite_reference
 from ..functions.text import not_blank
 from ..operators.processes import entities
 from ..operators.ranking import keep_first
+from ..session import setting
 
 EXPORT_CAP = 500_000
+OPEN_FILES = 64  # line files a task writes side by side; beyond that Spark sorts the rest by folder
 SESSION_VERSION = 1
 SNAPSHOT_FORMAT = "1.0"
 
@@ -70,7 +72,9 @@ def write_timeline_parts(events: DataFrame, path: str, parts: int = 64) -> None:
     """Line-delimited timelines in a folder for each host and collection, each in ``parts`` files at most, dealt by arrival number."""
     rows = events.select("host", "collection_id", "ingest_seq", event_struct().alias("_e")).select("host", "collection_id", "ingest_seq", "_e.*")
     dealt = rows.repartition("host", "collection_id", F.pmod(F.xxhash64("ingest_seq"), F.lit(parts)))
-    dealt.write.mode("overwrite").partitionBy("host", "collection_id").json(path)
+    # A task has few folders: it keeps their files open side by side, and does not sort its wide rows by folder.
+    with setting(events.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+        dealt.write.mode("overwrite").partitionBy("host", "collection_id").json(path)
 
 
 def bundle_documents(events: DataFrame, cap: int = 0) -> DataFrame:

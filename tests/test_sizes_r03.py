@@ -40,3 +40,12 @@ def test_f17_a_record_is_parsed_once(spark):
     records = source_queries._several_collections(source_queries._log_records(spark, SMALL))
     plan = eventlog.read_event_log(records, F.lit(7))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_xml" not in plan
+
+
+def test_f20_parts_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    key, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.json
+    before = spark.conf.get(key)
+    monkeypatch.setattr(DataFrameWriter, "json", lambda self, *a, **k: (seen.append(spark.conf.get(key)), write(self, *a, **k))[1])
+    bundle.write_timeline_parts(base.activity(spark, SMALL), str(tmp_path / "parts"), 4)
+    assert seen == [str(bundle.OPEN_FILES)] and spark.conf.get(key) == before
+    assert spark.read.json(str(tmp_path / "parts")).count() == base.raw_events(spark, SMALL).count()
