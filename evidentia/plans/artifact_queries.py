@@ -173,7 +173,7 @@ def fn_shimcache(spark, sf):
         F.concat(F.lit("C:\\Users\\u"), F.col("user_id").cast("string"), F.lit("\\b.exe")), base + 20_000_000, F.lit(0)
     )
     raw = joined_bytes(le_binary(F.lit(0), 128), first, second)
-    rows = raw_events(spark, sf).select("event_id", F.explode(shim_cache_entries(raw)).alias("e"))
+    rows = spread(raw_events(spark, sf)).select("event_id", F.explode(shim_cache_entries(raw)).alias("e"))
     return rows.select(
         "event_id",
         "e.path",

@@ -56,3 +56,17 @@ def test_f21_join_carries_only_what_is_asked(spark, monkeypatch):
     monkeypatch.setattr(view_queries.connections, "with_process_then", lambda rows, spans: (seen.append(rows), joined(rows, spans))[1])
     catalog.queries()["jn_conn_process_then"](spark, SMALL)
     assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f25_blobs_are_split_a_slice_at_a_time():
+    entry = "C:\\Apps\\a.exe".encode("utf-16-le").ljust(520, b"\0") + (133_000_000_000_000_000).to_bytes(8, "little") * 2 + bytes(16)
+    rows = pd.Series([bytes(128) + entry * 2, None, b"", b"x" * 2000] * 1500, index=range(7, 6007))
+    tracemalloc.start()
+    got = blobs.shim_cache_entries.func(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(e) for e in got[:4]] == [2, 0, 0, 0] and list(got.index) == list(rows.index)
+    assert list(got) == list(blobs._entry_lists(rows)) and peak < 80 << 20
+    items = blobs.shell_items.func(rows)
+    assert len(items) == len(rows) and items.astype(object).where(items.notna(), None).values.tolist() == (
+        lambda t: t.astype(object).where(t.notna(), None).values.tolist())(blobs.shell_item_table(rows))
