@@ -18,7 +18,7 @@ with drops (one row a window).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ from .windows import THROTTLE_LIMITS
 
 SECOND = 1_000_000
 SLOT = 16 * SECOND
+STRETCH = 32  # slots that one call of Python takes one after another
+NONE = -(2**63)  # no number
 CHUNK = 1 << 20
 REPORT_INTERVAL = 5 * SECOND
 KEYS = ["host", "category"]
@@ -62,6 +64,31 @@ def _follow(own: np.ndarray, ahead: np.ndarray) -> np.ndarray:
     return np.where(at < len(known), known[np.minimum(at, len(known) - 1)], -1)
 
 
+def _by_slot(
+    rows: DataFrame, keys: list[str], width: int, rule: Callable[[int, dict[str, np.ndarray]], dict[str, np.ndarray]], columns: dict[str, str]
+) -> DataFrame:
+    """``rule`` of every slot's rows, as arrays by column; a group has the slots of a stretch of time, one after another.
+
+    Missing numbers are ``NONE`` in the arrays that a rule takes and returns.
+    """
+    numbers = [f.name for f in rows.schema if f.dataType.typeName() == "long" and f.name != "slot"]
+    rows = rows.withColumns({"stretch": F.call_function("div", F.col("slot"), F.lit(STRETCH * width).cast("bigint")), **{n: F.coalesce(F.col(n), F.lit(NONE)) for n in numbers}})
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(group["slot"].to_numpy(), kind="stable")
+        arrays = {n: group[n].to_numpy()[order] for n in group.columns if n not in (*keys, "stretch")}
+        slots, first = np.unique(arrays["slot"], return_index=True)
+        ends = [*first[1:].tolist(), len(order)]
+        parts = [rule(int(s), {n: v[a:b] for n, v in arrays.items()}) for s, a, b in zip(slots, first.tolist(), ends, strict=True)]
+        out = pd.DataFrame({n: np.concatenate([p[n] for p in parts]) for n in columns})
+        for key in reversed(keys):
+            out.insert(0, key, group[key].iloc[0])
+        return out
+
+    made = rows.groupBy(*keys, "stretch").applyInPandas(each, ", ".join([*[f"`{k}` string" for k in keys], *[f"{n} {t}" for n, t in columns.items()]]))
+    return made.select(*keys, *[F.nullif(F.col(n), F.lit(NONE)).alias(n) if t == "bigint" else F.col(n) for n, t in columns.items()])
+
+
 def _pointers(marks: DataFrame, keys: list[str], width: int) -> DataFrame:
     """``entry, target, certain`` of the marks at which a window may reach a slot."""
     late = F.min(F.when(F.col("at") >= F.col("slot") + SECOND, F.col("at")))
@@ -75,22 +102,16 @@ def _pointers(marks: DataFrame, keys: list[str], width: int) -> DataFrame:
     own = null_safe_join(marks.select(*keys, "slot", "at"), slots.select(*keys, "slot", "left"), [*keys, "slot"], "inner")
     rows = own.withColumn("ahead", F.lit(False)).unionByName(sent.withColumns({"left": F.lit(None).cast("long"), "ahead": F.lit(True)}))
 
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        at, is_ahead = group["at"].to_numpy(), group["ahead"].to_numpy()
+    def follow(slot: int, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at, is_ahead, left = rows["at"], rows["ahead"], rows["left"]
         own = np.unique(at[~is_ahead])
         target = _follow(own, at[is_ahead])
-        slot, left = int(group["slot"].iloc[0]), group["left"].dropna()
-        before = np.concatenate([[left.iloc[0] if len(left) else -np.inf], own[:-1]])
-        certain = own - before >= SECOND
+        left = left[left != NONE]
+        before = np.concatenate([left[:1] if len(left) else own[:1] - SECOND, own[:-1]])
         n = int(np.searchsorted(own, slot + SECOND)) + 1  # those of the first second, and the next one
-        out = pd.DataFrame({"entry": own[:n], "target": pd.array(target[:n], "Int64").astype("Int64"), "certain": certain[:n]})
-        out.loc[out["target"] == -1, "target"] = pd.NA
-        for key in reversed(keys):
-            out.insert(0, key, group[key].iloc[0])
-        return out
+        return {"entry": own[:n], "target": np.where(target == -1, NONE, target)[:n], "certain": (own - before >= SECOND)[:n]}
 
-    schema = ", ".join(f"`{k}` string" for k in keys) + ", entry bigint, target bigint, certain boolean"
-    return rows.groupBy(*keys, "slot").applyInPandas(follow, schema)
+    return _by_slot(rows, keys, width, follow, {"entry": "bigint", "target": "bigint", "certain": "boolean"})
 
 
 def _reached(pointers: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,30 +132,27 @@ def _reached(pointers: DataFrame, keys: list[str]) -> DataFrame:
 def anchored(marks: DataFrame, keys: list[str], width: int = SLOT) -> DataFrame:
     """``marks`` (keys, ``at``, ``position``; rising together) with ``start`` and ``start_position`` of the window each lies in."""
     marks = marks.withColumn("slot", _slot("at", width))
-    reached = _reached(_pointers(marks, keys, width), keys).withColumn("slot", _slot("entry", width))
+    reached = _reached(cut_lineage(_pointers(marks, keys, width)), keys).withColumn("slot", _slot("entry", width))
     rows = marks.select(*keys, "slot", "at", "position", F.lit(False).alias("entry")).unionByName(
         reached.select(*keys, "slot", F.col("entry").alias("at"), F.lit(None).cast("long").alias("position"), F.lit(True).alias("entry"))
     )
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[~group["entry"]].sort_values("at")
-        at, position = own["at"].to_numpy(), own["position"].to_numpy().astype(np.int64)
-        begun = group.loc[group["entry"], "at"]
+    def walk(slot: int, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        own = np.flatnonzero(~rows["entry"])
+        own = own[np.argsort(rows["at"][own], kind="stable")]
+        at, position = rows["at"][own], rows["position"][own]
+        begun = rows["at"][rows["entry"]]
         starts = []
         here = int(np.searchsorted(at, begun.min())) if len(begun) else len(at)
         while here < len(at):
             starts.append(here)
             here = int(np.searchsorted(at, at[here] + SECOND))
         which = np.searchsorted(np.array(starts, np.int64), np.arange(len(at)), "right") - 1
-        of = np.array(starts or [0])[np.maximum(which, 0)]
-        out = own[[*keys, "slot", "at"]].copy()
-        for name, values in (("start", at[of]), ("start_position", position[of])):
-            out[name] = pd.array(values, "Int64")
-            out.loc[which < 0, name] = pd.NA
-        return out
+        of = np.array(starts or [0], np.int64)[np.maximum(which, 0)]
+        begins = {name: np.where(which < 0, NONE, values[of]) if len(at) else at for name, values in (("start", at), ("start_position", position))}
+        return {"slot": np.full(len(at), slot), "at": at, **begins}
 
-    schema = ", ".join(f"`{k}` string" for k in keys) + ", slot bigint, at bigint, start bigint, start_position bigint"
-    walked = cut_lineage(rows.groupBy(*keys, "slot").applyInPandas(walk, schema))
+    walked = cut_lineage(_by_slot(rows, keys, width, walk, {n: "bigint" for n in ("slot", "at", "start", "start_position")}))
     # The window that is still open when a slot begins: the last start of the slots before.
     last = walked.groupBy(*keys, "slot").agg(F.max("start").alias("s"), F.max("start_position").alias("p"))
     earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

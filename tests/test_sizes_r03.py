@@ -4,10 +4,12 @@ import glob
 import os
 import tracemalloc
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from evidentia.functions import blobs
+from evidentia.operators import throttle
 from evidentia.plans import base, catalog, source_queries, stream_queries, view_queries
 from evidentia.sinks import bundle
 from evidentia.sources import eventlog
@@ -70,3 +72,18 @@ def test_f25_blobs_are_split_a_slice_at_a_time():
     items = blobs.shell_items.func(rows)
     assert len(items) == len(rows) and items.astype(object).where(items.notna(), None).values.tolist() == (
         lambda t: t.astype(object).where(t.notna(), None).values.tolist())(blobs.shell_item_table(rows))
+
+
+def test_f15_slots_are_taken_by_the_stretch_and_pointers_once(spark, monkeypatch):
+    seen, reached = [], throttle._reached
+    monkeypatch.setattr(throttle, "_reached", lambda pointers, keys: (seen.append(pointers), reached(pointers, keys))[1])
+    rows = spark.range(400).select(
+        F.lit("A").alias("host"), F.lit("File").alias("category"), F.col("id").alias("ingest_seq"), F.timestamp_micros(F.col("id") * 300_000).alias("ts")
+    )
+    kept, _ = throttle.throttled(rows, {"File": 2}, width=4_000_000)
+    passed = [r["ingest_seq"] for r in kept.where("kind = 'pass'").collect()]
+    assert sorted(passed) == [n for n in range(400) if n % 4 < 2]
+    assert "FlatMapGroupsInPandas" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    slots = spark.createDataFrame([("A", 4 * s, s, None if s % 2 else s) for s in range(70)], "host string, slot bigint, at bigint, left bigint")
+    out = throttle._by_slot(slots, ["host"], 4, lambda slot, r: {"n": np.array([len(r["at"])]), "left": r["left"]}, {"n": "bigint", "left": "bigint"})
+    assert sorted(r["left"] for r in out.collect() if r["left"] is not None) == list(range(0, 70, 2)) and {r["n"] for r in out.collect()} == {1}
