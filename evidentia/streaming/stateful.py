@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators.asof import EVENT_LOG_TTL
 
 MINUTE_MICROS = 60_000_000
 
+PROCESS_KEY_INPUT = ["ingest_seq", "ts_us", "hint_us", "is_stop", "is_long_lived"]
 PROCESS_KEY_OUTPUT = "host string, collection_id string, pid bigint, ingest_seq bigint, create_us bigint, resolution string"
 TRANSITION_OUTPUT = "host string, item string, snapshot_id bigint, action string, value string"
 
@@ -66,26 +68,30 @@ class ProcessKeys(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         host, collection, pid = key
-        frame = _arrivals(rows, ["ingest_seq"])
-        held = self.state.get() if self.state.exists() else None
+        parts = [[frame[c].to_numpy() for c in PROCESS_KEY_INPUT] for frame in rows]
+        columns = parts[0] if len(parts) == 1 else [np.concatenate(values) for values in zip(*parts, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        arrivals = [c[order].tolist() for c in columns]
+        held = self.state.get()
         life, timer = (held[:3], held[3]) if held is not None else (None, None)
-        out = []
-        columns = ["ingest_seq", "ts_us", "hint_us", "is_stop", "is_long_lived"]
-        for seq, now, hint, stop, long_lived in frame[columns].itertuples(index=False, name=None):
-            if not pd.isna(hint):
+        created, how = [], []
+        for now, hint, stop, long_lived in zip(*arrivals[1:], strict=True):
+            if hint is not None and hint == hint:
                 life, resolution = (int(hint), now, "long" if long_lived else "explicit"), "explicit"
             elif life is not None and now - life[1] <= self.ttl[life[2]]:
                 life, resolution = (life[0], now, life[2]), "cached"
             else:
                 life, resolution = (now, now, "long" if long_lived else "provisional"), "provisional"
-            out.append((host, collection, pid, seq, life[0], resolution))
+            created.append(life[0])
+            how.append(resolution)
             if stop:
                 life = None
         self._keep(life, timer)
-        yield pd.DataFrame(out, columns=["host", "collection_id", "pid", "ingest_seq", "create_us", "resolution"])
+        yield pd.DataFrame({"host": host, "collection_id": collection, "pid": pid, "ingest_seq": arrivals[0], "create_us": created, "resolution": how})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[3] <= expiredTimerInfo.getExpiryTimeInMs():
+        held = self.state.get()
+        if held is not None and held[3] <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
         yield pd.DataFrame([], columns=["host", "collection_id", "pid", "ingest_seq", "create_us", "resolution"])
 

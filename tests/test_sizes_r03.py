@@ -3,6 +3,7 @@
 import glob
 import os
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from evidentia.operators import throttle
 from evidentia.plans import base, catalog, source_queries, stream_queries, view_queries
 from evidentia.sinks import bundle
 from evidentia.sources import eventlog
+from evidentia.streaming import stateful
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
@@ -87,3 +89,24 @@ def test_f15_slots_are_taken_by_the_stretch_and_pointers_once(spark, monkeypatch
     slots = spark.createDataFrame([("A", 4 * s, s, None if s % 2 else s) for s in range(70)], "host string, slot bigint, at bigint, left bigint")
     out = throttle._by_slot(slots, ["host"], 4, lambda slot, r: {"n": np.array([len(r["at"])]), "left": r["left"]}, {"n": "bigint", "left": "bigint"})
     assert sorted(r["left"] for r in out.collect() if r["left"] is not None) == list(range(0, 70, 2)) and {r["n"] for r in out.collect()} == {1}
+
+
+def test_f24_a_life_is_read_once_and_rows_may_come_in_parts():
+    class State:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    minute, keys = 60_000_000, stateful.ProcessKeys((30, 120, 10_080))
+    keys.state, keys.handle = State(), SimpleNamespace(registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    part = lambda *rows: pd.DataFrame(rows, columns=stateful.PROCESS_KEY_INPUT).assign(host="H", collection_id="C", pid=7)
+    late = part((3, 200 * minute, float("nan"), False, False), (1, 10 * minute, float("nan"), False, False))
+    (out,) = keys.handleInputRows(("H", "C", 7), iter([late, part((2, 20 * minute, 5.0 * minute, False, False))]), None)
+    assert out[["ingest_seq", "create_us", "resolution"]].values.tolist() == [
+        [1, 10 * minute, "provisional"], [2, 5 * minute, "explicit"], [3, 200 * minute, "provisional"]]
+    assert keys.state.calls == 1 and keys.state.value[:3] == (200 * minute, 200 * minute, "provisional")
