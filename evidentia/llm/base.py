@@ -36,10 +36,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+#: Models and caches that a Python worker keeps between tasks, by the module that made them.
+HELD: dict[str, dict] = {}
+
+
+def held(module: str) -> dict:
+    """The place of a module's models and caches in this worker."""
+    return HELD.setdefault(module, {})
+
+
+def leave(module: str) -> None:
+    """Drop what other modules hold: workers are used again, and a later stage of a pipeline needs the memory."""
+    others = [kept for name, kept in HELD.items() if name != module and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.unfreeze()
+        gc.collect()
+
+
 def arrow_map(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches of bounded size; they are a setting of the session, which stays."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return rows.mapInArrow(function, schema)
+    module = function.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave(module)
+        return function(batches)
+
+    return rows.mapInArrow(run, schema)
 
 
 def staged(rows: DataFrame, name: str) -> DataFrame:

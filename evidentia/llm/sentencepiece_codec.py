@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import arrow_map, query, table
+from .base import arrow_map, held, query, table
 from .columns import slices, texts
 
 MARK = "▁"
@@ -45,7 +45,7 @@ LONG = 64  # characters from which a part isn't kept
 
 NEVER = 1 << 40  # rank of what is no pair
 
-_WORKER: dict[bytes, Codec] = {}
+_WORKER: dict[bytes, Codec] = held(__name__)
 
 
 class Codec:

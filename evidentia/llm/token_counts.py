@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, query, table
+from .base import arrow_map, held, query, table
 from .columns import slices, texts
 
 LIMIT = 2048
@@ -42,7 +42,7 @@ PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\
 #: Characters on which Python and the library agree about composing, lower case and white space.
 OTHER = re.compile(r"[^\t\n\v\f\r -~À-ÿ]")
 
-_WORKER: dict[str, tuple] = {}
+_WORKER: dict[str, tuple] = held(__name__)
 
 
 def _tokenizer(content: str):
