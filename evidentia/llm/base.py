@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -71,17 +73,30 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     """Rows written once to the shared folder and read back: computed once, survives lost executors."""
     path = staging_path(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Delete what ``staged`` wrote, once no later step reads it."""
+    for rows in tables:
+        context = rows.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(vars(rows)["staged_path"])
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of phases whose results are written.
 
     Their plans are garbage by then, but Spark's cleaner only learns of it when the
-    driver collects, which a job of many phases cannot wait for.
+    driver collects, which a job of many phases cannot wait for. A plan may still be
+    on its way to a listener the first time.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.2, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, query, release, staged, table
+from .base import arrow_map, query, release, staged, table, unstaged
 from .bloom import bloom
 from .columns import Words, ids, mix, slices, texts
 from .components import components
@@ -51,6 +51,7 @@ MAX_FREQUENT = 1 << 20
 ROUNDS = 2
 BUFFER = 2_000_000  # shingles among which a task looks for frequent ones
 OFTEN = 4
+MARK = "_text_mark"  # a hash of the text as it stands, by which a scan finds the texts it is after
 
 
 def shingle_sets(words: Words, length: int = SHINGLE) -> list[np.ndarray]:
@@ -75,17 +76,17 @@ def linked(overlap, left, right, percent: int = PERCENT):
 
 
 def _describe(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows ``doc_id, n, sig`` of all documents, and ``token, n`` of tokens that some task saw often."""
+    """Rows ``doc_id, n, sig`` and ``MARK`` of all documents, and ``token, n`` of tokens that some task saw often."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sig", "token"]
+        names = ["doc_id", "n", "sig", "token", MARK]
         held, size = [], 0
 
         def often():
             found, n = np.unique(np.concatenate(held), return_counts=True)
             found, n = found[n >= OFTEN], n[n >= OFTEN]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, pa.array(found.view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, pa.array(found.view(np.int64)), none], names)
 
         for batch in slices(batches, text_column):
             sets = shingle_sets(Words(texts(batch, text_column), lower=True))
@@ -96,6 +97,7 @@ def _describe(documents: DataFrame, id_column: str, text_column: str) -> DataFra
                     pa.array(n, pa.int64()),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.int64()),
                     pa.nulls(len(sets), pa.int64()),
+                    texts(batch, MARK),
                 ],
                 names,
             )
@@ -107,7 +109,8 @@ def _describe(documents: DataFrame, id_column: str, text_column: str) -> DataFra
         if held:
             yield often()
 
-    return staged(arrow_map(documents.select(id_column, text_column), scan, "doc_id long, n long, sig long, token long"), "sets")
+    rows = documents.select(id_column, text_column, F.xxhash64(text_column).alias(MARK))
+    return staged(arrow_map(rows, scan, f"doc_id long, n long, sig long, token long, {MARK} long"), "sets")
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +234,10 @@ def _postings(documents: DataFrame, text_column: str, frequent) -> DataFrame:
     posted = posted.repartition("token").select("token", "sig", "n", F.coalesce(live, F.lit(False)).alias("live"))
     posted = posted.sortWithinPartitions("token", F.desc("n"), "sig")
     shared = staged(arrow_map(posted, share, "token long, sig long, n int, pivot long, pivot_n int, live boolean"), "shared")
-    return staged(shared.drop("live").join(shared.where("live").select("sig").distinct(), "sig", "left_semi"), "postings")
+    release(documents.sparkSession)
+    postings = staged(shared.drop("live").join(shared.where("live").select("sig").distinct(), "sig", "left_semi"), "postings")
+    unstaged(shared)
+    return postings
 
 
 def _groups(postings: DataFrame, part: int) -> DataFrame:
@@ -247,24 +253,28 @@ def _groups(postings: DataFrame, part: int) -> DataFrame:
     return staged(best.join(sizes, "pivot").select("sig", "pivot", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part")), "parts")
 
 
-def _tokens(documents: DataFrame, text_column: str, active: DataFrame) -> DataFrame:
-    """``sig, tokens`` of the active sets, once each."""
-    active = staged(active, "active")
-    known = documents.sparkSession.sparkContext.broadcast(bloom(active, "sig", active.count()))
+def _tokens(documents: DataFrame, text_column: str, marks: DataFrame, active: DataFrame) -> DataFrame:
+    """``sig, tokens`` of the active sets and a few others, once each; rows that join them by ``sig`` need no second shuffle of them.
+
+    One text of a set, told by its mark, is enough, so a scan passes over the others without reading their words.
+    """
+    wanted = staged(marks.join(active.distinct(), "sig", "left_semi").select(MARK), "wanted")
+    known = documents.sparkSession.sparkContext.broadcast(bloom(wanted, MARK, wanted.count()))
+    unstaged(wanted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, text_column):
+            batch = batch.filter(pa.array(known.value.has(texts(batch, MARK).to_numpy().view(np.uint64))))
             sets = [s for s in shingle_sets(Words(texts(batch, text_column), lower=True)) if len(s)]
-            sigs = np.array([signature(s) for s in sets], np.int64)
-            wanted = np.flatnonzero(known.value.has(sigs.view(np.uint64)))
-            chosen = [i for i in wanted.tolist() if sigs[i] not in seen and not seen.add(sigs[i])]
+            sigs = [signature(s) for s in sets]
+            chosen = [i for i, sig in enumerate(sigs) if sig not in seen and not seen.add(sig)]
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[chosen]), pa.array([sets[i].tobytes() for i in chosen], pa.binary())], ["sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([sigs[i] for i in chosen], pa.int64()), pa.array([sets[i].tobytes() for i in chosen], pa.binary())], ["sig", "tokens"])
 
-    found = arrow_map(documents.select(text_column), scan, "sig long, tokens binary")
-    return staged(found.join(active, "sig", "left_semi").dropDuplicates(["sig"]), "tokens")
+    rows = documents.select(text_column, F.xxhash64(text_column).alias(MARK))
+    return arrow_map(rows, scan, "sig long, tokens binary").dropDuplicates(["sig"])
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -341,9 +351,9 @@ def _open(parts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _homes(sets: DataFrame, links: DataFrame, part: int, name: str) -> DataFrame:
-    """``sig, n, cls`` with links applied, the class's figures and the part of it that holds the set."""
+    """``sig, n, cls`` and ``MARK`` with links applied, the class's figures and the part of it that holds the set."""
     roots = components(links, name)
-    named = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "n", F.coalesce("root", "cls").alias("cls"))
+    named = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "n", MARK, F.coalesce("root", "cls").alias("cls"))
     figures = named.groupBy("cls").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     homes = named.join(figures, "cls").withColumn("part", F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / part)).cast("int"))
     return staged(homes.withColumn("magnitude", F.floor(F.log(8.0, "size")).cast("int")), name)
@@ -364,9 +374,8 @@ def _mixed(postings: DataFrame, homes: DataFrame) -> DataFrame:
     return posted.join(mixed, "token")
 
 
-def _towards_largest(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame, part: int) -> DataFrame:
-    """Links of sets with a part of the class that holds most of their tokens, among the largest class of each."""
-    posted = staged(_mixed(postings, homes), "mixed")
+def _towards_largest(documents: DataFrame, text_column: str, posted: DataFrame, homes: DataFrame, part: int) -> DataFrame:
+    """Links of sets with a part of the class that holds most of their tokens, among the largest class of each; ``posted`` is ``_mixed``."""
     large = posted.where("size > 1").groupBy("token").agg(F.max(F.struct("size", "cls")).alias("top")).select("token", F.col("top.cls").alias("home"))
     shared = posted.join(large, "token").where("cls <> home").groupBy("sig", "n", "cls", "home").agg(F.count("*").alias("shared"))
     figures = homes.select(F.col("cls").alias("home"), F.col("size").alias("home_size"), "least", "most").distinct()
@@ -380,9 +389,8 @@ def _towards_largest(documents: DataFrame, text_column: str, postings: DataFrame
     return _ask(documents, text_column, staged(near, "near"), homes)
 
 
-def _across(documents: DataFrame, text_column: str, postings: DataFrame, homes: DataFrame) -> DataFrame:
-    """All links between sets of different classes."""
-    posted = staged(_mixed(postings, homes), "mixed")
+def _across(documents: DataFrame, text_column: str, posted: DataFrame, homes: DataFrame) -> DataFrame:
+    """All links between sets of different classes; ``posted`` is ``_mixed``."""
     held = (
         posted.groupBy("token", F.col("cls").alias("home"), "part", F.col("magnitude").alias("home_magnitude"))
         .agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -407,9 +415,10 @@ def _across(documents: DataFrame, text_column: str, postings: DataFrame, homes:
 def _ask(documents: DataFrame, text_column: str, asked: DataFrame, homes: DataFrame) -> DataFrame:
     """Links of the asking sets (``sig, cls, home, part``) with members of the groups they ask, as edges ``a, b`` of classes."""
     members = homes.select("sig", "cls", F.col("cls").alias("home"), "part").join(asked.select("home", "part").distinct(), ["home", "part"], "left_semi")
-    rows = staged(asked.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False))), "opened")
-    tokens = _tokens(documents, text_column, rows.select("sig").distinct())
-    rows = rows.join(tokens, "sig").select("home", "part", "asks", "sig", "cls", "tokens")
+    opened = staged(asked.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False))), "opened")
+    release(documents.sparkSession)
+    tokens = _tokens(documents, text_column, homes, opened.select("sig"))
+    rows = opened.join(tokens, "sig").select("home", "part", "asks", "sig", "cls", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 2):
@@ -431,7 +440,9 @@ def _ask(documents: DataFrame, text_column: str, asked: DataFrame, homes: DataFr
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = rows.repartition("home", "part").sortWithinPartitions("home", "part")
-    return staged(arrow_map(rows, compare, "a long, b long"), "links")
+    links = staged(arrow_map(rows, compare, "a long, b long"), "links")
+    unstaged(asked, opened)
+    return links
 
 
 def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", part: int = PART) -> DataFrame:
@@ -439,21 +450,33 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     spark = documents.sparkSession
     described = _describe(documents, id_column, text_column)
     sets = described.where("token is null").select("doc_id", F.col("n").alias("n_shingles"), "sig")
-    postings = _postings(documents, text_column, _frequent(described))
-    release(spark)
-    parts = _groups(postings, part)
+    marks = staged(described.where("sig is not null").groupBy("sig").agg(F.min(MARK).alias(MARK)), "marks")
+    posted = _postings(documents, text_column, _frequent(described))
     release(spark)
-    near = parts.select("sig").unionByName(parts.select(F.col("pivot").alias("sig"))).distinct()
-    posted = postings.groupBy("sig").agg(F.max("n").alias("n")).withColumn("cls", F.col("sig"))
-    homes = _homes(posted, _open(parts, _tokens(documents, text_column, near)), part, "inner")
+    parts = _groups(posted, part)
     release(spark)
+    near = parts.select("sig").unionByName(parts.select(F.col("pivot").alias("sig")))
+    tops = posted.groupBy("sig").agg(F.max("n").alias("n")).join(marks, "sig").withColumn("cls", F.col("sig"))
+    homes = _homes(tops, _open(parts, _tokens(documents, text_column, marks, near)), part, "inner")
+    unstaged(marks)
+
+    def still_mixed() -> DataFrame:
+        # Classes only grow, so a token that lies in one stays there: a step needs the postings of the step before.
+        mixed = staged(_mixed(posted, homes), "mixed")
+        unstaged(posted)
+        release(spark)
+        return mixed
+
+    posted = still_mixed()
     for _ in range(ROUNDS):
-        links = _towards_largest(documents, text_column, postings, homes, part)
+        links = _towards_largest(documents, text_column, posted, homes, part)
         if links.isEmpty():
             break
-        homes = _homes(homes.select("sig", "n", "cls"), links, part, "rounds")
-        release(spark)
-    final = _homes(homes.select("sig", "n", "cls"), _across(documents, text_column, postings, homes), part, "outer").select("sig", "cls")
+        homes = _homes(homes.select("sig", "n", MARK, "cls"), links, part, "rounds")
+        posted = still_mixed()
+    links = _across(documents, text_column, posted, homes)
+    unstaged(posted)
+    final = _homes(homes.select("sig", "n", MARK, "cls"), links, part, "outer").select("sig", "cls")
     release(spark)
 
     copies = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(final, "sig", "left")

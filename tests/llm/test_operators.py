@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 from collections import Counter
 
@@ -16,6 +17,7 @@ from evidentia.llm import sentencepiece_codec, substring_dedup, token_counts, ur
 from evidentia.llm.base import table
 from evidentia.llm.columns import Words
 from evidentia.llm.components import components
+from evidentia.session import shared_dir
 
 from .common import EDGE, GIVEN, SF, edge_documents, rows_by, sentence
 
@@ -485,3 +487,13 @@ def test_a_broken_agenda_shows(monkeypatch):
     monkeypatch.setattr(type(own), "encode_parts", lambda self, parts: [[0] for _ in parts])
     wrong = broken.encode(texts)
     assert [x[0] for x in wrong] == [x[0] for x in right] and [x[2] for x in wrong] == [False, True, False]
+
+
+def test_jaccard_leaves_no_rows_of_its_steps_on_disk(spark):
+    folder = shared_dir(spark).removeprefix("file://") + "/evidentia"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = [(k, " ".join([*sentence(900 + k // 5, 60).split()[: 58 + k % 3], f"new{k}"])) for k in range(60)]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), part=2)
+    left = {name.split("-")[0] for name in set(os.listdir(folder)) - before}
+    assert not left & {"shared", "postings", "tokens", "wanted", "mixed", "near", "asked", "opened"}
+    assert rows_by(found, "doc_id", "n_shingles", "component_id") == brute_components(rows)
