@@ -47,14 +47,29 @@ def held(module: str) -> dict:
     return HELD.setdefault(module, {})
 
 
+#: The module whose task this worker ran last, and those that all others use, whose tables stay until it changes.
+_LAST = {"module": ""}
+SHARED = ("evidentia.llm.columns",)
+
+
 def leave(module: str) -> None:
     """Drop what other modules hold: workers are used again, and a later stage of a pipeline needs the memory."""
-    others = [kept for name, kept in HELD.items() if name != module and kept]
+    changed, _LAST["module"] = _LAST["module"] != module, module
+    others = [kept for name, kept in HELD.items() if kept and name != module and (changed or name not in SHARED)]
     for kept in others:
         kept.clear()
-    if others:
+    if others or changed:
         gc.unfreeze()
         gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: arrays of the task before leave holes that no other object of Python's fills."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
 
 
 def arrow_map(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

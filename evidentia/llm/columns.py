@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .base import held
+
 SLICE_BYTES = 2 << 20  # text handled at once; one longer text is a slice of its own
 _BYTES = np.random.RandomState(20240517).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -24,7 +26,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Every ASCII character that is neither letter nor digit: separates terms.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_POWERS: dict[int, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = held(__name__)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -126,14 +128,14 @@ def _ahead(values: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches again, cut so that each holds at most ``SLICE_BYTES`` of text or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches again, cut so that each holds at most ``most`` bytes of text or one row."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(size, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
 

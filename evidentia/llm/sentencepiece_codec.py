@@ -24,7 +24,6 @@ vocabulary's normaliser leaves them.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,8 +41,10 @@ MARK = "▁"
 CACHE = 200_000  # parts in either half of the cache
 WIDE = 48  # characters up to which parts share an array
 LONG = 64  # characters from which a part isn't kept
+TEXT_BYTES = 1 << 19  # text handled at once: every word of it is an object
 
 NEVER = 1 << 40  # rank of what is no pair
+ODD = chr(0x10FFFF)  # no id: vocabularies are smaller
 
 _WORKER: dict[bytes, Codec] = held(__name__)
 
@@ -87,9 +88,11 @@ class Codec:
         else:
             self.cut = re.compile(f"{MARK}*[{chars}]+|{MARK}+|[^{chars}{MARK}]", re.S)
         self.wall = not inner and all(c not in used for c in "\n") and self.cut.findall("\nx") == ["\n", "x"]
-        # Ids of a part, the same as text, and whether the library agrees.
-        self.recent: dict[str, tuple[tuple[int, ...], str, bool]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str, bool]] = {}
+        self.digits = [str(i) for i in numbers]
+        # Ids of a part, one character each, so that hundreds of thousands of parts take little memory; ``ODD`` behind them
+        # where the library does not agree.
+        self.recent: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def encode_part(self, part: str) -> list[int]:
         """The ids of one part."""
@@ -201,8 +204,8 @@ class Codec:
                 out.append(self.unknown)
         return out
 
-    def _checked(self, parts: list[str]) -> dict[str, tuple[tuple[int, ...], str, bool]]:
-        """Ids of new parts, compared with the library's.
+    def _checked(self, parts: list[str]) -> dict[str, str]:
+        """Ids of new parts as characters, compared with the library's.
 
         The library puts a mark before a text. A part that begins with one mark
         is given without it; before any other stands a line break, which is in
@@ -215,7 +218,7 @@ class Codec:
         for part, x, ids, own in zip(parts, plain, wanted, self.encode_parts(parts), strict=True):
             ids = ids if x else ids[len(head) :]
             kept = own if own == ids else ids  # the agenda's; the library's only where the two differ, which ``agrees`` tells
-            out[part] = (tuple(kept), ",".join(map(str, kept)), own == ids)
+            out[part] = "".join(map(chr, kept)) + ODD * (own != ids)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
@@ -224,7 +227,7 @@ class Codec:
         if not self.wall:  # parts can't be checked one by one
             own, wanted = self.encode_parts(normal), self.library.encode(texts, num_threads=1)
             kept = [o if o == w else w for o, w in zip(own, wanted, strict=True)]
-            return [(k, ",".join(map(str, k)), o == w) for k, o, w in zip(kept, own, wanted, strict=True)]
+            return [(k, self._written(k), o == w) for k, o, w in zip(kept, own, wanted, strict=True)]
         split = [self.cut.findall(t) for t in normal]
         known, older = self.recent, self.older
         distinct = set(chain.from_iterable(split))
@@ -234,16 +237,20 @@ class Codec:
         known.update(self._checked(new))
         out = []
         for parts in split:
-            found = [known[p] for p in parts]
-            out.append((list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found]), all([f[2] for f in found])))
+            found = "".join([known[p] for p in parts])
+            agrees = ODD not in found
+            ids = np.frombuffer((found if agrees else found.replace(ODD, "")).encode("utf-32-le", "surrogatepass"), np.uint32).tolist()
+            out.append((ids, self._written(ids), agrees))
         for part in new:
             if len(part) >= LONG:
                 del known[part]
         if len(known) > CACHE:  # parts used since the last turn stay for one more
             self.recent, self.older = {}, known
-        gc.freeze()  # the collector needn't walk the cache again and again
         return out
 
+    def _written(self, ids: list[int]) -> str:
+        return ",".join(map(self.digits.__getitem__, ids))
+
 
 def codec(model: bytes) -> Codec:
     """The codec of this worker."""
@@ -262,7 +269,7 @@ def encode_decode(documents: DataFrame, model_path: str, id_column: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model.value)
-        for batch in slices(batches, text_column):
+        for batch in slices(batches, text_column, TEXT_BYTES):
             rows = [t or "" for t in texts(batch, text_column).to_pylist()]
             encoded = own.encode(rows)
             ids = [x[0] for x in encoded]

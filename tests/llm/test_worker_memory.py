@@ -1,8 +1,12 @@
 """Python workers are used again: what one stage keeps in them must not stay through the others."""
 
+import gc
+import random
+import tracemalloc
+
 import pyarrow as pa
 
-from evidentia.llm import base, sentencepiece_codec, token_counts
+from evidentia.llm import base, columns, sentencepiece_codec, token_counts
 
 
 def test_a_stage_leaves_what_others_hold():
@@ -32,3 +36,31 @@ def test_workers_drop_the_models_of_the_stage_before(spark):
     rows = spark.range(64).repartition(8)
     base.arrow_map(rows, keep, "id long").collect()
     assert {r["n"] for r in base.arrow_map(rows, look, "n long").collect()} == {0}
+
+
+def test_tables_of_all_stages_stay_until_the_module_changes():
+    base.leave("one")
+    columns._powers(columns._BASE, 10)
+    base.leave("one")
+    assert columns._POWERS
+    base.leave("other")
+    assert not columns._POWERS
+
+
+def test_kept_parts_take_little_memory():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        own = sentencepiece_codec.Codec(file.read())
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcdefghij", k=9)) for _ in range(20_000)})
+    own.encode(["a b"])
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        own.encode([" ".join(words)])
+        gc.collect()
+        after = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(own.recent) >= len(words) and (after - before) / len(words) < 300
